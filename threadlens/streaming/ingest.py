@@ -16,11 +16,11 @@ def stream_posts(spark: SparkSession, source: str, files_per_trigger: int | None
     return reader.parquet(source)
 
 
-def dedup_posts(posts: DataFrame, delay: str = "3650 days") -> DataFrame:
-    """Each (site, uid) once. State is bounded by the watermark: ``delay`` must cover the span that a restart
-    may replay, as older rows are dropped."""
-    dated = posts.withColumn("date_time", F.col("date_time").cast("timestamp"))
-    return dated.withWatermark("date_time", delay).dropDuplicatesWithinWatermark(["site", "uid"])
+def dedup_posts(posts: DataFrame, replay: str = "30 days") -> DataFrame:
+    """Each (site, uid) once. A restart replays posts, so repeats are told by arrival time: ``replay`` is how
+    long after its first arrival a post may come again, and bounds the state. No post is dropped as late."""
+    seen = posts.withColumn("_seen", F.current_timestamp()).withWatermark("_seen", replay)
+    return seen.dropDuplicatesWithinWatermark(["site", "uid"]).drop("_seen")
 
 
 def ingest(posts: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
