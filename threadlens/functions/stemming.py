@@ -47,17 +47,19 @@ STEP4 = (
 )
 
 
-def _suffix(w: Column, suffixes) -> Column:
-    """Longest of ``suffixes`` that ends the word ('' if none)."""
-    return F.regexp_extract(w, f"(?:{'|'.join(suffixes)})$", 0)
+def _ends(w: Column, suffix: str) -> Column:
+    return F.endswith(w, F.lit(suffix))
 
 
-def _head(w: Column, suffix: Column) -> Column:
-    return F.substring(w, F.lit(1), F.length(w) - F.length(suffix))
+def _cut(w: Column, n: int | Column) -> Column:
+    """The word without its last ``n`` characters."""
+    return F.substring(w, F.lit(1), F.length(w) - n)
 
 
-def _swap(w: Column, old: str, new: str) -> Column:
-    return F.regexp_replace(w, f"{old}$", new)
+def _suffix(w: Column, suffixes) -> Column:
+    """Longest of ``suffixes`` that ends the word ('' if none)."""
+    longest_first = sorted(suffixes, key=len, reverse=True)
+    return F.coalesce(*[F.when(_ends(w, s), F.lit(s)) for s in longest_first], F.lit(""))
 
 
 def _literal_map(pairs: dict[str, str]) -> Column:
@@ -66,98 +68,81 @@ def _literal_map(pairs: dict[str, str]) -> Column:
 
 def _plural(w: Column) -> Column:
     return (
-        F.when(w.rlike("^.ies$"), _swap(w, "ies", "ie"))
-        .when(w.rlike("(?:sses|ies)$"), _swap(w, "es", ""))
-        .when(w.rlike("ss$"), w)
-        .otherwise(_swap(w, "s", ""))
+        F.when(_ends(w, "ies") & (F.length(w) == 4), _cut(w, 1))
+        .when(_ends(w, "sses") | _ends(w, "ies"), _cut(w, 2))
+        .when(_ends(w, "s") & ~_ends(w, "ss"), _cut(w, 1))
+        .otherwise(w)
     )
 
 
 def _past(w: Column) -> Column:
     return (
-        F.when(w.rlike("^.ied$"), _swap(w, "ied", "ie"))
-        .when(w.rlike("ied$"), _swap(w, "ied", "i"))
-        .when(w.rlike("eed$"), F.when(_swap(w, "eed", "").rlike(M_OVER_0), _swap(w, "eed", "ee")).otherwise(w))
-        .when(w.rlike("ed$") & _swap(w, "ed", "").rlike(HAS_VOWEL), _swap(w, "ed", MARK))
-        .when(w.rlike("ing$") & _swap(w, "ing", "").rlike(HAS_VOWEL), _swap(w, "ing", MARK))
+        F.when(_ends(w, "ied"), F.when(F.length(w) == 4, _cut(w, 1)).otherwise(_cut(w, 2)))
+        .when(_ends(w, "eed"), F.when(_cut(w, 3).rlike(M_OVER_0), _cut(w, 1)).otherwise(w))
+        .when(_ends(w, "ed") & _cut(w, 2).rlike(HAS_VOWEL), F.concat(_cut(w, 2), F.lit(MARK)))
+        .when(_ends(w, "ing") & _cut(w, 3).rlike(HAS_VOWEL), F.concat(_cut(w, 3), F.lit(MARK)))
         .otherwise(w)
     )
 
 
 def _tidy(w: Column) -> Column:
-    bare = _swap(w, MARK, "")
+    bare = _cut(w, 1)
     double = (F.substring(bare, -1, 1) == F.substring(bare, -2, 1)) & (F.length(bare) > 1) & bare.rlike(CONSONANT_END)
     return (
-        F.when(~F.endswith(w, F.lit(MARK)), w)
-        .when(bare.rlike("(?:at|bl|iz)$"), F.concat(bare, F.lit("e")))
-        .when(double, F.when(bare.rlike("[lsz]$"), bare).otherwise(_swap(bare, ".", "")))
+        F.when(~_ends(w, MARK), w)
+        .when(_ends(bare, "at") | _ends(bare, "bl") | _ends(bare, "iz"), F.concat(bare, F.lit("e")))
+        .when(double, F.when(F.substring(bare, -1, 1).isin("l", "s", "z"), bare).otherwise(_cut(bare, 1)))
         .when(bare.rlike(M_IS_1) & bare.rlike(SHORT_END), F.concat(bare, F.lit("e")))
         .otherwise(bare)
     )
 
 
 def _last_y(w: Column) -> Column:
-    head = _swap(w, "y", "")
-    return F.when(w.rlike("y$") & (F.length(head) > 1) & head.rlike(CONSONANT_END), F.concat(head, F.lit("i"))).otherwise(w)
+    fits = _ends(w, "y") & (F.length(w) > 2) & _cut(w, 1).rlike(CONSONANT_END)
+    return F.when(fits, F.concat(_cut(w, 1), F.lit("i"))).otherwise(w)
 
 
 def _alli(w: Column) -> Column:
-    return F.when(w.rlike("alli$") & _swap(w, "alli", "").rlike(M_OVER_0), _swap(w, "alli", "al")).otherwise(w)
+    return F.when(_ends(w, "alli") & _cut(w, 4).rlike(M_OVER_0), _cut(w, 2)).otherwise(w)
 
 
-def _replace(w: Column, table: dict[str, str]) -> Column:
-    suffix = _suffix(w, table)
-    head = _head(w, suffix)
+def _replace(w: Column, suffix: Column, table: dict[str, str]) -> Column:
+    head = _cut(w, F.length(suffix))
     # -logi counts its l with the stem
-    tested = F.when(suffix == "logi", F.concat(head, F.lit("l"))).otherwise(head)
-    return F.when(
-        (suffix != "") & tested.rlike(M_OVER_0), F.concat(head, F.element_at(_literal_map(table), suffix))
-    ).otherwise(w)
+    tested = F.when(suffix == "logi", _cut(w, 3)).otherwise(head)
+    fits = (suffix != "") & tested.rlike(M_OVER_0)
+    return F.when(fits, F.concat(head, F.element_at(_literal_map(table), suffix))).otherwise(w)
 
 
-def _drop(w: Column) -> Column:
-    suffix = _suffix(w, STEP4)
-    head = _head(w, suffix)
+def _drop(w: Column, suffix: Column) -> Column:
+    head = _cut(w, F.length(suffix))
     fits = (suffix != "") & head.rlike(M_OVER_1) & ((suffix != "ion") | head.rlike("[st]$"))
     return F.when(fits, head).otherwise(w)
 
 
 def _last_e(w: Column) -> Column:
-    head = _swap(w, "e", "")
+    head = _cut(w, 1)
     fits = head.rlike(M_OVER_1) | (head.rlike(M_IS_1) & ~head.rlike(SHORT_END))
-    return F.when(w.rlike("e$") & fits, head).otherwise(w)
+    return F.when(_ends(w, "e") & fits, head).otherwise(w)
 
 
 def _last_l(w: Column) -> Column:
-    return F.when(w.rlike("ll$") & _swap(w, "l", "").rlike(M_OVER_1), _swap(w, "l", "")).otherwise(w)
-
-
-STEPS = (
-    _plural,
-    _past,
-    _tidy,
-    _last_y,
-    _alli,
-    lambda w: _replace(w, STEP2),
-    lambda w: _replace(w, STEP3),
-    _drop,
-    _last_e,
-    _last_l,
-)
+    return F.when(_ends(w, "ll") & _cut(w, 1).rlike(M_OVER_1), _cut(w, 1)).otherwise(w)
 
 
 def porter(df: DataFrame, token: str = "token", out: str = "stem") -> DataFrame:
     """Add the stem of a lower-case ``token`` column."""
+    w, suffix = F.col(out), F.col("_suffix")
     staged = df.withColumn(out, F.regexp_replace(token, "^y", "Y"))
-    for step in STEPS:
-        staged = staged.withColumn(out, step(F.col(out)))
-    irregular = F.element_at(_literal_map(IRREGULAR), F.col(token))
-    return staged.withColumn(
-        out,
-        F.coalesce(
-            irregular, F.when(F.length(token) <= 2, F.col(token)).otherwise(F.regexp_replace(out, "^Y", "y"))
-        ),
-    )
+    for step in (_plural, _past, _tidy, _last_y, _alli):
+        staged = staged.withColumn(out, step(w))
+    for table in (STEP2, STEP3):
+        staged = staged.withColumn("_suffix", _suffix(w, table)).withColumn(out, _replace(w, suffix, table))
+    staged = staged.withColumn("_suffix", _suffix(w, STEP4)).withColumn(out, _drop(w, suffix)).drop("_suffix")
+    for step in (_last_e, _last_l):
+        staged = staged.withColumn(out, step(w))
+    plain = F.when(F.length(token) <= 2, F.col(token)).otherwise(F.regexp_replace(w, "^Y", "y"))
+    return staged.withColumn(out, F.coalesce(F.try_element_at(_literal_map(IRREGULAR), F.col(token)), plain))
 
 
 def identity(df: DataFrame, token: str = "token", out: str = "stem") -> DataFrame:

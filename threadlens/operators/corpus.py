@@ -72,7 +72,8 @@ def lexicon(posts: DataFrame, stemmer: Stemmer = porter, tokenizer: Tokenizer =
 
 
 def log_likelihood(posts: DataFrame, lex: Lexicon, key: tuple[str, ...] = ("uid",), head_words: int = HEAD_WORDS) -> DataFrame:
-    """(key, loglikelihood): sum over tokens of C(w)·ln f(stem w), divided by the vocabulary size.
+    """(key, loglikelihood): sum over tokens of C(w)·ln f(stem w), divided by the vocabulary size. Posts
+    without any scored word have no row.
 
     Repeats are folded inside the row. Frequent words meet a broadcast table whose size is bounded, so most
     of the corpus is never shuffled; only rare words are joined by shuffle, and no rare word is hot.
@@ -91,6 +92,11 @@ def log_likelihood(posts: DataFrame, lex: Lexicon, key: tuple[str, ...] = ("uid"
         near = pairs.join(head, "w").select(*key, value)
         far = pairs.join(head, "w", "left_anti").join(rare, "w").select(*key, value)
         parts = near.unionByName(far)
-    summed = parts.groupBy(*key).agg(F.sum("part").alias("total"))
-    score = tx.round2(F.coalesce(F.col("total"), F.lit(0.0)) / lex.vocabulary) if lex.vocabulary else F.lit(0.0)
-    return texts.select(*key).join(summed, list(key), "left").select(*key, score.alias("loglikelihood"))
+    score = tx.round2(F.sum("part") / lex.vocabulary) if lex.vocabulary else F.lit(0.0)
+    return parts.groupBy(*key).agg(score.alias("loglikelihood"))
+
+
+def scored_posts(posts: DataFrame, lex: Lexicon, key: tuple[str, ...] = ("uid",)) -> DataFrame:
+    """``log_likelihood`` for every post; one without scored words has 0."""
+    found = log_likelihood(posts, lex, key)
+    return posts.select(*key).join(found, list(key), "left").fillna(0.0, subset=["loglikelihood"])

@@ -79,6 +79,15 @@ def text_features(df: DataFrame, average_syllables: bool = False) -> DataFrame:
     return rated.withColumn("F-K", tx.readability(F.col("avg_words_per_sentence"), syllables)).drop("_syllables")
 
 
+def measured_answers(posts: DataFrame) -> DataFrame:
+    """Answers with their text measures in place of the text."""
+    return text_features(
+        posts.filter(is_answer()).select(
+            *THREAD, "ordinal", "uid", "text", "date_time", "views", "upvotes", "resolve"
+        )
+    )
+
+
 def features(
     posts: DataFrame, lex: Lexicon | None = None, stemmer: Stemmer = porter, hot: HotKeys | None = None
 ) -> DataFrame:
@@ -89,14 +98,15 @@ def features(
     """
     hot = heavy_keys(posts, THREAD) if hot is None else hot
     lex = lexicon(posts, stemmer) if lex is None else lex
-    answers = posts.filter(is_answer())
-    measured = text_features(
-        answers.select(*THREAD, "ordinal", "uid", "text", "date_time", "views", "upvotes", "resolve")
-    )
-    scored = measured.join(log_likelihood(answers, lex, POST_KEY), list(POST_KEY))
-    in_threads = threads(posts, scored, hot=hot)
+    scores = log_likelihood(posts.filter(is_answer()), lex, POST_KEY)
+    in_threads = threads(posts, measured_answers(posts).join(scores, list(POST_KEY), "left"), hot=hot)
     tagged = lookup_join(in_threads, has_tags(posts, F.col("tags")), THREAD, "inner", hot)
-    timed = tagged.withColumn("time_difference", time_difference(F.col("date_time"), F.col("question_date")))
+    timed = tagged.withColumns(
+        {
+            "time_difference": time_difference(F.col("date_time"), F.col("question_date")),
+            "loglikelihood": F.coalesce("loglikelihood", F.lit(0.0)),
+        }
+    )
     ranked = add_ranks(timed, RANKS, THREAD, "uid", hot)
     return ranked.withColumns(
         {

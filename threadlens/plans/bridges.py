@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadlens.operators.skew import heavy_keys, lookup_join, number_rows
 from threadlens.schema import POST
+from threadlens.session import spread, stage
 
 FORUM_URL = "https://forum.example.org/question/"
 UNITS = ("second", "minute", "hour", "day", "week", "month", "year")
@@ -35,11 +36,11 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.table("documents")
+        return spread(self.table("documents"))
 
     @cached_property
     def pages(self) -> DataFrame:
-        return self.table("pages")
+        return spread(self.table("pages"))
 
     @cached_property
     def events(self) -> DataFrame:
@@ -91,6 +92,11 @@ class Tables:
             F.col("ordinal").cast("int").alias("ordinal"),
         ).select(*POST.fieldNames())
 
+    @cached_property
+    def store(self) -> DataFrame:
+        """Posts as the harvest leaves them: a written store."""
+        return stage(self.posts(), "posts")
+
     def posts_gap(self) -> DataFrame:
         """Posts with missing answers, empty texts and tagged answers."""
         thread, ordinal = F.col("thread_id").cast("long"), F.col("ordinal")

@@ -145,4 +145,4 @@ fr as (select stem, sum(n) f from stems group by stem),
 
 @query("q_ft_loglik", "select doc_id, loglikelihood from loglik", extra=STEM_SQL + "," + loglik_sql("documents", "doc_id"))
 def loglik(t: Tables) -> DataFrame:
-    return co.log_likelihood(t.documents, co.lexicon(t.documents), ("doc_id",))
+    return co.scored_posts(t.documents, co.lexicon(t.documents), ("doc_id",))

@@ -240,7 +240,7 @@ features as (select site, thread_id, ordinal, resolved, question_uid, answers_co
 
 @query("q_ft_feature_table", "select * from features", "posts", extra=FEATURE_SQL)
 def feature_table(t: Tables) -> DataFrame:
-    return ft.features(t.posts())
+    return ft.features(t.store)
 
 
 # --- ranks ------------------------------------------------------------------------------------------------
@@ -252,8 +252,14 @@ def rank_query(name: str, key: str, descending: bool, out: str):
 
     @query(name, sql, "posts", extra=FEATURE_SQL)
     def ranked(t: Tables) -> DataFrame:
-        table = ft.features(t.posts())
-        return table.select("answer_uid", F.col(f"`{key}`"), F.col(f"`{out}`"))
+        if key == "loglikelihood":
+            ranked = ft.features(t.store)
+        else:
+            posts = t.store
+            hot = heavy_keys(posts, THREAD)
+            answers = th.threads(posts, ft.measured_answers(posts), hot=hot).withColumn("answer_uid", F.col("uid"))
+            ranked = rk.add_rank(answers, key, descending, out, hot=hot)
+        return ranked.select("answer_uid", F.col(f"`{key}`"), F.col(f"`{out}`"))
 
 
 for _name, _key, _descending, _out in (

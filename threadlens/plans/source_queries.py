@@ -149,7 +149,7 @@ from (select *, ordinal = min(ordinal) over (partition by site, thread_id) is_fi
 @query("q_sink_features_csv", FILE_SQL, "posts", extra=FEATURE_SQL)
 def sink_features_csv(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "features")
-    table = features(t.posts())
+    table = features(t.store)
     write_features(table, path)
     file_schema = table.select(*[F.col(f"`{c}`") for c in FEATURES]).schema
     return read_features(t.spark, path, file_schema)

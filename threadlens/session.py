@@ -13,6 +13,8 @@ RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Text work is heavy per byte: small shuffles still use all cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
 }
 
 
@@ -58,3 +60,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, for loops."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table that arrives in fewer splits than there are cores over all of them; leave others alone.
+    For tables whose rows cost much work, such as texts."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -54,8 +54,9 @@ def write_features(features: DataFrame, path: str, sep: str = ";", hot: HotKeys
     placed = rows.repartitionByRange(*THREAD, "ordinal").sortWithinPartitions(*THREAD, "ordinal")
     placed.select(*[F.col(f"`{c}`") for c in FEATURES]).write.option("sep", sep).option("header", True).option(
         "escape", '"'
-    ).csv(path)
+    ).option("emptyValue", "").csv(path)
 
 
 def read_features(spark: SparkSession, path: str, schema, sep: str = ";") -> DataFrame:
-    return spark.read.option("sep", sep).option("header", True).option("escape", '"').schema(schema).csv(path)
+    rows = spark.read.option("sep", sep).option("header", True).option("escape", '"').schema(schema).csv(path)
+    return rows.fillna("", subset=["resolved", "question_uid"])
