@@ -7,9 +7,7 @@ Follows M.F. Porter, "An algorithm for suffix stripping" (1980), with the widely
 
 from __future__ import annotations
 
-from itertools import chain
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A word is [C](VC)^m[V]. A leading y is written Y while a word is being stemmed: there it is a consonant.
@@ -22,7 +20,7 @@ HAS_VOWEL = f"^(?:{C})?{V}"
 # consonant-vowel-consonant at the end, the last not w, x or y; or a two-letter vowel-consonant word
 SHORT_END = f"^{C}[aeiouy][^aeiouwxyY]$|^[aeiou][^aeiou]$"
 CONSONANT_END = "(?:[^aeiouy]|[aeiou]y(?:yy)*|[^aeiouy](?:yy)+)$"
-# set where -ed or -ing fell and the ending still has to be tidied
+# put where -ed or -ing fell and the ending still has to be tidied
 MARK = "\u0001"
 
 # Irregular words.
@@ -47,102 +45,74 @@ STEP4 = (
 )
 
 
-def _ends(w: Column, suffix: str) -> Column:
-    return F.endswith(w, F.lit(suffix))
-
-
-def _cut(w: Column, n: int | Column) -> Column:
-    """The word without its last ``n`` characters."""
-    return F.substring(w, F.lit(1), F.length(w) - n)
-
-
-def _suffix(w: Column, suffixes) -> Column:
+def _suffix(suffixes) -> str:
     """Longest of ``suffixes`` that ends the word ('' if none)."""
     longest_first = sorted(suffixes, key=len, reverse=True)
-    return F.coalesce(*[F.when(_ends(w, s), F.lit(s)) for s in longest_first], F.lit(""))
-
-
-def _literal_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs.items())])
+    return "case " + " ".join(f"when endswith(w, '{s}') then '{s}'" for s in longest_first) + " else '' end"
 
 
-def _plural(w: Column) -> Column:
-    return (
-        F.when(_ends(w, "ies") & (F.length(w) == 4), _cut(w, 1))
-        .when(_ends(w, "sses") | _ends(w, "ies"), _cut(w, 2))
-        .when(_ends(w, "s") & ~_ends(w, "ss"), _cut(w, 1))
-        .otherwise(w)
-    )
+def _case(table: dict[str, str], key: str, other: str) -> str:
+    return f"case {key} " + " ".join(f"when '{old}' then '{new}'" for old, new in table.items()) + f" else {other} end"
 
 
-def _past(w: Column) -> Column:
-    return (
-        F.when(_ends(w, "ied"), F.when(F.length(w) == 4, _cut(w, 1)).otherwise(_cut(w, 2)))
-        .when(_ends(w, "eed"), F.when(_cut(w, 3).rlike(M_OVER_0), _cut(w, 1)).otherwise(w))
-        .when(_ends(w, "ed") & _cut(w, 2).rlike(HAS_VOWEL), F.concat(_cut(w, 2), F.lit(MARK)))
-        .when(_ends(w, "ing") & _cut(w, 3).rlike(HAS_VOWEL), F.concat(_cut(w, 3), F.lit(MARK)))
-        .otherwise(w)
-    )
-
-
-def _tidy(w: Column) -> Column:
-    bare = _cut(w, 1)
-    double = (F.substring(bare, -1, 1) == F.substring(bare, -2, 1)) & (F.length(bare) > 1) & bare.rlike(CONSONANT_END)
-    return (
-        F.when(~_ends(w, MARK), w)
-        .when(_ends(bare, "at") | _ends(bare, "bl") | _ends(bare, "iz"), F.concat(bare, F.lit("e")))
-        .when(double, F.when(F.substring(bare, -1, 1).isin("l", "s", "z"), bare).otherwise(_cut(bare, 1)))
-        .when(bare.rlike(M_IS_1) & bare.rlike(SHORT_END), F.concat(bare, F.lit("e")))
-        .otherwise(bare)
-    )
-
-
-def _last_y(w: Column) -> Column:
-    fits = _ends(w, "y") & (F.length(w) > 2) & _cut(w, 1).rlike(CONSONANT_END)
-    return F.when(fits, F.concat(_cut(w, 1), F.lit("i"))).otherwise(w)
+def _head(n: int | str) -> str:
+    """The word without its last ``n`` characters."""
+    return f"substring(w, 1, length(w) - {n})"
 
 
-def _alli(w: Column) -> Column:
-    return F.when(_ends(w, "alli") & _cut(w, 4).rlike(M_OVER_0), _cut(w, 2)).otherwise(w)
+PLURAL = f"""case when endswith(w, 'ies') and length(w) = 4 then {_head(1)}
+    when endswith(w, 'sses') or endswith(w, 'ies') then {_head(2)}
+    when endswith(w, 's') and not endswith(w, 'ss') then {_head(1)} else w end"""
 
+PAST = f"""case when endswith(w, 'ied') then if(length(w) = 4, {_head(1)}, {_head(2)})
+    when endswith(w, 'eed') then if({_head(3)} rlike '{M_OVER_0}', {_head(1)}, w)
+    when endswith(w, 'ed') and {_head(2)} rlike '{HAS_VOWEL}' then concat({_head(2)}, '{MARK}')
+    when endswith(w, 'ing') and {_head(3)} rlike '{HAS_VOWEL}' then concat({_head(3)}, '{MARK}') else w end"""
 
-def _replace(w: Column, suffix: Column, table: dict[str, str]) -> Column:
-    head = _cut(w, F.length(suffix))
-    # -logi counts its l with the stem
-    tested = F.when(suffix == "logi", _cut(w, 3)).otherwise(head)
-    fits = (suffix != "") & tested.rlike(M_OVER_0)
-    return F.when(fits, F.concat(head, F.element_at(_literal_map(table), suffix))).otherwise(w)
+TIDY = f"""case when not endswith(w, '{MARK}') then w
+    when bare rlike '(?:at|bl|iz)$' then concat(bare, 'e')
+    when length(bare) > 1 and right(bare, 1) = left(right(bare, 2), 1) and bare rlike '{CONSONANT_END}'
+      then if(right(bare, 1) in ('l', 's', 'z'), bare, substring(bare, 1, length(bare) - 1))
+    when bare rlike '{M_IS_1}' and bare rlike '{SHORT_END}' then concat(bare, 'e') else bare end"""
 
+LAST_Y = f"""if(endswith(w, 'y') and length(w) > 2 and {_head(1)} rlike '{CONSONANT_END}', concat({_head(1)}, 'i'), w)"""
 
-def _drop(w: Column, suffix: Column) -> Column:
-    head = _cut(w, F.length(suffix))
-    fits = (suffix != "") & head.rlike(M_OVER_1) & ((suffix != "ion") | head.rlike("[st]$"))
-    return F.when(fits, head).otherwise(w)
+ALLI = f"if(endswith(w, 'alli') and {_head(4)} rlike '{M_OVER_0}', {_head(2)}, w)"
 
+# -logi counts its l with the stem
+REPLACE = f"""if(suffix <> '' and if(suffix = 'logi', {_head(3)}, {_head('length(suffix)')}) rlike '{M_OVER_0}',
+    concat({_head('length(suffix)')}, %s), w)"""
 
-def _last_e(w: Column) -> Column:
-    head = _cut(w, 1)
-    fits = head.rlike(M_OVER_1) | (head.rlike(M_IS_1) & ~head.rlike(SHORT_END))
-    return F.when(_ends(w, "e") & fits, head).otherwise(w)
+DROP = f"""if(suffix <> '' and {_head('length(suffix)')} rlike '{M_OVER_1}'
+    and (suffix <> 'ion' or {_head(3)} rlike '[st]$'), {_head('length(suffix)')}, w)"""
 
+LAST_E = f"""if(endswith(w, 'e') and ({_head(1)} rlike '{M_OVER_1}'
+    or ({_head(1)} rlike '{M_IS_1}' and not {_head(1)} rlike '{SHORT_END}')), {_head(1)}, w)"""
 
-def _last_l(w: Column) -> Column:
-    return F.when(_ends(w, "ll") & _cut(w, 1).rlike(M_OVER_1), _cut(w, 1)).otherwise(w)
+LAST_L = f"if(endswith(w, 'll') and {_head(1)} rlike '{M_OVER_1}', {_head(1)}, w)"
 
 
 def porter(df: DataFrame, token: str = "token", out: str = "stem") -> DataFrame:
     """Add the stem of a lower-case ``token`` column."""
-    w, suffix = F.col(out), F.col("_suffix")
-    staged = df.withColumn(out, F.regexp_replace(token, "^y", "Y"))
-    for step in (_plural, _past, _tidy, _last_y, _alli):
-        staged = staged.withColumn(out, step(w))
+    kept = [f"`{c}`" for c in df.columns]
+
+    def step(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.selectExpr(*kept, *columns)
+
+    rows = step(df, f"regexp_replace(`{token}`, '^y', 'Y') as w")
+    rows = step(rows, f"{PLURAL} as w")
+    rows = step(rows, f"{PAST} as w")
+    rows = step(rows, "w", f"{_head(1)} as bare")
+    for expression in (TIDY, LAST_Y, ALLI):
+        rows = step(rows, f"{expression} as w")
     for table in (STEP2, STEP3):
-        staged = staged.withColumn("_suffix", _suffix(w, table)).withColumn(out, _replace(w, suffix, table))
-    staged = staged.withColumn("_suffix", _suffix(w, STEP4)).withColumn(out, _drop(w, suffix)).drop("_suffix")
-    for step in (_last_e, _last_l):
-        staged = staged.withColumn(out, step(w))
-    plain = F.when(F.length(token) <= 2, F.col(token)).otherwise(F.regexp_replace(w, "^Y", "y"))
-    return staged.withColumn(out, F.coalesce(F.try_element_at(_literal_map(IRREGULAR), F.col(token)), plain))
+        rows = step(rows, "w", f"{_suffix(table)} as suffix")
+        rows = step(rows, f"{REPLACE % _case(table, 'suffix', repr(''))} as w")
+    rows = step(rows, "w", f"{_suffix(STEP4)} as suffix")
+    for expression in (DROP, LAST_E, LAST_L):
+        rows = step(rows, f"{expression} as w")
+    regular = f"if(length(`{token}`) <= 2, `{token}`, regexp_replace(w, '^Y', 'y'))"
+    return step(rows, f"{_case(IRREGULAR, f'`{token}`', regular)} as `{out}`")
 
 
 def identity(df: DataFrame, token: str = "token", out: str = "stem") -> DataFrame:

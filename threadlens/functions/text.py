@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A token is a run of letters, digits and underscores, or one other visible character.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
-WHOLE_TOKEN = r"^(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])$"
+LONE_TOKEN = rf"(?<!\S)(?:{TOKEN})(?!\S)"
 
 # Fixed value: marks of a link and of program code in a post.
 LINK_MARK = r"http(s)?://"
@@ -22,15 +20,15 @@ CODE_MARK = (
 FK_WORDS, FK_SYLLABLES, FK_BASE = 0.39, 11.8, 15.59
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and use it several times in ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def lone_tokens(text: Column) -> Column:
+    """Tokens that stand alone between blanks."""
+    return F.regexp_extract_all(F.lower(text), F.lit(LONE_TOKEN), F.lit(0))
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
@@ -80,39 +78,3 @@ def has_links(text: Column) -> Column:
 
 def has_code(text: Column) -> Column:
     return F.coalesce(text.rlike(CODE_MARK), F.lit(False))
-
-
-def weighted_tokens(text: Column, tokenizer: Callable[[Column], Column] = tokens) -> Column:
-    """array<struct<w, weight>>: every token that also stands alone between blanks, once, with
-    (times as a blank-separated word) x (times as a token).
-
-    Counting happens inside the row: both lists are marked, sorted together and cut into runs, so no
-    (post, word) shuffle is needed. In sorted order the runs of a word are its tokens, then its words.
-    """
-    alone = F.filter(words(F.lower(text)), lambda w: w.rlike(WHOLE_TOKEN))
-    marked = F.concat(
-        F.transform(tokenizer(text), lambda w: F.concat(w, F.lit("\u0001"))),
-        F.transform(alone, lambda w: F.concat(w, F.lit("\u0002"))),
-    )
-
-    def cut(s: Column) -> Column:
-        starts = F.filter(
-            F.transform(s, lambda w, i: F.when((i == 0) | (w != F.get(s, i - 1)), i)), lambda i: i.isNotNull()
-        )
-        return bind(F.concat(starts, F.array(F.size(s))), lambda at: weigh(s, at))
-
-    def weigh(s: Column, at: Column) -> Column:
-        def run(start: Column, j: Column) -> Column:
-            marked_word = F.get(s, start)
-            word = F.substring(marked_word, F.lit(1), F.length(marked_word) - 1)
-            # A word run follows the token run of the same word; a foreign tokenizer may give none.
-            partner = (j > 0) & (F.get(s, F.get(at, j - 1)) == F.concat(word, F.lit("\u0001")))
-            weight = (F.get(at, j + 1) - start) * (start - F.get(at, j - 1))
-            return F.when(
-                F.endswith(marked_word, F.lit("\u0002")) & partner,
-                F.struct(word.alias("w"), weight.cast("long").alias("weight")),
-            )
-
-        return F.filter(F.transform(at, run), lambda p: p.isNotNull())
-
-    return bind(F.sort_array(marked), cut)

@@ -71,28 +71,40 @@ def lexicon(posts: DataFrame, stemmer: Stemmer = porter, tokenizer: Tokenizer =
     return Lexicon(words, words.count(), size["t"], size["v"], tokenizer)
 
 
+def word_weights(posts: DataFrame, lex: Lexicon, key: tuple[str, ...]) -> DataFrame:
+    """(key, w, kind) of every token (kind 0) and every blank-separated word (kind 1)."""
+    text = F.col("text")
+    # a word counts only if it is a token too, so other words need not be listed
+    alone = tx.lone_tokens(text) if lex.tokenizer is tx.tokens else tx.words(F.lower(text))
+    kinds = F.array(
+        F.struct(F.lit(0).alias("kind"), lex.tokenizer(text).alias("ws")),
+        F.struct(F.lit(1).alias("kind"), alone.alias("ws")),
+    )
+    return posts.select(*key, F.explode(kinds).alias("l")).select(*key, "l.kind", F.explode("l.ws").alias("w"))
+
+
 def log_likelihood(posts: DataFrame, lex: Lexicon, key: tuple[str, ...] = ("uid",), head_words: int = HEAD_WORDS) -> DataFrame:
-    """(key, loglikelihood): sum over tokens of C(w)·ln f(stem w), divided by the vocabulary size. Posts
+    """(key, loglikelihood): sum over tokens of C(w)·ln(freq(stem w)), divided by the vocabulary size. Posts
     without any scored word have no row.
 
-    Repeats are folded inside the row. Frequent words meet a broadcast table whose size is bounded, so most
-    of the corpus is never shuffled; only rare words are joined by shuffle, and no rare word is hot.
+    Repeats are folded per (post, word) before the shuffle. A small vocabulary is broadcast before that, so
+    unscored words are never shuffled; of a large one only the frequent words are broadcast, and the rare
+    ones, none of which is hot, are joined by shuffle.
     """
-    texts = posts.select(*key, "text")
-    pairs = texts.select(*key, F.explode(tx.weighted_tokens(F.col("text"), lex.tokenizer)).alias("p")).select(
-        *key, "p.w", "p.weight"
-    )
-    value = (F.col("weight") * F.col("lnf")).alias("part")
+    occurrences = word_weights(posts, lex, key)
+    weight = (F.sum(1 - F.col("kind")) * F.sum("kind")).alias("weight")
     if lex.scored <= head_words:
-        parts = pairs.join(F.broadcast(lex.words.select("w", "lnf")), "w").select(*key, value)
+        scored = occurrences.join(F.broadcast(lex.words.select("w", "lnf")), "w")
+        parts = scored.groupBy(*key, "w", "lnf").agg(weight)
     else:
+        pairs = occurrences.groupBy(*key, "w").agg(weight).filter(F.col("weight") > 0)
         frequent = F.col("n") * head_words > lex.total
         head = F.broadcast(lex.words.filter(frequent).select("w", "lnf"))
         rare = lex.words.filter(~frequent).select("w", "lnf")
-        near = pairs.join(head, "w").select(*key, value)
-        far = pairs.join(head, "w", "left_anti").join(rare, "w").select(*key, value)
+        near = pairs.join(head, "w").select(*key, "lnf", "weight")
+        far = pairs.join(head, "w", "left_anti").join(rare, "w").select(*key, "lnf", "weight")
         parts = near.unionByName(far)
-    score = tx.round2(F.sum("part") / lex.vocabulary) if lex.vocabulary else F.lit(0.0)
+    score = tx.round2(F.sum(F.col("weight") * F.col("lnf")) / lex.vocabulary) if lex.vocabulary else F.lit(0.0)
     return parts.groupBy(*key).agg(score.alias("loglikelihood"))
 
 
