@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from threadlens.operators.skew import heavy_keys, lookup_join
 from threadlens.session import cut_lineage
 
+# The known pages are a union of checkpointed rounds; after this many rounds they are written as one.
+FOLD_EVERY = 8
+
 
 def _gated(edges: DataFrame, gate: DataFrame) -> DataFrame:
     """Edges between pages that both pass the gate. ``gate`` holds each passing page once, as ``node``."""
@@ -28,13 +31,11 @@ def closure(seeds: DataFrame, edges: DataFrame, gate: DataFrame, max_depth: int
     while not fresh.isEmpty() and (max_depth is None or depth < max_depth):
         depth += 1
         step = lookup_join(edges, fresh.select(F.col("node").alias("src")), ["src"], "left_semi", hot)
-        fresh = cut_lineage(
-            step.select(F.col("dst").alias("node"))
-            .distinct()
-            .join(known, "node", "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        known = cut_lineage(known.unionByName(fresh))
+        found = step.select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti")
+        fresh = cut_lineage(found.withColumn("depth", F.lit(depth)))
+        known = known.unionByName(fresh)
+        if depth % FOLD_EVERY == 0:
+            known = cut_lineage(known)
     return known
 
 
@@ -49,7 +50,8 @@ def chain(seeds: DataFrame, edges: DataFrame, gate: DataFrame) -> DataFrame:
     found = seeds.select("node").distinct().join(gate, "node", "left_semi").withColumn("depth", F.lit(0).cast("long"))
     found, span, size = cut_lineage(found), 1, -1
     while True:
-        ahead = lookup_join(found.withColumnRenamed("node", "src"), jump, ["src"], "inner")
+        # one row per page on both sides
+        ahead = found.withColumnRenamed("node", "src").join(jump, "src")
         reached = ahead.select(F.col("dst").alias("node"), (F.col("depth") + span).alias("depth"))
         found = cut_lineage(found.unionByName(reached).groupBy("node").agg(F.min("depth").alias("depth")))
         total = found.count()

@@ -12,14 +12,12 @@ NEST_PART = 1_000
 
 
 def question_side(posts: DataFrame) -> DataFrame:
-    """The thread-level columns, one row per thread."""
-    return posts.filter(is_question()).select(
-        *THREAD,
-        F.col("uid").alias("question_uid"),
-        F.col("answers").alias("answers_count"),
-        F.col("resolve").alias("resolved"),
-        F.col("date_time").alias("question_date"),
-    )
+    """The thread-level columns, exactly one row per thread: copies of a question collapse map-side, and the
+    aggregate leaves the rows partitioned for the join that follows."""
+    columns = {"question_uid": "uid", "answers_count": "answers", "resolved": "resolve", "question_date": "date_time"}
+    question = F.struct(*[F.col(c).alias(name) for name, c in columns.items()])
+    per_thread = posts.filter(is_question()).groupBy(*THREAD).agg(F.min(question).alias("q"))
+    return per_thread.select(*THREAD, *[f"q.{name}" for name in columns])
 
 
 def threads(
