@@ -46,14 +46,14 @@ def test_typed_posts(spark):
     raw = spark.createDataFrame(
         [
             ("a", "7", "Question", "", "T", "x", "not available", "N/A", "0", "2", "True", "---", "u"),
-            ("a", "7.2", "answer", "kim", "", "y", "2016-02-03 04:05:06", "java null sap", "3", "---", "solution", "5", "u"),
+            ("a", "7.2", "answer", "kim", "", "y", "2016-02-03 04:05:06", "java null spark", "3", "---", "solution", "5", "u"),
         ],
         "site string, uid string, type string, author string, title string, text string, date_time string, tags string,"
         " views string, answers string, resolve string, upvotes string, url string",
     )
     q, a = sorted(typed_posts(raw).collect(), key=lambda r: r.ordinal)
     assert (q.thread_id, q.ordinal, q.type, q.author, q.date_time, q.tags, q.answers, q.upvotes) == ("7", 0, "question", None, None, [], 2, None)
-    assert (a.thread_id, a.ordinal, a.date_time, a.tags, a.answers, a.upvotes) == ("7", 2, datetime(2016, 2, 3, 4, 5, 6), ["java", "sap"], None, 5)
+    assert (a.thread_id, a.ordinal, a.date_time, a.tags, a.answers, a.upvotes) == ("7", 2, datetime(2016, 2, 3, 4, 5, 6), ["java", "spark"], None, 5)
 
 
 def test_topics(spark, tmp_path):

@@ -43,18 +43,15 @@ def number_answers(
     return number_rows(ranked, by, ["_later", *order], "ordinal", hot).drop("_later")
 
 
-def mark_solution(answers: DataFrame, threads: DataFrame, by: Sequence[str] = THREAD) -> DataFrame:
+def mark_solution(
+    answers: DataFrame, threads: DataFrame, by: Sequence[str] = THREAD, hot: HotKeys | None = None
+) -> DataFrame:
     """An answer is the solution when author and date are those of the thread's solution and the thread is
-    not 'Not Answered.'."""
-    keys = [*by, "author", "date_time"]
-    accepted = threads.filter(F.col("status") != "Not Answered.").select(
-        *by,
-        F.col("solution_user").alias("author"),
-        F.col("solution_date").alias("date_time"),
-        F.lit(True).alias("_hit"),
-    )
-    marked = lookup_join(answers, accepted.distinct(), keys, "left")
-    return marked.withColumn("resolve", F.when(F.col("_hit"), "solution").otherwise("---")).drop("_hit")
+    not 'Not Answered.'. ``threads`` holds each thread once."""
+    accepted = threads.filter(F.col("status") != "Not Answered.").select(*by, "solution_user", "solution_date")
+    marked = lookup_join(answers, accepted, by, "left", hot)
+    hit = (F.col("author") == F.col("solution_user")) & (F.col("date_time") == F.col("solution_date"))
+    return marked.withColumn("resolve", F.when(hit, "solution").otherwise("---")).drop("solution_user", "solution_date")
 
 
 def question_status(answers: DataFrame, by: Sequence[str] = THREAD, best: str = "is_best") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +100,10 @@ def features(
     """
     hot = heavy_keys(posts, THREAD) if hot is None else hot
     lex = lexicon(posts, stemmer) if lex is None else lex
+    return reduce(DataFrame.unionByName, [_feature_rows(part, lex, keys) for part, keys in hot.parts(posts)])
+
+
+def _feature_rows(posts: DataFrame, lex: Lexicon, hot: HotKeys) -> DataFrame:
     scores = log_likelihood(posts.filter(is_answer()), lex, POST_KEY)
     in_threads = threads(posts, measured_answers(posts).join(scores, list(POST_KEY), "left"), hot=hot)
     tagged = lookup_join(in_threads, has_tags(posts, F.col("tags")), THREAD, "inner", hot)

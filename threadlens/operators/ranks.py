@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from threadlens.operators.skew import HotKeys, attach_group, heavy_keys, lookup_join, running_total
 from threadlens.schema import THREAD
+from threadlens.session import stage
 
 
 @dataclass(frozen=True)
@@ -80,9 +81,11 @@ def add_ranks(
 ) -> DataFrame:
     """``uid`` is unique within a group (used for large groups only)."""
     hot = heavy_keys(df, by) if hot is None else hot
-    if not hot:
-        return _windowed(df, specs, by)
-    return _windowed(hot.cold(df), specs, by).unionByName(_distributed(hot.hot(df), specs, by, uid))
+    return hot.split(
+        df,
+        lambda rows: _windowed(rows, specs, by),
+        lambda rows: _distributed(stage(rows, "large-groups"), specs, by, uid),
+    )
 
 
 def add_rank(df: DataFrame, key: str, descending: bool = True, out: str | None = None, **kwargs) -> DataFrame:

@@ -7,8 +7,9 @@ Whatever is keyed by the list is therefore small enough to broadcast, and everyt
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,12 @@ HOT_KEYS = 1_000
 
 @dataclass(frozen=True)
 class HotKeys:
+    """Groups that need care: none (``frame`` is None), those in ``frame``, or all of a table that was cut
+    down to them (``whole``)."""
+
     by: tuple[str, ...]
-    frame: DataFrame | None  # None: no group is large
+    frame: DataFrame | None
+    whole: bool = False
 
     def __bool__(self) -> bool:
         return self.frame is not None
@@ -34,6 +39,20 @@ class HotKeys:
     def hot(self, df: DataFrame) -> DataFrame:
         return df.join(F.broadcast(self.frame), list(self.by), "left_semi")
 
+    def parts(self, df: DataFrame) -> list[tuple[DataFrame, HotKeys]]:
+        """``df`` cut at the scan, each part with the keys that apply to it, so that costly steps in between
+        run once per row."""
+        if not self or self.whole:
+            return [(df, self)]
+        return [(self.cold(df), HotKeys(self.by, None)), (self.hot(df), HotKeys(self.by, self.frame, True))]
+
+    def split(
+        self, df: DataFrame, plain: Callable[[DataFrame], DataFrame], special: Callable[[DataFrame], DataFrame]
+    ) -> DataFrame:
+        """``plain`` for rows of ordinary groups, ``special`` for rows of large ones."""
+        done = [(special if keys else plain)(part) for part, keys in self.parts(df)]
+        return reduce(DataFrame.unionByName, done)
+
 
 def heavy_keys(df: DataFrame, by: Sequence[str], min_rows: int | None = None) -> HotKeys:
     """Largest groups of ``df`` with more than ``min_rows`` rows. One column-pruned aggregate with map-side
@@ -54,10 +73,11 @@ def lookup_join(
     dim rows they need and are not shuffled."""
     on = list(on)
     hot = heavy_keys(facts, on) if hot is None else hot
-    if not hot:
-        return facts.join(dims, on, how)
-    cold = hot.cold(facts).join(dims, on, how)
-    return cold.unionByName(hot.hot(facts).join(F.broadcast(hot.hot(dims)), on, how))
+    return hot.split(
+        facts,
+        lambda rows: rows.join(dims, on, how),
+        lambda rows: rows.join(F.broadcast(hot.hot(dims)), on, how),
+    )
 
 
 def attach_group(
@@ -71,11 +91,11 @@ def attach_group(
     def windowed(part: DataFrame) -> DataFrame:
         return part.withColumns({name: stat.over(Window.partitionBy(*by)) for name, stat in stats.items()})
 
-    if not hot:
-        return windowed(df)
-    big = hot.hot(df)
-    per_group = big.groupBy(*by).agg(*[stat.alias(name) for name, stat in stats.items()])
-    return windowed(hot.cold(df)).unionByName(big.join(F.broadcast(per_group), by))
+    def joined(part: DataFrame) -> DataFrame:
+        per_group = part.groupBy(*by).agg(*[stat.alias(name) for name, stat in stats.items()])
+        return part.join(F.broadcast(per_group), by)
+
+    return hot.split(df, windowed, joined)
 
 
 def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], weight: Column, out: str) -> DataFrame:
@@ -117,10 +137,10 @@ def number_rows(
     def windowed(part: DataFrame) -> DataFrame:
         return part.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
-    if not hot:
-        return windowed(df)
-    ranged = running_total(hot.hot(df), by, order, F.lit(1), out)
-    return windowed(hot.cold(df)).unionByName(ranged.withColumn(out, (F.col(out) + 1).cast("int")))
+    def ranged(part: DataFrame) -> DataFrame:
+        return running_total(part, by, order, F.lit(1), out).withColumn(out, (F.col(out) + 1).cast("int"))
+
+    return hot.split(df, windowed, ranged)
 
 
 def number_all(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.operators.skew import HotKeys, lookup_join
+from threadlens.operators.skew import HotKeys, lookup_join, number_rows
 from threadlens.schema import SENTINELS, THREAD, is_answer, is_question
 
 NEST_PART = 1_000
@@ -65,12 +65,15 @@ def thread_tag_rows(df: DataFrame, tags: Column, by=THREAD) -> DataFrame:
     return df.select(*by, F.explode(tags).alias("tag")).distinct()
 
 
-def thread_tags(df: DataFrame, tags: Column, by=THREAD) -> DataFrame:
-    """Sorted distinct tags of each thread; threads without tags have an empty list."""
-    listed = thread_tag_rows(df, tags, by).groupBy(*by).agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+def thread_tags(df: DataFrame, tags: Column, by=THREAD, part_tags: int = NEST_PART) -> DataFrame:
+    """Sorted distinct tags of each thread; threads without tags have an empty list. More than ``part_tags``
+    tags go on in rows with part = 1, 2, …"""
+    numbered = number_rows(thread_tag_rows(df, tags, by), by, ["tag"], "n")
+    part = F.floor((F.col("n") - 1) / part_tags).cast("int")
+    listed = numbered.groupBy(*by, part.alias("part")).agg(F.array_sort(F.collect_list("tag")).alias("tags"))
     return (
         df.select(*by).distinct().join(listed, list(by), "left")
-        .withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+        .withColumns({"part": F.coalesce("part", F.lit(0)), "tags": F.coalesce("tags", F.array().cast("array<string>"))})
     )
 
 

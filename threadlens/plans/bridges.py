@@ -8,8 +8,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.operators.skew import heavy_keys, lookup_join, number_rows
-from threadlens.schema import POST
+from threadlens.operators.skew import HotKeys, heavy_keys, lookup_join, number_rows
+from threadlens.schema import POST, THREAD
 from threadlens.session import spread, stage
 
 FORUM_URL = "https://forum.example.org/question/"
@@ -67,7 +67,7 @@ class Tables:
             (F.col("number") - 1).alias("ordinal"),
             ((F.col("conv_id") * 31 + F.col("turn") * 17) % span).alias("user_id"),
         )
-        rows = lookup_join(rows, users, ["user_id"], "left")
+        rows = rows.join(users, "user_id", "left")
         thread, q = _text("conv_id"), F.col("ordinal") == 0
         solved = F.col("conv_id") % 3 != 0
         return rows.select(
@@ -105,6 +105,17 @@ class Tables:
             "tags", F.when((thread % 6 == 3) & (ordinal > 0), F.array(F.lit("x"))).otherwise(F.col("tags"))
         )
 
+    @cached_property
+    def large_orders(self) -> HotKeys:
+        return heavy_keys(self.table("lineitem"), ["l_orderkey"])
+
+    @cached_property
+    def large_threads(self) -> HotKeys:
+        """The same, as threads of ``lines``."""
+        frame = self.large_orders.frame
+        named = frame and frame.select(F.lit("c").alias("site"), _text("l_orderkey").alias("thread_id"))
+        return HotKeys(THREAD, named)
+
     def lines(self) -> DataFrame:
         """An order is a thread, its lines are the answers."""
         orders = self.table("orders").select(
@@ -113,7 +124,7 @@ class Tables:
         line = self.table("lineitem").select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"
         )
-        joined = lookup_join(line, orders, ["l_orderkey"])
+        joined = lookup_join(line, orders, ["l_orderkey"], hot=self.large_orders)
         comma = (F.col("l_orderkey") % 50 == 0) & (F.col("l_linenumber") == 1)
         return joined.select(
             F.lit("c").alias("site"),

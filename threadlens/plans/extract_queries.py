@@ -11,7 +11,7 @@ from threadlens.operators import extract as ex
 from threadlens.operators.frontier import dedup_last
 from threadlens.plans.bridges import Tables
 from threadlens.plans.registry import query
-from threadlens.schema import STORE_DATE
+from threadlens.schema import STORE_DATE, THREAD
 
 FORMAT = "'%Y-%m-%d %H:%M:%S'"
 
@@ -233,7 +233,7 @@ def uid_answer(t: Tables) -> DataFrame:
     """The second line is the best answer; a line number is a page, part and supplier the place on it."""
     answers = t.lines().withColumn("is_best", F.col("l_linenumber") == 2)
     order = ("l_linenumber", "l_partkey", "l_suppkey")
-    return ex.number_answers(answers, ("thread_id",), "is_best", order).select("uid", "ordinal")
+    return ex.number_answers(answers, THREAD, "is_best", order, t.large_threads).select("uid", "ordinal")
 
 
 @query(
@@ -250,7 +250,8 @@ def solution_mark(t: Tables) -> DataFrame:
     threads = lines.groupBy("site", "thread_id", "status").agg(
         F.min_by("author", place).alias("solution_user"), F.min_by("date_time", place).alias("solution_date")
     )
-    return ex.mark_solution(lines.drop("status", "resolve"), threads).select("uid", "resolve")
+    answers = lines.select(*THREAD, "uid", "author", "date_time")
+    return ex.mark_solution(answers, threads, hot=t.large_threads).select("uid", "resolve")
 
 
 @query(

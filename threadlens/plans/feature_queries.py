@@ -10,7 +10,7 @@ from threadlens.operators import features as ft
 from threadlens.operators import ranks as rk
 from threadlens.operators import reports as rp
 from threadlens.operators import threads as th
-from threadlens.operators.skew import HotKeys, heavy_keys
+from threadlens.operators.skew import heavy_keys
 from threadlens.plans.bridges import Tables
 from threadlens.plans.corpus_queries import loglik_sql, stem_sql
 from threadlens.plans.registry import query
@@ -280,16 +280,13 @@ LINE_NUMBERS_SQL = """
 numbers as (select *, coalesce(try_cast(upvotes as bigint), 0) votes, cast(replace(views, ',', '') as bigint) seen from lines)"""
 
 
-def line_numbers(t: Tables) -> tuple[DataFrame, HotKeys]:
-    lines = t.lines()
-    hot = heavy_keys(t.table("lineitem").select(F.lit("c").alias("site"), F.col("l_orderkey").cast("string").alias("thread_id")), THREAD)
-    numbers = lines.withColumns(
+def line_numbers(t: Tables) -> DataFrame:
+    return t.lines().withColumns(
         {
             "votes": rp.votes(F.col("upvotes")),
             "seen": F.replace("views", F.lit(","), F.lit("")).cast("long"),
         }
     )
-    return numbers, hot
 
 
 @query(
@@ -300,7 +297,7 @@ def line_numbers(t: Tables) -> tuple[DataFrame, HotKeys]:
     extra=LINE_NUMBERS_SQL,
 )
 def rank_generic(t: Tables) -> DataFrame:
-    numbers, hot = line_numbers(t)
+    numbers, hot = line_numbers(t), t.large_threads
     specs = [rk.RankSpec("votes", "votes_rank"), rk.RankSpec("seen", "seen_rank", descending=False)]
     ranked = rk.add_ranks(numbers.select(*THREAD, "uid", "votes", "seen"), specs, hot=hot)
     return ranked.select("uid", "votes_rank", "seen_rank")
@@ -313,7 +310,7 @@ def rank_generic(t: Tables) -> DataFrame:
     extra=LINE_NUMBERS_SQL,
 )
 def rank_upvotes(t: Tables) -> DataFrame:
-    numbers, hot = line_numbers(t)
+    numbers, hot = line_numbers(t), t.large_threads
     ranked = rk.add_rank(numbers.select(*THREAD, "uid", "votes"), "votes", out="upvotes_rank", hot=hot)
     return ranked.select("uid", "votes", "upvotes_rank")
 
@@ -325,7 +322,7 @@ def rank_upvotes(t: Tables) -> DataFrame:
     extra=LINE_NUMBERS_SQL,
 )
 def rank_views(t: Tables) -> DataFrame:
-    numbers, hot = line_numbers(t)
+    numbers, hot = line_numbers(t), t.large_threads
     ranked = rk.add_rank(numbers.select(*THREAD, "uid", "seen"), "seen", out="views_rank", hot=hot)
     return ranked.select("uid", "seen", "views_rank")
 
@@ -337,7 +334,7 @@ def rank_views(t: Tables) -> DataFrame:
     "lines",
 )
 def rank_time_difference(t: Tables) -> DataFrame:
-    numbers, hot = line_numbers(t)
+    numbers, hot = line_numbers(t), t.large_threads
     timed = numbers.select(
         *THREAD, "uid", ft.time_difference(F.col("date_time"), F.col("question_date")).alias("time_difference")
     )
@@ -354,7 +351,7 @@ def rank_time_difference(t: Tables) -> DataFrame:
     "lines",
 )
 def rank_guard(t: Tables) -> DataFrame:
-    numbers, hot = line_numbers(t)
+    numbers, hot = line_numbers(t), t.large_threads
     return rk.guarded_rank(numbers.select(*THREAD, "uid", "views"), "views", hot=hot).select("uid", "views_rank")
 
 

@@ -9,6 +9,7 @@ from threadlens.operators import quality as qc
 from threadlens.operators import reports as rp
 from threadlens.plans.bridges import Tables
 from threadlens.plans.registry import query
+from threadlens.schema import THREAD
 
 
 @query(
@@ -84,7 +85,8 @@ def max_upvotes(t: Tables) -> DataFrame:
 
 @query("q_rp_predict_top", "select uid, prediction from predicted", "lines", extra=TOP_SQL)
 def predict_top(t: Tables) -> DataFrame:
-    return rp.predict_top(t.lines(), ("thread_id",)).select("uid", "prediction")
+    lines = t.lines().select(*THREAD, "uid", "upvotes")
+    return rp.predict_top(lines, hot=t.large_threads).select("uid", "prediction")
 
 
 @query(
