@@ -55,11 +55,11 @@ def chain(seeds: DataFrame, edges: DataFrame, gate: DataFrame) -> DataFrame:
         reached = ahead.select(F.col("dst").alias("node"), (F.col("depth") + span).alias("depth"))
         found = cut_lineage(found.unionByName(reached).groupBy("node").agg(F.min("depth").alias("depth")))
         total = found.count()
-        onward = jump.select(F.col("src").alias("dst"), F.col("dst").alias("beyond"))
-        jump = cut_lineage(
-            lookup_join(jump, onward, ["dst"], "inner").select("src", F.col("beyond").alias("dst"))
-        )
         # A round that adds no page adds none later: reach is closed under jumps of this and shorter spans.
-        if total == size or jump.isEmpty():
+        if total == size:
+            return found
+        onward = jump.select(F.col("src").alias("dst"), F.col("dst").alias("beyond"))
+        jump = cut_lineage(lookup_join(jump, onward, ["dst"], "inner").select("src", F.col("beyond").alias("dst")))
+        if jump.isEmpty():
             return found
         size, span = total, span * 2

@@ -3,12 +3,12 @@ events as sightings and captions, pages as a link graph. Each bridge has its SQL
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.operators.skew import HotKeys, heavy_keys, lookup_join, number_rows
+from threadlens.operators.skew import HotKeys, attach_group, heavy_keys, lookup_join, number_rows
 from threadlens.schema import POST, THREAD
 from threadlens.session import spread, stage
 
@@ -46,23 +46,29 @@ class Tables:
     def events(self) -> DataFrame:
         return self.table("events")
 
+    @staticmethod
+    def _conversations(talk: DataFrame, hot: HotKeys) -> DataFrame:
+        """First user turn and later assistant turns, numbered, with the number of answers: one exchange."""
+        asked = F.min(F.when(F.col("role") == "user", F.col("turn")))
+        opened = attach_group(talk, ["conv_id"], {"first_turn": asked}, hot)
+        said = opened.filter(
+            (F.col("turn") == F.col("first_turn")) | ((F.col("role") == "assistant") & (F.col("turn") > F.col("first_turn")))
+        )
+        numbered = number_rows(said, ["conv_id"], ["turn"], "number", hot)
+        return attach_group(numbered, ["conv_id"], {"posts": F.count("*")}, hot)
+
     def posts(self) -> DataFrame:
         """A conversation is a thread: its first user turn is the question, later assistant turns the answers."""
         talk = self.table("conversations").select("conv_id", "turn", "role", "text")
         hot = heavy_keys(talk, ["conv_id"])
-        first = talk.filter(F.col("role") == "user").groupBy("conv_id").agg(F.min("turn").alias("first_turn"))
-        said = lookup_join(talk, first, ["conv_id"], hot=hot).filter(
-            (F.col("turn") == F.col("first_turn")) | ((F.col("role") == "assistant") & (F.col("turn") > F.col("first_turn")))
-        )
-        declared = said.groupBy("conv_id").agg((F.count("*") - 1).cast("int").alias("declared"))
-        numbered = number_rows(said.drop("first_turn"), ["conv_id"], ["turn"], "number", hot)
+        numbered = reduce(DataFrame.unionByName, [self._conversations(part, keys) for part, keys in hot.parts(talk)])
         users = self.events.groupBy("user_id").agg(
             F.count_if(F.col("event_type") == "view").alias("views"),
             F.count_if(F.col("event_type") == "click").alias("upvotes"),
             F.min("ts").cast("timestamp").alias("date_time"),
         )
         span = self.events.agg(F.max("user_id") + 1).scalar()
-        rows = lookup_join(numbered, declared, ["conv_id"], hot=hot).select(
+        rows = numbered.select(
             "*",
             (F.col("number") - 1).alias("ordinal"),
             ((F.col("conv_id") * 31 + F.col("turn") * 17) % span).alias("user_id"),
@@ -83,7 +89,7 @@ class Tables:
                 F.array(F.concat(F.lit("topic"), _text(F.col("conv_id") % 5)), F.lit("forum")),
             ).alias("tags"),
             F.coalesce("views", F.lit(0)).cast("long").alias("views"),
-            F.when(q, F.col("declared")).otherwise(0).cast("int").alias("answers"),
+            F.when(q, F.col("posts") - 1).otherwise(0).cast("int").alias("answers"),
             F.when(q & solved, "True").when(q, "False").when((F.col("ordinal") == 1) & solved, "solution")
             .otherwise("").alias("resolve"),
             F.coalesce("upvotes", F.lit(0)).cast("long").alias("upvotes"),
