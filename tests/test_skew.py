@@ -114,6 +114,23 @@ def test_features(tables, monkeypatch):
     assert rows_of(features(posts, hot=hot)) == plain
 
 
+def test_features_of_the_other_site(tables):
+    """The question counts as answer 1, the last answer is lost, and upvotes have no ranks."""
+    posts = tables.store
+    rows = features(posts, compat="c", unranked=["upvotes_rank"], hot=NONE)
+    assert rows.filter(F.col("upvotes_rank").isNotNull()).isEmpty()
+    pairs = {(r.question_uid, r.answer_uid) for r in rows.collect()}
+    expected = {(r.question_uid, r.uid) for r in threads(posts, compat="c", hot=NONE).collect()}
+    assert pairs == expected and all((q, q) in pairs for q, _ in pairs)
+
+
+def test_copies_of_a_question(tables):
+    """Copies of a question do not multiply its answers."""
+    posts = tables.store
+    copies = posts.unionByName(posts.filter(F.col("type") == "question"))
+    same(threads(copies, hot=NONE).drop("text"), threads(posts, hot=NONE).drop("text"))
+
+
 def test_threads_and_first_rows(tables, monkeypatch):
     posts = tables.store.drop("text")
     plain = threads(posts, hot=NONE)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +13,8 @@ from threadlens.functions.stemming import porter
 from threadlens.operators.corpus import Lexicon, Stemmer, lexicon, log_likelihood
 from threadlens.operators.ranks import RankSpec, add_ranks
 from threadlens.operators.skew import HotKeys, heavy_keys, lookup_join
-from threadlens.operators.threads import has_tags, threads
-from threadlens.schema import POST_KEY, STORE_DATE, THREAD, is_answer
+from threadlens.operators.threads import answer_rows, has_tags, threads
+from threadlens.schema import POST_KEY, STORE_DATE, THREAD
 
 # Feature columns in file order.
 FEATURES = (
@@ -81,31 +82,43 @@ def text_features(df: DataFrame, average_syllables: bool = False) -> DataFrame:
     return rated.withColumn("F-K", tx.readability(F.col("avg_words_per_sentence"), syllables)).drop("_syllables")
 
 
-def measured_answers(posts: DataFrame) -> DataFrame:
+def measured_answers(posts: DataFrame, compat: str | None = None) -> DataFrame:
     """Answers with their text measures in place of the text."""
     return text_features(
-        posts.filter(is_answer()).select(
+        answer_rows(posts, compat).select(
             *THREAD, "ordinal", "uid", "text", "date_time", "views", "upvotes", "resolve"
         )
     )
 
 
 def features(
-    posts: DataFrame, lex: Lexicon | None = None, stemmer: Stemmer = porter, hot: HotKeys | None = None
+    posts: DataFrame,
+    lex: Lexicon | None = None,
+    stemmer: Stemmer = porter,
+    hot: HotKeys | None = None,
+    compat: str | None = None,
+    unranked: Sequence[str] = (),
 ) -> DataFrame:
     """One row per answer: site, thread_id, ordinal and the 33 feature columns.
 
     Texts are measured where they are read; only numbers are shuffled. Join and all ranks use one
-    partitioning by thread, and threads too large for one task go the distributed way.
+    partitioning by thread, and threads too large for one task go the distributed way. ``posts`` holds each
+    (site, uid) once (``dedup_last``).
+
+    One site pairs threads with ``compat="c"`` (see ``threads``) and leaves the ``unranked`` rank columns
+    empty (there: upvotes_rank).
     """
     hot = heavy_keys(posts, THREAD) if hot is None else hot
     lex = lexicon(posts, stemmer) if lex is None else lex
-    return reduce(DataFrame.unionByName, [_feature_rows(part, lex, keys) for part, keys in hot.parts(posts)])
+    parts = [_feature_rows(part, lex, keys, compat) for part, keys in hot.parts(posts)]
+    table = reduce(DataFrame.unionByName, parts)
+    return table.withColumns({c: F.lit(None).cast("int") for c in unranked}) if unranked else table
 
 
-def _feature_rows(posts: DataFrame, lex: Lexicon, hot: HotKeys) -> DataFrame:
-    scores = log_likelihood(posts.filter(is_answer()), lex, POST_KEY)
-    in_threads = threads(posts, measured_answers(posts).join(scores, list(POST_KEY), "left"), hot=hot)
+def _feature_rows(posts: DataFrame, lex: Lexicon, hot: HotKeys, compat: str | None) -> DataFrame:
+    scores = log_likelihood(answer_rows(posts, compat), lex, POST_KEY)
+    measured = measured_answers(posts, compat).join(scores, list(POST_KEY), "left")
+    in_threads = threads(posts, measured, compat, hot)
     tagged = lookup_join(in_threads, has_tags(posts, F.col("tags")), THREAD, "inner", hot)
     timed = tagged.withColumns(
         {

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlens.operators.skew import lookup_join
 from threadlens.operators.threads import threads
 from threadlens.schema import THREAD, is_answer, is_question
 
 
+def declared_counts(posts: DataFrame) -> DataFrame:
+    return posts.filter(is_question()).groupBy(*THREAD).agg(F.max("answers").alias("expected"))
+
+
 def prefix_counts(posts: DataFrame) -> DataFrame:
     """Length of the unbroken run of answers 1, 2, 3, … per question.
 
@@ -35,7 +40,7 @@ def prefix_counts(posts: DataFrame) -> DataFrame:
 
 def reconcile_counts(posts: DataFrame) -> DataFrame:
     """Declared answer count of each question against the unbroken run that exists; lowered where too high."""
-    questions = posts.filter(is_question()).select(*THREAD, F.col("answers").alias("expected"))
+    questions = declared_counts(posts)
     found = F.least(F.coalesce(F.col("found"), F.lit(0)), F.greatest("expected", F.lit(0))).cast("int")
     checked = questions.join(prefix_counts(posts), list(THREAD), "left").withColumn("found", found)
     return checked.withColumn("answers", F.least("expected", "found")).withColumn(
@@ -65,14 +70,14 @@ def lift_tags(posts: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list("tag")).alias("_lifted"))
     )
     questions = posts.filter(is_question())
-    return questions.join(lifted, list(THREAD), "left").withColumn(
+    return lookup_join(questions, lifted, THREAD, "left").withColumn(
         "tags", F.array_distinct(F.concat(F.coalesce("tags", none), F.coalesce("_lifted", none)))
     ).drop("_lifted")
 
 
 def load_mismatch(posts: DataFrame) -> DataFrame:
     """Threads whose loaded answers differ from the declared count."""
-    declared = posts.filter(is_question()).select(*THREAD, F.col("answers").alias("expected"))
+    declared = declared_counts(posts)
     loaded = threads(posts.drop("text")).groupBy(*THREAD).agg(F.count("*").alias("loaded"))
     both = declared.join(loaded, list(THREAD), "left").withColumn("loaded", F.coalesce("loaded", F.lit(0)))
     return both.filter((F.col("expected") > 0) & (F.col("loaded") != F.col("expected")))

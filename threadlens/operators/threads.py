@@ -20,6 +20,11 @@ def question_side(posts: DataFrame) -> DataFrame:
     return per_thread.select(*THREAD, *[f"q.{name}" for name in columns])
 
 
+def answer_rows(posts: DataFrame, compat: str | None = None) -> DataFrame:
+    """Posts that count as answers: with ``compat="c"`` the question too."""
+    return posts if compat == "c" else posts.filter(is_answer())
+
+
 def threads(
     posts: DataFrame, answers: DataFrame | None = None, compat: str | None = None, hot: HotKeys | None = None
 ) -> DataFrame:
@@ -29,12 +34,8 @@ def threads(
     ``answers`` may carry ready-made feature columns so that texts are not shuffled. ``compat="c"`` keeps the
     off-by-one of one site: the question counts as post 1 and the last answer is lost.
     """
-    if compat == "c":
-        rows = posts if answers is None else answers
-        number = F.col("ordinal") + 1
-    else:
-        rows = posts.filter(is_answer()) if answers is None else answers
-        number = F.col("ordinal")
+    rows = answer_rows(posts, compat) if answers is None else answers
+    number = F.col("ordinal") + 1 if compat == "c" else F.col("ordinal")
     rows = rows.withColumn("_number", number).filter(F.col("_number") >= 1)
     keep = [c for c in rows.columns if c not in ("answers",)]
     joined = lookup_join(rows.select(*keep), question_side(posts), THREAD, "inner", hot)

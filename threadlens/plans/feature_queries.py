@@ -49,7 +49,7 @@ def th_exclude_empty(t: Tables) -> DataFrame:
 
 @query(
     "q_th_nested",
-    """select q.thread_id, cast(0 as int) part, q.answers answers_count, string_agg(a.uid, ' ' order by a.ordinal) answer_uids,
+    """select q.thread_id, cast((a.ordinal - 1) // 1000 as int) part, q.answers answers_count, string_agg(a.uid, ' ' order by a.ordinal) answer_uids,
       string_agg(a.text, chr(10) order by a.ordinal) texts
     from posts a join posts q on a.thread_id = q.thread_id and q.type = 'question' and a.type = 'answer' group by all""",
     "posts",
@@ -72,14 +72,17 @@ THREAD_TAGS_SQL = """thread_tags as (select distinct thread_id, tag from (select
 
 @query(
     "q_th_tags",
-    """select r.thread_id, coalesce(string_agg(t.tag, ' ' order by t.tag), '') tags
-       from (select distinct thread_id from raw_tags) r left join thread_tags t on r.thread_id = t.thread_id group by r.thread_id""",
+    """select r.thread_id, coalesce(t.part, 0) part, coalesce(string_agg(t.tag, ' ' order by t.tag), '') tags
+       from (select distinct thread_id from raw_tags) r left join (select *, cast((row_number() over
+         (partition by thread_id order by tag) - 1) // 1000 as int) part from thread_tags) t
+       on r.thread_id = t.thread_id group by r.thread_id, t.part""",
     "raw_tags",
     extra=THREAD_TAGS_SQL,
 )
 def th_tags(t: Tables) -> DataFrame:
     tags = th.split_tags(F.col("tags_raw"), F.col("ordinal"))
-    return th.thread_tags(t.raw_tags(), tags, ("thread_id",)).select("thread_id", F.array_join("tags", " ").alias("tags"))
+    listed = th.thread_tags(t.raw_tags(), tags, ("thread_id",))
+    return listed.select("thread_id", "part", F.array_join("tags", " ").alias("tags"))
 
 
 @query(

@@ -13,7 +13,15 @@ from threadlens.plans.feature_queries import FEATURE_SQL
 from threadlens.plans.registry import query
 from threadlens.schema import DUMP_FIELDS, FRONTIER, POST, STORE_DATE
 from threadlens.session import fresh_path
-from threadlens.sources.posts import read_frontier, read_posts, read_store, read_topics, write_posts, write_topics
+from threadlens.sources.posts import (
+    read_frontier,
+    read_posts,
+    read_store,
+    read_topics,
+    typed_posts,
+    write_posts,
+    write_topics,
+)
 from threadlens.sources.records import dump_fields, read_jsonl, read_record_dump, write_jsonl, write_record_dump
 from threadlens.sources.tables import materialize, read_features, read_freq, write_features, write_freq
 
@@ -91,6 +99,19 @@ def src_records_import(t: Tables) -> DataFrame:
     return read_record_dump(t.spark, path)
 
 
+TYPED_SQL = """select * replace (nullif(author, '') as author, nullif(title, '') as title,
+  strftime(date_time, '%Y-%m-%d %H:%M:%S') as date_time, coalesce(array_to_string(tags, ' '), '') as tags) from posts"""
+
+
+@query("q_src_typed_posts", TYPED_SQL, "posts")
+def src_typed_posts(t: Tables) -> DataFrame:
+    """Harvested text fields to the typed record."""
+    path = fresh_path(t.spark, "dump")
+    write_record_dump(t.posts(), path)
+    raw = read_record_dump(t.spark, path).withColumn("site", F.lit("a"))
+    return flat(typed_posts(raw))
+
+
 @query("q_sink_records_dump", DUMP_SQL, "posts")
 def sink_records_dump(t: Tables) -> DataFrame:
     return dump_fields(t.posts())
