@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadlens.operators.skew import HotKeys, attach_group, heavy_keys, lookup_join, running_total
+from threadlens.operators.skew import HotKeys, attach_group, heavy_keys, largest, lookup_join, running_total
 from threadlens.schema import THREAD
 from threadlens.session import stage
 
@@ -61,7 +61,8 @@ def _distributed(df: DataFrame, specs: Sequence[RankSpec], by: Sequence[str], ui
         .cast("int")
         .alias("down"),
     )
-    looked_up = lookup_join(long, ranked, [*group, "missing", "v"])
+    value = [*group, "missing", "v"]
+    looked_up = lookup_join(long, ranked, value, hot=largest(counted, value))
     at = {k: i for i, k in enumerate(keys)}
     wide = looked_up.groupBy(*by, uid).agg(
         *[

@@ -57,13 +57,20 @@ class HotKeys:
 def heavy_keys(df: DataFrame, by: Sequence[str], min_rows: int | None = None) -> HotKeys:
     """Largest groups of ``df`` with more than ``min_rows`` rows. One column-pruned aggregate with map-side
     combine; only the at most ``HOT_KEYS`` keys come to the driver."""
+    counts = df.dropna(subset=list(by)).groupBy(*by).agg(F.count("*").alias("n"))
+    return largest(counts, by, min_rows)
+
+
+def largest(counts: DataFrame, by: Sequence[str], min_rows: int | None = None) -> HotKeys:
+    """``heavy_keys`` of a table that holds each group once with its size ``n``."""
     limit = HOT_ROWS if min_rows is None else min_rows
-    keyed = df.dropna(subset=list(by)).groupBy(*by).agg(F.count("*").alias("_n"))
-    rows = keyed.filter(F.col("_n") > limit).orderBy(F.desc("_n"), *by).limit(HOT_KEYS).collect()
-    if not rows:
-        return HotKeys(tuple(by), None)
-    schema = df.select(*by).schema
-    return HotKeys(tuple(by), df.sparkSession.createDataFrame([tuple(r)[: len(by)] for r in rows], schema))
+    top = counts.filter(F.col("n") > limit).orderBy(F.desc("n"), *by).limit(HOT_KEYS).select(*by)
+    rows = top.collect()
+    return HotKeys(tuple(by), df_of(rows, top) if rows else None)
+
+
+def df_of(rows: list, like: DataFrame) -> DataFrame:
+    return like.sparkSession.createDataFrame([tuple(r) for r in rows], like.schema)
 
 
 def lookup_join(
