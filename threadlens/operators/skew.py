@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from threadlens.session import stage
 
 HOT_ROWS = 200_000
-HOT_KEYS = 1_000
+HOT_KEYS = 10_000
 
 
 @dataclass(frozen=True)

@@ -215,7 +215,10 @@ class Tables:
         )
 
     def english(self) -> DataFrame:
-        return self.pages.filter(F.contains(F.col("url"), F.lit("/en/"))).select(F.col("page_id").alias("node"))
+        url = F.col("url")
+        return self.pages.filter(F.contains(url, F.lit("/en/"))).select(
+            F.col("page_id").alias("node"), F.contains(url, F.lit("utm_source=feed")).alias("feed")
+        )
 
     def listing(self) -> DataFrame:
         page, english = F.col("page_id"), F.contains(F.col("url"), F.lit("/en/"))
@@ -346,7 +349,7 @@ counts as (select event_id, case event_id % 4 when 0 then concat(event_id % 97,
 edges as (select page_id src, (page_id * 7 + 3) % n dst, 'related' kind from pages, (select count(*) n from pages)
    union all select page_id, (page_id * 13 + 1) % n, 'related' from pages, (select count(*) n from pages)
    union all select page_id, page_id + 1, 'next' from pages, (select count(*) n from pages) where page_id + 1 < n),
-english as (select page_id node from pages where url like '%/en/%')""",
+english as (select page_id node, url like '%utm_source=feed%' feed from pages where url like '%/en/%')""",
     "listing": """
 listing as (select page_id, url, case page_id % 3 when 0 then 'question' when 1 then 'correct' else 'poll' end icon,
    page_id % 5 <> 0 author_linked,

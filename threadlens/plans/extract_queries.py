@@ -109,14 +109,12 @@ def count_k(t: Tables) -> DataFrame:
 
 @query(
     "q_ex_count_comma",
-    """select event_id, coalesce(try_cast(replace(regexp_extract(views_text, '^([0-9,]+) Views$', 1), ',', '') as bigint), 0) as views,
-      replace(views_text, ' Views', '') views_raw from counts where event_id % 4 in (1, 2)""",
+    f"select c.event_id, k.views, replace(c.views_text, ' Views', '') views_raw from counts c join ({COUNT_SQL}) k on c.event_id = k.event_id",
     "counts",
 )
 def count_comma(t: Tables) -> DataFrame:
-    whole = t.counts().filter((F.col("event_id") % 4).isin(1, 2))
     text = F.col("views_text")
-    return whole.select(
+    return t.counts().select(
         "event_id", values.parse_count(text, "Views").alias("views"), values.strip_label(text).alias("views_raw")
     )
 
@@ -268,14 +266,14 @@ def question_status(t: Tables) -> DataFrame:
     "q_ex_text_offset",
     """select page_id, i, list_extract(blocks, cast(i + 1 + case when answered and i > 0 then 1 else 0 end as int)) block
     from (select page_id, page_id % 3 = 0 answered, regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p\\s*>', 1) blocks from pages)
-    cross join (select unnest(range(4)) i)""",
+    cross join lateral (select unnest(range(len(blocks))) i)""",
 )
 def text_offset(t: Tables) -> DataFrame:
-    """Content of the first four posts of each page."""
+    """Content of each post of each page, one post per block."""
     blocks = t.pages.select(
         "page_id", (F.col("page_id") % 3 == 0).alias("answered"), markup.html_blocks(F.col("html"), "p").alias("blocks")
     )
-    posts = blocks.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    posts = blocks.select("*", F.posexplode("blocks").alias("i", "own"))
     return posts.select(
         "page_id", F.col("i").cast("long").alias("i"),
         values.pick_block(F.col("blocks"), F.col("i"), F.col("answered")).alias("block"),

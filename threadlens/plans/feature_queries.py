@@ -130,8 +130,11 @@ def ft_wordcount(t: Tables) -> DataFrame:
     f"select doc_id, {ratio_sql('l', 'w')} avg_chars_per_word from (select doc_id, length(text) l, {WORDS.format('text')} w from documents)",
 )
 def ft_chars_per_word(t: Tables) -> DataFrame:
-    text = F.col("text")
-    return t.documents.select("doc_id", tx.ratio2(tx.length(text), tx.word_count(text)).alias("avg_chars_per_word"))
+    return rated(t, "avg_chars_per_word")
+
+
+def rated(t: Tables, column: str) -> DataFrame:
+    return ft.text_features(t.documents.select("doc_id", "text")).select("doc_id", F.col(f"`{column}`").alias(column))
 
 
 @query("q_ft_sentences", f"select doc_id, len({SENTENCES.format('text')}) sentences from documents")
@@ -145,10 +148,7 @@ def ft_sentences(t: Tables) -> DataFrame:
     from (select doc_id, {WORDS.format('text')} w, len({SENTENCES.format('text')}) s from documents)""",
 )
 def ft_words_per_sentence(t: Tables) -> DataFrame:
-    text = F.col("text")
-    return t.documents.select(
-        "doc_id", tx.ratio2(tx.word_count(text), tx.sentence_count(text)).alias("avg_words_per_sentence")
-    )
+    return rated(t, "avg_words_per_sentence")
 
 
 @query("q_ft_longest_sentence", f"select doc_id, coalesce(list_max({SENTENCE_WORDS.format('text')}), 0) longest_sentence from documents")
@@ -170,9 +170,7 @@ FK_SQL = "cast(0.39 as double) * {0} + cast(11.8 as double) * {1} - cast(15.59 a
     from (select doc_id, {WORDS.format('text')} w, len({SENTENCES.format('text')}) s, {SYLLABLES.format('text')} syl from documents))""",
 )
 def ft_readability(t: Tables) -> DataFrame:
-    text = F.col("text")
-    per_sentence = tx.ratio2(tx.word_count(text), tx.sentence_count(text))
-    return t.documents.select("doc_id", tx.readability(per_sentence, tx.syllables(text)).alias("readability"))
+    return rated(t, "F-K").withColumnRenamed("F-K", "readability")
 
 
 @query("q_ft_has_links", "select doc_id, regexp_matches(text, 'https?://') has_links from edge_text", "edge_text")

@@ -126,7 +126,7 @@ def reach_sql(kind: str) -> str:
     return f"""
 gated as (select distinct e.src, e.dst from edges e join english a on e.src = a.node join english b on e.dst = b.node
   where kind = '{kind}'),
-reach(node, depth) as (select node, cast(0 as bigint) from english where node % 10 = 0
+reach(node, depth) as (select node, cast(0 as bigint) from english where feed
   union select g.dst, r.depth + 1 from reach r join gated g on r.node = g.src
   where r.depth < (select count(*) from english))"""
 
@@ -135,7 +135,8 @@ REACH = "select node, min(depth) depth from reach group by node"
 
 
 def seeds(t: Tables) -> DataFrame:
-    return t.english().filter(F.col("node") % 10 == 0)
+    """Pages found through the feed."""
+    return t.english().filter("feed")
 
 
 @query("q_fr_related_closure", REACH, "edges", extra=reach_sql("related"), recursive=True)

@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors can reach")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="threadlens-"))
     return named or context.getCheckpointDir()
 
