@@ -2,6 +2,7 @@
 
 import pytest
 
+from threadlens.operators import skew
 from threadlens.operators.closure import chain, closure
 
 
@@ -36,6 +37,14 @@ def test_closure(spark, seeds, edges, gate):
     assert got == search(seeds, edges, set(gate))
 
 
+@pytest.mark.parametrize("seeds,edges,gate", GRAPHS)
+def test_closure_with_hub_pages(spark, monkeypatch, seeds, edges, gate):
+    monkeypatch.setattr(skew, "HOT_ROWS", 1)
+    edges = edges + [(0, d) for d in range(1, 30)]
+    got = {r.node: r.depth for r in closure(*frames(spark, seeds, edges, gate)).collect()}
+    assert got == search(seeds, edges, set(gate))
+
+
 def test_depth_limit(spark):
     edges = [(i, i + 1) for i in range(20)]
     got = closure(*frames(spark, [0], edges, range(21)), max_depth=12).collect()

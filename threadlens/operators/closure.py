@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +28,16 @@ def closure(seeds: DataFrame, edges: DataFrame, gate: DataFrame, max_depth: int
     gate = gate.select("node").distinct()
     edges = cut_lineage(_gated(edges, gate))
     hot = heavy_keys(edges, ["src"])
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # placed once by source page, so that no round shuffles the edges again; pages with very many links stay spread
+    placed = [(cut_lineage(p if keys else p.repartition(tasks, "src")), keys) for p, keys in hot.parts(edges)]
     fresh = cut_lineage(seeds.select("node").distinct().join(gate, "node", "left_semi").withColumn("depth", F.lit(0)))
     known, depth = fresh, 0
     while not fresh.isEmpty() and (max_depth is None or depth < max_depth):
         depth += 1
-        step = lookup_join(edges, fresh.select(F.col("node").alias("src")), ["src"], "left_semi", hot)
-        found = step.select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti")
+        sources = fresh.select(F.col("node").alias("src"))
+        steps = [lookup_join(p, sources, ["src"], "left_semi", keys) for p, keys in placed]
+        found = reduce(DataFrame.unionByName, steps).select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti")
         fresh = cut_lineage(found.withColumn("depth", F.lit(depth)))
         known = known.unionByName(fresh)
         if depth % FOLD_EVERY == 0:
