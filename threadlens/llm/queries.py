@@ -8,7 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from threadlens.llm import decontaminate, language_id, line_dedup, packing, simhash_dedup
+from threadlens.llm import (
+    chat,
+    decontaminate,
+    embedding_dedup,
+    language_id,
+    licenses,
+    line_dedup,
+    packing,
+    secret_scan,
+    simhash_dedup,
+    warc,
+)
 from threadlens.llm.common import table
 
 
@@ -17,6 +28,10 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_dedup(docs)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, folder, "embeddings"))
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -31,24 +46,51 @@ def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash_dedup.hex16().alias("fingerprint"), "component_id")
 
 
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Values are shown as digests."""
+    found = secret_scan.scan_secrets(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "start", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret"
+    )
+
+
+def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.rotate(table(spark, folder, "conversations"))
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     told = language_id.identify(docs, language_id.learn(docs), ["doc_id"])
     return told.select("doc_id", (language_id.fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages")).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup,
+        op2_embedding_near_dedup,
         op3_best_fit_packing,
         op4_benchmark_decontamination,
         op5_simhash_near_dedup,
+        op6_license_scan,
+        op7_secret_scan,
+        op8_chat_formatting,
         op9_language_id,
+        op10_warc,
     )
 } | {"pipeline": corpus_pipeline.run}
 
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
     "op4_benchmark_decontamination": decontaminate.SQL,
+    "op8_chat_formatting": chat.SQL,
+    "op10_warc": warc.SQL,
 }
