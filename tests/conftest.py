@@ -8,7 +8,7 @@ ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
 from threadlens.plans.bridges import Tables  # noqa: E402
-from threadlens.session import build_session  # noqa: E402
+from threadlens.session import build_session, release  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = (
@@ -17,11 +17,13 @@ TABLES = (
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     session = build_session(
         "threadlens-tests",
         "local[8]",
         **{
+            "spark.checkpoint.dir": f"file://{shared}",
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "8g",
@@ -30,6 +32,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 from datetime import datetime
 
 import pytest
@@ -77,6 +78,25 @@ def test_html_text(spark):
     assert column(spark, [html], lambda c: markup.html_text(c, links=False)) == ["A &lt; **b**\nc\nlink\n_e_ ©"]
 
 
+def test_unclosed_markup_runs_to_the_end(spark):
+    assert column(spark, ["a<!-- b"], markup.html_text) == ["a"]
+    assert column(spark, ["a<script>b"], markup.html_text) == ["a"]
+    assert column(spark, ["1 < 2 <b>x</b>"], markup.html_text) == ["1 < 2 **x**"]
+
+
+@pytest.mark.parametrize(
+    "piece", ["x", "e", " ", "\n ", "<!--", "<", "<a href='u'>", "<script>", "<script", "<p>", "</", "a </script ", "es ", "<a "]
+)
+def test_patterns_take_linear_time(spark, piece):
+    """One megabyte of anything that used to make a pattern start over at each character."""
+    df = spark.createDataFrame([(piece * (1_000_000 // len(piece)),)], "t string").select(
+        text.syllables(F.col("t")), F.length(markup.html_text(F.col("t"))), F.size(markup.html_blocks(F.col("t"), "p"))
+    )
+    began = time.time()
+    df.collect()
+    assert time.time() - began < 6
+
+
 def test_markers(spark):
     texts = ["Foo.JAVA", "{", "a def b", "define", "see http://x", "https//x", None]
     assert column(spark, texts, text.has_code) == [True, True, True, False, False, False, False]
@@ -250,17 +270,23 @@ def slow_scores(texts):
     return out
 
 
-@pytest.mark.parametrize("head_words", [100_000, 40])
-def test_log_likelihood(spark, tables, head_words):
-    """The broadcast way and the split way (40 frequent words) agree with the loop."""
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_log_likelihood(spark, tables, broadcast):
+    """The join with the lexicon, broadcast or shuffled, agrees with the loop, and so do its rows."""
     posts = tables.store.select("uid", "text").filter(F.length("text") < 1500)
     texts = {r.uid: r.text for r in posts.collect()}
     texts["blank"] = ""
+    texts["apart"] = "(cat) (dog)"
     posts = spark.createDataFrame(list(texts.items()), "uid string, text string")
     lex = lexicon(posts)
-    found = {r.uid: r.loglikelihood for r in log_likelihood(posts, lex, ("uid",), head_words).collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        found = {r.uid: r.loglikelihood for r in log_likelihood(posts, lex, ("uid",)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     expected = slow_scores(texts)
-    assert "blank" not in found
+    assert "blank" not in found and "apart" not in found
     for uid, score in expected.items():
         assert abs(found.get(uid, 0.0) - score) <= 0.00501
     assert {r.uid for r in scored_posts(posts, lex).collect()} == set(texts)

@@ -1,17 +1,20 @@
 """The ways taken for very large groups give the same rows as the plain ways."""
 
+from datetime import datetime
+from decimal import Decimal
+
 import pytest
 from helpers import rows_of, same
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadlens.operators import skew
-from threadlens.operators.extract import assign_uid, number_answers
+from threadlens.operators.extract import assign_uid, number_answers, question_status
 from threadlens.operators.features import features
-from threadlens.operators.quality import reconcile_counts
+from threadlens.operators.quality import fix_counts, lift_tags, reconcile_counts
 from threadlens.operators.ranks import RankSpec, add_ranks, first_row, guarded_rank
-from threadlens.operators.reports import predict_top, strawman
-from threadlens.operators.threads import nest, threads
+from threadlens.operators.reports import max_upvotes, predict_top, strawman
+from threadlens.operators.threads import nest, thread_tags, threads
 from threadlens.schema import THREAD
 
 NONE = skew.HotKeys(THREAD, None)
@@ -43,10 +46,18 @@ def test_heavy_keys(answers):
     assert hot.hot(answers).count() + hot.cold(answers).count() == answers.count()
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
-def test_lookup_join(spark, answers, how, tiny):
-    dims = spark.createDataFrame([("c", "big", 1), ("c", "t3", 2)], "site string, thread_id string, x int")
-    same(skew.lookup_join(answers, dims, THREAD, how), answers.join(dims, list(THREAD), how))
+def test_null_keys_are_large_groups_too(spark):
+    rows = spark.createDataFrame([(None, i) for i in range(9)] + [("t", 1)], "g string, x int")
+    hot = skew.heavy_keys(rows, ["g"], 5)
+    assert [r.g for r in hot.frame.collect()] == [None]
+    assert hot.hot(rows).count() == 9 and [r.g for r in hot.cold(rows).collect()] == ["t"]
+    totals = skew.attach_group(rows, ["g"], {"n": F.count("*")}, hot)
+    assert {(r.g, r.n) for r in totals.collect()} == {(None, 9), ("t", 1)}
+
+
+def test_all_large_keys_are_named(spark):
+    rows = spark.range(30_000).select((F.col("id") / 2).cast("long").alias("g"))
+    assert skew.heavy_keys(rows, ["g"], 1).frame.count() == 15_000
 
 
 def test_ranks(answers, tiny):
@@ -54,6 +65,31 @@ def test_ranks(answers, tiny):
     same(add_ranks(answers, specs), add_ranks(answers, specs, hot=NONE))
 
 
+@pytest.mark.parametrize(
+    "kind, values",
+    [
+        ("string", ["9", "10", "100", "x", None, "10"]),
+        ("bigint", [2**53, 2**53 + 1, 2**53 + 2, None, 2**53 + 1, -5]),
+        ("decimal(38,2)", [Decimal("1e30"), Decimal("1e30") + Decimal("0.01"), None, Decimal(0), Decimal(0), Decimal(-1)]),
+        ("double", [float("nan"), 1.0, None, float("inf"), -0.0, 0.0]),
+        ("timestamp", [datetime(2020, 1, 1), datetime(2020, 1, 1, 0, 0, 0, 1), None, None, datetime(1960, 1, 1), datetime(2020, 1, 1)]),
+    ],
+)
+def test_ranks_do_not_depend_on_the_size(spark, monkeypatch, kind, values):
+    """Whole row sets with the limit at one row and at infinity, for keys of every type, NULL threads too."""
+    rows = [(site, f"{site}{i}", v, i % 2) for site in ("a", "b", None) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, f"site string, uid string, k {kind}, other int").withColumn("thread_id", F.lit("t"))
+    specs = [RankSpec("k", "down"), RankSpec("k", "up", descending=False), RankSpec("other", "o")]
+    plain = rows_of(add_ranks(df, specs, hot=NONE).drop("k"))
+    monkeypatch.setattr(skew, "HOT_ROWS", 1)
+    assert rows_of(add_ranks(df, specs).drop("k")) == plain
+
+
+def test_text_ranks_go_by_number(spark):
+    df = spark.createDataFrame([("a", "t", str(i), v) for i, v in enumerate(["9", "10", "100"])], "site string, thread_id string, uid string, k string")
+    assert {r.k: r.k_rank for r in add_ranks(df, [RankSpec("k", "k_rank")]).collect()} == {"9": 3, "10": 2, "100": 1}
+
+
 def test_guarded_rank(answers, tiny):
     mixed = answers.withColumn("upvotes", F.when((F.col("thread_id") == "t3") & (F.col("ordinal") > 100), "---").otherwise(F.col("upvotes")))
     got = guarded_rank(mixed, "upvotes")
@@ -120,7 +156,7 @@ def test_features_of_the_other_site(tables):
     rows = features(posts, compat="c", unranked=["upvotes_rank"], hot=NONE)
     assert rows.filter(F.col("upvotes_rank").isNotNull()).isEmpty()
     pairs = {(r.question_uid, r.answer_uid) for r in rows.collect()}
-    expected = {(r.question_uid, r.uid) for r in threads(posts, compat="c", hot=NONE).collect()}
+    expected = {(r.question_uid, r.uid) for r in threads(posts, compat="c").collect()}
     assert pairs == expected and all((q, q) in pairs for q, _ in pairs)
 
 
@@ -128,22 +164,46 @@ def test_copies_of_a_question(tables):
     """Copies of a question do not multiply its answers."""
     posts = tables.store
     copies = posts.unionByName(posts.filter(F.col("type") == "question"))
-    same(threads(copies, hot=NONE).drop("text"), threads(posts, hot=NONE).drop("text"))
+    same(threads(copies).drop("text"), threads(posts).drop("text"))
 
 
 def test_threads_and_first_rows(tables, monkeypatch):
     posts = tables.store.drop("text")
-    plain = threads(posts, hot=NONE)
+    plain = threads(posts)
     marked = first_row(plain, ("resolved",), hot=NONE)
     monkeypatch.setattr(skew, "HOT_ROWS", 2)
     same(threads(posts), plain)
     same(first_row(threads(posts), ("resolved",)), marked)
 
 
-def test_nested_parts(tables):
-    parts = nest(tables.store, part_rows=1).collect()
-    assert sum(len(r.answers) for r in parts) == threads(tables.store).count()
-    assert all(len(r.answers) == 1 for r in parts)
+def test_nested_threads_are_long(tables):
+    nested, plain = nest(tables.store), threads(tables.store)
+    assert nested.count() == plain.count()
+    assert {(r.thread_id, r.ordinal, r.answer.uid) for r in nested.collect()} == {(r.thread_id, r.ordinal, r.uid) for r in plain.collect()}
+
+
+def test_large_threads_keep_their_shape(spark):
+    rows = [("a", "t", "question", 0, 2500, ["q"])] + [("a", "t", "answer", i, 0, [f"tag{i}"]) for i in range(1, 2501)]
+    posts = spark.createDataFrame(rows, "site string, thread_id string, type string, ordinal int, answers int, tags array<string>")
+    posts = posts.withColumns({"uid": F.col("ordinal").cast("string"), **{c: F.lit(None).cast("string") for c in ("author", "text", "date_time", "views", "upvotes", "resolve")}})
+    assert nest(posts).count() == 2500
+    assert thread_tags(posts, F.col("tags")).count() == 2501
+    assert lift_tags(posts).filter("lifted").count() == 2500
+
+
+def test_fixed_counts(tables):
+    posts = tables.posts_gap()
+    lowered = {r.thread_id: r.answers for r in reconcile_counts(posts).collect()}
+    fixed = fix_counts(posts)
+    assert fixed.columns == posts.columns and fixed.count() == posts.count()
+    assert {r.thread_id: r.answers for r in fixed.filter("type = 'question'").collect()} == lowered
+
+
+def test_threads_without_answers_are_there(spark):
+    questions = spark.createDataFrame([("c", "1"), ("c", "2")], "site string, thread_id string")
+    answers = spark.createDataFrame([("c", "1", True, "5")], "site string, thread_id string, is_best boolean, upvotes string")
+    assert {(r.thread_id, r.resolve) for r in question_status(answers, questions).collect()} == {("1", "True"), ("2", "False")}
+    assert {(r.thread_id, r.max_upvotes) for r in max_upvotes(answers, questions).collect()} == {("1", 5), ("2", 0)}
 
 
 def test_prefix_counts(spark):
@@ -156,3 +216,30 @@ def test_prefix_counts(spark):
     df = spark.createDataFrame(rows, "site string, thread_id string, ordinal int, type string, answers int")
     got = {r.thread_id: (r.answers, r.lowered) for r in reconcile_counts(df).collect()}
     assert got == {"gap": (2, True), "none": (0, True), "full": (1, False), "late": (0, True), "copies": (2, False)}
+
+
+def test_building_a_join_starts_no_job(spark, tables):
+    """Joins and checks are plans only; nothing is probed or collected on the way."""
+    posts = tables.store
+    context = spark.sparkContext
+    context.setJobGroup("built", "")
+    try:
+        threads(posts)
+        threads(posts, compat="c")
+        nest(posts)
+        reconcile_counts(posts)
+        fix_counts(posts)
+        lift_tags(posts)
+        assert not context.statusTracker().getJobIdsForGroup("built")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_staged_tables_are_released(spark):
+    from threadlens import session
+
+    held = session.run_dir(spark).removeprefix("file:")
+    path = session.fresh_path(spark, "x")
+    assert path.removeprefix("file:").startswith(held)
+    table = session.stage(spark.range(3), "released")
+    assert table.count() == 3

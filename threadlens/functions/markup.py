@@ -22,24 +22,26 @@ USER_LINK = (r'(?d)<a class="user".*?action_mousedown="UserLinkClickthrough".*?<
 QUESTION_RULES = (LINE_NUMBERS, *CODE_RULES)
 ANSWER_RULES = (BANNER, LINE_NUMBERS, FOOTER, USER_LINK, *CODE_RULES)
 
+# Time is linear in the text: what is not closed runs to the end (as browsers have it), a tag ends before the
+# next "<", and a link's text before the next link.
 DROP_RULES = (
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<(script|style|head|noscript)\b[^>]*>.*?</\1\s*>", ""),
+    (r"(?s)<!--.*?(?:-->|\z)", ""),
+    (r"(?is)<(script|style|head|noscript)\b[^<>]*+>.*?(?:</\1\s*+>|\z)", ""),
 )
-KEEP_LINK = (r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>""", "[$2]($1)")
+KEEP_LINK = (r"""(?is)<a\b[^<>]*?\bhref\s*+=\s*+["']([^"'<>]*+)["'][^<>]*+>((?:(?!<a\b|</a>).)*+)</a>""", "[$2]($1)")
 SHAPE_RULES = (
     (r"(?i)<br\s*/?>", "\n"),
     (r"(?i)</(?:p|div|li|tr|h[1-6]|pre)\s*>", "\n"),
     (r"(?i)</?(?:b|strong)>", "**"),
     (r"(?i)</?(?:i|em)>", "_"),
-    (r"(?s)<[^>]*>", ""),
+    (r"<[^<>]*+>", ""),
 )
 # Character entities; the ampersand last, so that nothing is decoded twice.
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
     ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"),
 )
-SQUEEZE_RULES = ((r"[ \t\r]*\n[ \t\r\n]*", "\n"), (r"^[ \t\n]+|[ \t\n]+$", ""))
+SQUEEZE_RULES = ((r"(?<![ \t\r])[ \t\r]*+\n[ \t\r\n]*+", "\n"),)
 
 
 def rewrite(c: Column, rules) -> Column:
@@ -60,9 +62,11 @@ def html_text(html: Column, links: bool = True) -> Column:
     c = rewrite(c, SHAPE_RULES)
     for entity, char in ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(char))
-    return rewrite(c, SQUEEZE_RULES)
+    return F.trim(rewrite(c, SQUEEZE_RULES), F.lit(" \t\n"))
 
 
 def html_blocks(html: Column, tag: str) -> Column:
-    """Inner HTML of each ``<tag>…</tag>`` of a page, in page order."""
-    return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
+    """Inner HTML of each ``<tag>…</tag>`` of a page, in page order. What follows the last end mark holds no
+    block and is cut off first, so that every search for an end mark succeeds and time is linear."""
+    closed = F.regexp_extract(html, rf"(?is)^(.*</{tag}\s*+>)", 1)
+    return F.regexp_extract_all(closed, F.lit(rf"(?is)<{tag}\b[^<>]*+>(.*?)</{tag}\s*+>"), F.lit(1))

@@ -64,7 +64,7 @@ def round2(x: Column) -> Column:
 def syllables(text: Column) -> Column:
     """Vowel groups, less one for each word with a silent ending. A total, and it may fall below zero."""
     groups = F.regexp_count(text, F.lit("[aeiouy]+"))
-    silent = F.regexp_count(text, F.lit(r"\S+es?(?=\s|$)"))
+    silent = F.regexp_count(text, F.lit(r"(?<=\S)es?(?!\S)"))
     return F.coalesce(groups - silent, F.lit(0)).cast("long")
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.operators.skew import heavy_keys, lookup_join
+from threadlens.operators.skew import heavy_keys
 from threadlens.session import cut_lineage
 
 # The known pages are a union of checkpointed rounds; after this many rounds they are written as one.
@@ -16,8 +16,8 @@ FOLD_EVERY = 8
 
 def _gated(edges: DataFrame, gate: DataFrame) -> DataFrame:
     """Edges between pages that both pass the gate. ``gate`` holds each passing page once, as ``node``."""
-    inner = lookup_join(edges.select("src", "dst"), gate.select(F.col("node").alias("src")), ["src"], "left_semi")
-    return lookup_join(inner, gate.select(F.col("node").alias("dst")), ["dst"], "left_semi").distinct()
+    inner = edges.select("src", "dst").join(gate.select(F.col("node").alias("src")), "src", "left_semi")
+    return inner.join(gate.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
 
 
 def closure(seeds: DataFrame, edges: DataFrame, gate: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -30,13 +30,13 @@ def closure(seeds: DataFrame, edges: DataFrame, gate: DataFrame, max_depth: int
     hot = heavy_keys(edges, ["src"])
     tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # placed once by source page, so that no round shuffles the edges again; pages with very many links stay spread
-    placed = [(cut_lineage(p if keys else p.repartition(tasks, "src")), keys) for p, keys in hot.parts(edges)]
+    placed = [cut_lineage(p if keys else p.repartition(tasks, "src")) for p, keys in hot.parts(edges)]
     fresh = cut_lineage(seeds.select("node").distinct().join(gate, "node", "left_semi").withColumn("depth", F.lit(0)))
     known, depth = fresh, 0
     while not fresh.isEmpty() and (max_depth is None or depth < max_depth):
         depth += 1
         sources = fresh.select(F.col("node").alias("src"))
-        steps = [lookup_join(p, sources, ["src"], "left_semi", keys) for p, keys in placed]
+        steps = [p.join(sources, "src", "left_semi") for p in placed]
         found = reduce(DataFrame.unionByName, steps).select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti")
         fresh = cut_lineage(found.withColumn("depth", F.lit(depth)))
         known = known.unionByName(fresh)
@@ -65,7 +65,7 @@ def chain(seeds: DataFrame, edges: DataFrame, gate: DataFrame) -> DataFrame:
         if total == size:
             return found
         onward = jump.select(F.col("src").alias("dst"), F.col("dst").alias("beyond"))
-        jump = cut_lineage(lookup_join(jump, onward, ["dst"], "inner").select("src", F.col("beyond").alias("dst")))
+        jump = cut_lineage(jump.join(onward, "dst").select("src", F.col("beyond").alias("dst")))
         if jump.isEmpty():
             return found
         size, span = total, span * 2

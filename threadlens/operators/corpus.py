@@ -10,16 +10,11 @@ from pyspark.sql import functions as F
 
 from threadlens.functions import text as tx
 from threadlens.functions.stemming import porter
-from threadlens.operators.skew import lookup_join
 from threadlens.session import stage
 
 Stemmer = Callable[[DataFrame], DataFrame]
 Tokenizer = Callable[[Column], Column]
 
-# A vocabulary of up to this many words is broadcast whole. A larger one is split: the words that make up
-# more than 1/HEAD_WORDS of all tokens (there can be no more than HEAD_WORDS of them) are broadcast.
-HEAD_WORDS = 100_000
-
 
 def token_rows(posts: DataFrame, tokenizer: Tokenizer = tx.tokens) -> DataFrame:
     """Every token occurrence."""
@@ -52,8 +47,6 @@ class Lexicon:
     """Words worth scoring with ln(frequency of their stem), and the size of the whole vocabulary."""
 
     words: DataFrame  # w, n, lnf
-    scored: int
-    total: int
     vocabulary: int
     tokenizer: Tokenizer = tx.tokens
 
@@ -63,12 +56,10 @@ def lexicon(posts: DataFrame, stemmer: Stemmer = porter, tokenizer: Tokenizer =
     A stem at or below the cut-off counts as frequency 1, whose logarithm is 0, so its words are left out."""
     stemmed = stage(stems(token_counts(posts, tokenizer), stemmer), "stems")
     freq = frequency(stemmed)
-    size = freq.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()
+    size = freq.count()
     kept = cutoff(freq, above).select("stem", F.ln("n").alias("lnf"))
-    words = stage(
-        lookup_join(stemmed, kept, ["stem"]).select(F.col("token").alias("w"), "n", "lnf"), "lexicon"
-    )
-    return Lexicon(words, words.count(), size["t"], size["v"], tokenizer)
+    words = stage(stemmed.join(kept, "stem").select(F.col("token").alias("w"), "n", "lnf"), "lexicon")
+    return Lexicon(words, size, tokenizer)
 
 
 def word_weights(posts: DataFrame, lex: Lexicon, key: tuple[str, ...]) -> DataFrame:
@@ -83,27 +74,16 @@ def word_weights(posts: DataFrame, lex: Lexicon, key: tuple[str, ...]) -> DataFr
     return posts.select(*key, F.explode(kinds).alias("l")).select(*key, "l.kind", F.explode("l.ws").alias("w"))
 
 
-def log_likelihood(posts: DataFrame, lex: Lexicon, key: tuple[str, ...] = ("uid",), head_words: int = HEAD_WORDS) -> DataFrame:
+def log_likelihood(posts: DataFrame, lex: Lexicon, key: tuple[str, ...] = ("uid",)) -> DataFrame:
     """(key, loglikelihood): sum over tokens of C(w)·ln(freq(stem w)), divided by the vocabulary size. Posts
-    without any scored word have no row.
+    without a scored word that stands alone have no row.
 
-    Repeats are folded per (post, word) before the shuffle. A small vocabulary is broadcast before that, so
-    unscored words are never shuffled; of a large one only the frequent words are broadcast, and the rare
-    ones, none of which is hot, are joined by shuffle.
+    One plain join with the written lexicon, whatever its size: a small one is broadcast by the optimizer, a
+    large one is joined by shuffle, where adaptive execution splits the most frequent words.
     """
-    occurrences = word_weights(posts, lex, key)
-    weight = (F.sum(1 - F.col("kind")) * F.sum("kind")).alias("weight")
-    if lex.scored <= head_words:
-        scored = occurrences.join(F.broadcast(lex.words.select("w", "lnf")), "w")
-        parts = scored.groupBy(*key, "w", "lnf").agg(weight)
-    else:
-        pairs = occurrences.groupBy(*key, "w").agg(weight).filter(F.col("weight") > 0)
-        frequent = F.col("n") * head_words > lex.total
-        head = F.broadcast(lex.words.filter(frequent).select("w", "lnf"))
-        rare = lex.words.filter(~frequent).select("w", "lnf")
-        near = pairs.join(head, "w").select(*key, "lnf", "weight")
-        far = pairs.join(head, "w", "left_anti").join(rare, "w").select(*key, "lnf", "weight")
-        parts = near.unionByName(far)
+    weight = F.sum(1 - F.col("kind")) * F.sum("kind")
+    scored = word_weights(posts, lex, key).join(lex.words.select("w", "lnf"), "w")
+    parts = scored.groupBy(*key, "w", "lnf").agg(weight.alias("weight")).filter(F.col("weight") > 0)
     score = tx.round2(F.sum(F.col("weight") * F.col("lnf")) / lex.vocabulary) if lex.vocabulary else F.lit(0.0)
     return parts.groupBy(*key).agg(score.alias("loglikelihood"))
 

@@ -7,28 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.functions.values import resolve_age, stored_date
 from threadlens.operators.frontier import UNKNOWN_DATE
-from threadlens.operators.skew import HotKeys, lookup_join, number_all, number_rows
+from threadlens.operators.skew import HotKeys, number_all, number_rows
 from threadlens.schema import POST, THREAD
 
 
 def attach_date(pages: DataFrame, frontier: DataFrame) -> DataFrame:
     """Frontier date of each page by exact URL; ``frontier`` holds each URL once."""
-    return lookup_join(pages, frontier.select("url", "date"), ["url"], "left").withColumn(
+    return pages.join(frontier.select("url", "date"), "url", "left").withColumn(
         "date", F.coalesce("date", F.lit(UNKNOWN_DATE))
     )
 
 
-def known_date(date: Column, anchor: Column) -> Column:
-    """Timestamp of a frontier date: an age, a stored date, or NULL when it is not available."""
-    return F.coalesce(resolve_age(date, anchor), stored_date(date))
-
-
-def stable_uid(url: Column) -> Column:
-    return F.xxhash64(url)
-
-
 def assign_uid(questions: DataFrame, order: Sequence[str] = ("url",), out: str = "uid") -> DataFrame:
     """Question ids 1..n in the order of a unique key."""
     return number_all(questions, order, out)
@@ -44,20 +34,24 @@ def number_answers(
 
 
 def mark_solution(
-    answers: DataFrame, threads: DataFrame, by: Sequence[str] = THREAD, hot: HotKeys | None = None
+    answers: DataFrame, threads: DataFrame, by: Sequence[str] = THREAD
 ) -> DataFrame:
     """An answer is the solution when author and date are those of the thread's solution and the thread is
     not 'Not Answered.'. ``threads`` holds each thread once."""
     accepted = threads.filter(F.col("status") != "Not Answered.").select(*by, "solution_user", "solution_date")
-    marked = lookup_join(answers, accepted, by, "left", hot)
+    marked = answers.join(accepted, list(by), "left")
     hit = (F.col("author") == F.col("solution_user")) & (F.col("date_time") == F.col("solution_date"))
     return marked.withColumn("resolve", F.when(hit, "solution").otherwise("---")).drop("solution_user", "solution_date")
 
 
-def question_status(answers: DataFrame, by: Sequence[str] = THREAD, best: str = "is_best") -> DataFrame:
-    """A question is closed when one of its answers is the best."""
+def question_status(
+    answers: DataFrame, questions: DataFrame, by: Sequence[str] = THREAD, best: str = "is_best"
+) -> DataFrame:
+    """A question is closed when one of its answers is the best; one without answers is not. ``questions``
+    holds each once."""
     closed = answers.groupBy(*by).agg(F.max(F.col(best).cast("int")).alias("_closed"))
-    return closed.select(*by, F.when(F.col("_closed") == 1, "True").otherwise("False").alias("resolve"))
+    resolve = F.when(F.col("_closed") == 1, "True").otherwise("False").alias("resolve")
+    return questions.select(*by).join(closed, list(by), "left").select(*by, resolve)
 
 
 def to_posts(questions: DataFrame, answers: DataFrame) -> DataFrame:
@@ -77,4 +71,4 @@ def topic_gate(questions: DataFrame, topics: DataFrame, key: str, tags: Column)
     tagged = questions.withColumn("_tags", tags)
     lists = tagged.select("_tags").distinct().select(F.col("_tags"), F.explode("_tags").alias("topic"))
     passing = lists.join(topics.select("topic").distinct(), "topic", "left_semi").select("_tags").distinct()
-    return lookup_join(tagged, passing, ["_tags"], "left_semi").drop("_tags")
+    return tagged.join(passing, "_tags", "left_semi").drop("_tags")

@@ -12,7 +12,7 @@ from threadlens.functions import text as tx
 from threadlens.functions.stemming import porter
 from threadlens.operators.corpus import Lexicon, Stemmer, lexicon, log_likelihood
 from threadlens.operators.ranks import RankSpec, add_ranks
-from threadlens.operators.skew import HotKeys, heavy_keys, lookup_join
+from threadlens.operators.skew import HotKeys, heavy_keys
 from threadlens.operators.threads import answer_rows, has_tags, threads
 from threadlens.schema import POST_KEY, STORE_DATE, THREAD
 
@@ -27,6 +27,7 @@ FEATURES = (
     "has_tags",
 )
 
+# What is ranked, and which way.
 RANKS = (
     RankSpec("upvotes", "upvotes_rank"),
     RankSpec("sentences", "sentences_rank"),
@@ -118,8 +119,8 @@ def features(
 def _feature_rows(posts: DataFrame, lex: Lexicon, hot: HotKeys, compat: str | None) -> DataFrame:
     scores = log_likelihood(answer_rows(posts, compat), lex, POST_KEY)
     measured = measured_answers(posts, compat).join(scores, list(POST_KEY), "left")
-    in_threads = threads(posts, measured, compat, hot)
-    tagged = lookup_join(in_threads, has_tags(posts, F.col("tags")), THREAD, "inner", hot)
+    in_threads = threads(posts, measured, compat)
+    tagged = in_threads.join(has_tags(posts, F.col("tags")), list(THREAD))
     timed = tagged.withColumns(
         {
             "time_difference": time_difference(F.col("date_time"), F.col("question_date")),

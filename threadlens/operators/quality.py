@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.operators.skew import lookup_join
 from threadlens.operators.threads import threads
 from threadlens.schema import THREAD, is_answer, is_question
 
@@ -48,6 +47,14 @@ def reconcile_counts(posts: DataFrame) -> DataFrame:
     )
 
 
+def fix_counts(posts: DataFrame) -> DataFrame:
+    """``posts`` with each question's declared count lowered to the unbroken run of its answers."""
+    lowered = reconcile_counts(posts).select(*THREAD, F.col("answers").alias("_kept"))
+    questions = posts.filter(is_question()).join(lowered, list(THREAD), "left")
+    fixed = questions.withColumn("answers", F.coalesce("_kept", "answers")).select(*posts.columns)
+    return fixed.unionByName(posts.filter(is_answer()))
+
+
 def empty_text(posts: DataFrame) -> DataFrame:
     return posts.filter(F.coalesce(F.col("text"), F.lit("")) == "")
 
@@ -58,21 +65,12 @@ def answer_tags(posts: DataFrame) -> DataFrame:
 
 
 def lift_tags(posts: DataFrame) -> DataFrame:
-    """Questions with the tags of their answers appended (each tag once, in order of name).
-
-    Tags are made distinct per thread before they are listed, so a thread costs its tags, not its answers."""
-    none = F.array().cast("array<string>")
-    lifted = (
-        answer_tags(posts)
-        .select(*THREAD, F.explode("tags").alias("tag"))
-        .distinct()
-        .groupBy(*THREAD)
-        .agg(F.array_sort(F.collect_list("tag")).alias("_lifted"))
-    )
-    questions = posts.filter(is_question())
-    return lookup_join(questions, lifted, THREAD, "left").withColumn(
-        "tags", F.array_distinct(F.concat(F.coalesce("tags", none), F.coalesce("_lifted", none)))
-    ).drop("_lifted")
+    """(thread, uid, tag, lifted) of each question: its own tags and those of its answers, each once, one row a
+    tag. ``lifted`` marks tags that only answers carry. A thread costs its distinct tags, in no cell."""
+    own = posts.filter(is_question()).select(*THREAD, F.explode("tags").alias("tag"), F.lit(False).alias("lifted"))
+    given = answer_tags(posts).select(*THREAD, F.explode("tags").alias("tag"), F.lit(True).alias("lifted"))
+    tags = own.unionByName(given).groupBy(*THREAD, "tag").agg(F.bool_and("lifted").alias("lifted"))
+    return posts.filter(is_question()).select(*THREAD, "uid").join(tags, list(THREAD))
 
 
 def load_mismatch(posts: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from threadlens.operators.skew import HotKeys, attach_group, heavy_keys, largest, lookup_join, running_total
+from threadlens.operators.skew import HotKeys, attach_group, heavy_keys, match, running_total
 from threadlens.schema import THREAD
 from threadlens.session import stage
 
@@ -21,12 +22,19 @@ class RankSpec:
     descending: bool = True
 
 
+def _numbers(df: DataFrame, keys: Sequence[str]) -> dict[str, Column]:
+    """What the ranks compare, the same for groups of every size: texts as doubles (others than numbers count
+    as missing), all other types as they are."""
+    return {k: F.col(f"`{k}`").try_cast("double") if isinstance(df.schema[k].dataType, T.StringType) else F.col(f"`{k}`") for k in keys}
+
+
 def _windowed(df: DataFrame, specs: Sequence[RankSpec], by: Sequence[str]) -> DataFrame:
     """All ranks share the partitioning, hence one exchange and one sort per key and direction."""
+    numbers = _numbers(df, [s.key for s in specs])
 
     def rank(spec: RankSpec) -> Column:
-        order = F.desc_nulls_last(spec.key) if spec.descending else F.asc_nulls_last(spec.key)
-        return F.rank().over(Window.partitionBy(*by).orderBy(order))
+        key = numbers[spec.key]
+        return F.rank().over(Window.partitionBy(*by).orderBy(key.desc_nulls_last() if spec.descending else key.asc_nulls_last()))
 
     return df.withColumns({s.out: rank(s) for s in specs})
 
@@ -35,24 +43,30 @@ def _distributed(df: DataFrame, specs: Sequence[RankSpec], by: Sequence[str], ui
     """Exact ranks for groups too large for one task.
 
     Values of all keys are counted per group (ties collapse before the shuffle), a range-partitioned running
-    total turns counts into ranks, and rows look their ranks up by (group, key, value).
+    total turns counts into ranks, and rows look their ranks up by (group, key, value). A value is a struct
+    with one field for each type among the keys, so each keeps its own type.
     """
     by = list(by)
-    keys = list(dict.fromkeys(s.key for s in specs))
-    long = df.select(
-        *by,
-        uid,
-        F.explode(
-            F.array(*[F.struct(F.lit(i).alias("k"), F.col(k).cast("double").alias("v")) for i, k in enumerate(keys)])
-        ).alias("kv"),
-    ).select(*by, uid, "kv.k", F.col("kv.v").isNull().alias("missing"), F.coalesce("kv.v", F.lit(0.0)).alias("v"))
-    group = [*by, "k"]
+    numbers = _numbers(df, list(dict.fromkeys(s.key for s in specs)))
+    kinds = {k: df.select(c.alias("x")).schema["x"].dataType for k, c in numbers.items()}
+    types = list(dict.fromkeys(kinds.values()))
+
+    def value(k: str) -> Column:
+        return F.struct(*[(numbers[k] if t == kinds[k] else F.lit(None).cast(t)).alias(f"t{i}") for i, t in enumerate(types)])
+
+    listed = [
+        F.struct(F.lit(i).alias("k"), numbers[k].isNull().alias("missing"), value(k).alias("v")) for i, k in enumerate(numbers)
+    ]
+    group = F.struct(*by).alias("g")
+    long = df.select(group, uid, F.explode(F.array(*listed)).alias("kv")).select("g", uid, "kv.k", "kv.missing", "kv.v")
     counted = running_total(
-        long.groupBy(*group, "missing", "v").agg(F.count("*").alias("n")), group, ["missing", "v"], F.col("n"), "before"
+        long.groupBy("g", "k", "missing", "v").agg(F.count("*").alias("n")), ["g", "k"], ["missing", "v"], F.col("n"), "before"
     )
-    present = counted.groupBy(*group).agg(F.sum(F.when(~F.col("missing"), F.col("n")).otherwise(0)).alias("present"))
-    ranked = counted.join(F.broadcast(present), group).select(
-        *group,
+    counted = stage(counted, "value-counts")
+    present = counted.groupBy("g", "k").agg(F.sum(F.when(~F.col("missing"), F.col("n")).otherwise(0)).alias("present"))
+    ranked = counted.join(present, ["g", "k"]).select(
+        "g",
+        "k",
         "missing",
         "v",
         (F.col("before") + 1).cast("int").alias("up"),
@@ -61,16 +75,15 @@ def _distributed(df: DataFrame, specs: Sequence[RankSpec], by: Sequence[str], ui
         .cast("int")
         .alias("down"),
     )
-    value = [*group, "missing", "v"]
-    looked_up = lookup_join(long, ranked, value, hot=largest(counted, value))
-    at = {k: i for i, k in enumerate(keys)}
-    wide = looked_up.groupBy(*by, uid).agg(
+    looked_up = long.join(stage(ranked, "value-ranks"), ["g", "k", "missing", "v"])
+    at = {k: i for i, k in enumerate(numbers)}
+    wide = looked_up.groupBy("g", uid).agg(
         *[
             F.max(F.when(F.col("k") == at[s.key], F.col("down" if s.descending else "up"))).alias(s.out)
             for s in specs
         ]
     )
-    return df.join(wide, [*by, uid])
+    return match(df, wide.select(*[F.col(f"g.{b}").alias(b) for b in by], uid, *[s.out for s in specs]), [*by, uid], "inner")
 
 
 def add_ranks(

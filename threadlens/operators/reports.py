@@ -16,9 +16,13 @@ def votes(raw: Column) -> Column:
     return F.coalesce(raw.try_cast("long"), F.lit(0))
 
 
-def max_upvotes(answers: DataFrame, by: Sequence[str] = THREAD, raw: str = "upvotes") -> DataFrame:
-    """Most upvotes per thread, never below 0."""
-    return answers.groupBy(*by).agg(F.greatest(F.lit(0), F.max(votes(F.col(raw)))).cast("long").alias("max_upvotes"))
+def max_upvotes(
+    answers: DataFrame, questions: DataFrame, by: Sequence[str] = THREAD, raw: str = "upvotes"
+) -> DataFrame:
+    """Most upvotes per thread, never below 0 and 0 without answers. ``questions`` holds each thread once."""
+    top = answers.groupBy(*by).agg(F.max(votes(F.col(raw))).alias("_top"))
+    most = F.greatest(F.lit(0), F.coalesce("_top", F.lit(0))).cast("long").alias("max_upvotes")
+    return questions.select(*by).join(top, list(by), "left").select(*by, most)
 
 
 def predict_top(
@@ -31,20 +35,21 @@ def predict_top(
 
 
 def strawman(
-    answers: DataFrame, by: Sequence[str] = THREAD, raw: str = "upvotes", total: int | Column | None = None
+    answers: DataFrame, by: Sequence[str] = THREAD, raw: str = "upvotes", declared: str | None = None
 ) -> DataFrame:
     """Confusion counts of ``predict_top``: a = true positives, b = true negatives, c = false positives,
-    d = false negatives. ``total`` defaults to the number of answers.
+    d = false negatives. The total is the sum of what the questions that have answers declare (column ``declared``
+    of the answers, equal within a thread); without one, the number of answers.
 
     Counted per (thread, votes) first and per thread next, so no thread has to be gathered."""
     n = F.col("n")
     tied = (
-        answers.select(*by, votes(F.col(raw)).alias("votes"), "resolve")
+        answers.select(*by, votes(F.col(raw)).alias("votes"), "resolve", *([declared] if declared else []))
         .groupBy(*by, "votes")
         .agg(
             F.count_if(F.col("resolve") == "solution").alias("good"),
             F.count_if(F.col("resolve") == "---").alias("plain"),
-            F.count("*").alias("n"),
+            (F.count("*") if declared is None else F.max(declared)).alias("n"),
         )
     )
     per_thread = tied.groupBy(*by).agg(
@@ -53,7 +58,7 @@ def strawman(
         F.max_by("plain", "votes").alias("top_plain"),
         F.sum("good").alias("good"),
         F.sum("plain").alias("plain"),
-        F.sum("n").alias("n"),
+        (F.sum("n") if declared is None else F.max("n")).alias("n"),
     )
     hit = F.col("top") >= 0  # a thread with only negative votes predicts nothing
     top_good, top_plain = F.when(hit, F.col("top_good")).otherwise(0), F.when(hit, F.col("top_plain")).otherwise(0)
@@ -68,8 +73,6 @@ def strawman(
         total_of(F.col("good") - top_good).alias("d"),
         total_of(n).alias("total_answers"),
     )
-    if total is not None:
-        counts = counts.withColumn("total_answers", F.lit(total).cast("long"))
     right = F.col("a") + F.col("b")
     return counts.withColumn("accuracy", F.try_divide(right.cast("double"), F.col("total_answers").cast("double")))
 

@@ -1,8 +1,9 @@
 """Building blocks that keep one very large group from landing in one task.
 
-``heavy_keys`` names the groups worth special care. It returns at most ``HOT_KEYS`` of them, the largest
-first, so every group that is not named holds less than 1/HOT_KEYS of the rows (or fewer than ``min_rows``).
-Whatever is keyed by the list is therefore small enough to broadcast, and everything else is safe to hash.
+``heavy_keys`` names all groups of more than ``HOT_ROWS`` rows, in a table that is written to the shared folder
+and joined like any other: it has no limit, is not collected, and is broadcast only if the optimizer finds it small.
+Plain joins need none of this, as adaptive execution splits their large partitions; it is for windows, which
+need a group's rows together. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,14 @@ from pyspark.sql.window import Window
 from threadlens.session import stage
 
 HOT_ROWS = 200_000
-HOT_KEYS = 10_000
+
+
+def match(left: DataFrame, right: DataFrame, by: Sequence[str], how: str) -> DataFrame:
+    """Join on ``by`` where NULL keys are equal; ``right``'s keys are dropped."""
+    names = {b: f"_match_{i}" for i, b in enumerate(by)}
+    renamed = right.withColumnsRenamed(names)
+    on = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(names[b])) for b in by])
+    return left.join(renamed, on, how).drop(*names.values())
 
 
 @dataclass(frozen=True)
@@ -34,10 +42,10 @@ class HotKeys:
         return self.frame is not None
 
     def cold(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.frame), list(self.by), "left_anti")
+        return match(df, self.frame, self.by, "left_anti")
 
     def hot(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.frame), list(self.by), "left_semi")
+        return match(df, self.frame, self.by, "left_semi")
 
     def parts(self, df: DataFrame) -> list[tuple[DataFrame, HotKeys]]:
         """``df`` cut at the scan, each part with the keys that apply to it, so that costly steps in between
@@ -55,43 +63,19 @@ class HotKeys:
 
 
 def heavy_keys(df: DataFrame, by: Sequence[str], min_rows: int | None = None) -> HotKeys:
-    """Largest groups of ``df`` with more than ``min_rows`` rows. One column-pruned aggregate with map-side
-    combine; only the at most ``HOT_KEYS`` keys come to the driver."""
-    counts = df.dropna(subset=list(by)).groupBy(*by).agg(F.count("*").alias("n"))
-    return largest(counts, by, min_rows)
-
-
-def largest(counts: DataFrame, by: Sequence[str], min_rows: int | None = None) -> HotKeys:
-    """``heavy_keys`` of a table that holds each group once with its size ``n``."""
+    """All groups of ``df`` with more than ``min_rows`` rows, NULL keys among them: one column-pruned aggregate
+    with map-side combine, written once."""
     limit = HOT_ROWS if min_rows is None else min_rows
-    top = counts.filter(F.col("n") > limit).orderBy(F.desc("n"), *by).limit(HOT_KEYS).select(*by)
-    rows = top.collect()
-    return HotKeys(tuple(by), df_of(rows, top) if rows else None)
-
-
-def df_of(rows: list, like: DataFrame) -> DataFrame:
-    return like.sparkSession.createDataFrame([tuple(r) for r in rows], like.schema)
-
-
-def lookup_join(
-    facts: DataFrame, dims: DataFrame, on: Sequence[str], how: str = "inner", hot: HotKeys | None = None
-) -> DataFrame:
-    """Join many ``facts`` to ``dims`` that hold one row per key. Rows of hot keys meet a broadcast of the few
-    dim rows they need and are not shuffled."""
-    on = list(on)
-    hot = heavy_keys(facts, on) if hot is None else hot
-    return hot.split(
-        facts,
-        lambda rows: rows.join(dims, on, how),
-        lambda rows: rows.join(F.broadcast(hot.hot(dims)), on, how),
-    )
+    counts = df.groupBy(*by).agg(F.count("*").alias("n"))
+    found = stage(counts.where(F.col("n") > limit).select(*by), "large-keys")
+    return HotKeys(tuple(by), None if found.isEmpty() else found)
 
 
 def attach_group(
     df: DataFrame, by: Sequence[str], stats: dict[str, Column], hot: HotKeys | None = None
 ) -> DataFrame:
     """Add per-group aggregates to each row: windows (which share one exchange with ranks over the same
-    group) and, for hot groups, an aggregate of at most ``HOT_KEYS`` rows that is broadcast back."""
+    group) and, for large groups, an aggregate that is written and joined back."""
     by = list(by)
     hot = heavy_keys(df, by) if hot is None else hot
 
@@ -99,8 +83,8 @@ def attach_group(
         return part.withColumns({name: stat.over(Window.partitionBy(*by)) for name, stat in stats.items()})
 
     def joined(part: DataFrame) -> DataFrame:
-        per_group = part.groupBy(*by).agg(*[stat.alias(name) for name, stat in stats.items()])
-        return part.join(F.broadcast(per_group), by)
+        per_group = stage(part.groupBy(*by).agg(*[stat.alias(name) for name, stat in stats.items()]), "group-stats")
+        return match(part, per_group, by, "inner")
 
     return hot.split(df, windowed, joined)
 
@@ -129,7 +113,7 @@ def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], weight
     )
     local = ranged.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
     return (
-        local.join(pieces, ["_piece", *by])
+        match(local, pieces, ["_piece", *by], "inner")
         .withColumn(out, F.col("_earlier") + F.col("_inside"))
         .drop("_piece", "_weight", "_earlier", "_inside")
     )

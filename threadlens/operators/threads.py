@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.operators.skew import HotKeys, lookup_join, number_rows
 from threadlens.schema import SENTINELS, THREAD, is_answer, is_question
 
-NEST_PART = 1_000
-
 
 def question_side(posts: DataFrame) -> DataFrame:
     """The thread-level columns, exactly one row per thread: copies of a question collapse map-side, and the
@@ -25,9 +22,7 @@ def answer_rows(posts: DataFrame, compat: str | None = None) -> DataFrame:
     return posts if compat == "c" else posts.filter(is_answer())
 
 
-def threads(
-    posts: DataFrame, answers: DataFrame | None = None, compat: str | None = None, hot: HotKeys | None = None
-) -> DataFrame:
+def threads(posts: DataFrame, answers: DataFrame | None = None, compat: str | None = None) -> DataFrame:
     """Answers with the columns of their question; ordinals above the declared count are left out, and
     threads without answers give no rows.
 
@@ -38,21 +33,19 @@ def threads(
     number = F.col("ordinal") + 1 if compat == "c" else F.col("ordinal")
     rows = rows.withColumn("_number", number).filter(F.col("_number") >= 1)
     keep = [c for c in rows.columns if c not in ("answers",)]
-    joined = lookup_join(rows.select(*keep), question_side(posts), THREAD, "inner", hot)
+    joined = rows.select(*keep).join(question_side(posts), list(THREAD))
     return joined.filter(F.col("_number") <= F.col("answers_count")).drop("_number")
 
 
-def nest(posts: DataFrame, part_rows: int = NEST_PART) -> DataFrame:
-    """Thread objects for export. A thread of up to ``part_rows`` answers is one row; a longer one continues
-    in rows with part = 1, 2, …, so no row grows without bound."""
-    rows = threads(posts)
-    part = F.floor((F.col("ordinal") - 1) / part_rows).cast("int")
-    answer = F.struct("ordinal", "uid", "author", "text", "date_time", "views", "upvotes", "resolve")
-    return (
-        rows.withColumn("part", part)
-        .groupBy(*THREAD, "part", "question_uid", "question_date", "answers_count", "resolved")
-        .agg(F.array_sort(F.collect_list(answer)).alias("answers"))
+def nest(posts: DataFrame) -> DataFrame:
+    """Thread objects for export, in the long form: the thread's columns, the ordinal, and the answer as a
+    struct. Rows lie in order of (thread, ordinal); a thread of any length runs over as many rows, and files,
+    as it needs, and no cell grows with it."""
+    answer = F.struct("uid", "author", "text", "date_time", "views", "upvotes", "resolve")
+    rows = threads(posts).select(
+        *THREAD, "question_uid", "question_date", "answers_count", "resolved", "ordinal", answer.alias("answer")
     )
+    return rows.repartitionByRange(*THREAD, "ordinal").sortWithinPartitions(*THREAD, "ordinal")
 
 
 def split_tags(raw: Column, ordinal: Column) -> Column:
@@ -62,20 +55,17 @@ def split_tags(raw: Column, ordinal: Column) -> Column:
 
 
 def thread_tag_rows(df: DataFrame, tags: Column, by=THREAD) -> DataFrame:
-    """(thread, tag), each once. The long form, for threads of any size."""
+    """(thread, tag), each once."""
     return df.select(*by, F.explode(tags).alias("tag")).distinct()
 
 
-def thread_tags(df: DataFrame, tags: Column, by=THREAD, part_tags: int = NEST_PART) -> DataFrame:
-    """Sorted distinct tags of each thread; threads without tags have an empty list. More than ``part_tags``
-    tags go on in rows with part = 1, 2, …"""
-    numbered = number_rows(thread_tag_rows(df, tags, by), by, ["tag"], "n")
-    part = F.floor((F.col("n") - 1) / part_tags).cast("int")
-    listed = numbered.groupBy(*by, part.alias("part")).agg(F.array_sort(F.collect_list("tag")).alias("tags"))
-    return (
-        df.select(*by).distinct().join(listed, list(by), "left")
-        .withColumns({"part": F.coalesce("part", F.lit(0)), "tags": F.coalesce("tags", F.array().cast("array<string>"))})
-    )
+def thread_tags(df: DataFrame, tags: Column, by=THREAD) -> DataFrame:
+    """Distinct tags of each thread, one row a tag; a thread without tags has one row with a NULL tag. Folded
+    map-side, so a thread with very many posts is one row a task and tag."""
+    listed = df.select(*by, F.explode_outer(F.array_distinct(tags)).alias("tag")).distinct()
+    any_tag = listed.groupBy(*by).agg(F.count("tag").alias("_tags"))
+    kept = listed.join(any_tag, list(by)).filter(F.col("tag").isNotNull() | (F.col("_tags") == 0))
+    return kept.drop("_tags")
 
 
 def has_tags(df: DataFrame, tags: Column, by=THREAD) -> DataFrame:

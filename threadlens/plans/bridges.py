@@ -8,7 +8,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.operators.skew import HotKeys, attach_group, heavy_keys, lookup_join, number_rows
+from threadlens.operators.skew import HotKeys, attach_group, heavy_keys, number_rows
 from threadlens.schema import POST, THREAD
 from threadlens.session import spread, stage
 
@@ -48,17 +48,12 @@ class Tables:
 
     @staticmethod
     def _conversations(talk: DataFrame, hot: HotKeys) -> DataFrame:
-        """First user turn and later assistant turns, numbered, with the number of answers: one exchange."""
-        asked = F.min(F.when(F.col("role") == "user", F.col("turn")))
-        opened = attach_group(talk, ["conv_id"], {"first_turn": asked}, hot)
-        said = opened.filter(
-            (F.col("turn") == F.col("first_turn")) | ((F.col("role") == "assistant") & (F.col("turn") > F.col("first_turn")))
-        )
-        numbered = number_rows(said, ["conv_id"], ["turn"], "number", hot)
+        """All turns, numbered, with their number: one exchange."""
+        numbered = number_rows(talk, ["conv_id"], ["turn", "role"], "number", hot)
         return attach_group(numbered, ["conv_id"], {"posts": F.count("*")}, hot)
 
     def posts(self) -> DataFrame:
-        """A conversation is a thread: its first user turn is the question, later assistant turns the answers."""
+        """A conversation is a thread: its first turn is the question, all later turns are the answers."""
         talk = self.table("conversations").select("conv_id", "turn", "role", "text")
         hot = heavy_keys(talk, ["conv_id"])
         numbered = reduce(DataFrame.unionByName, [self._conversations(part, keys) for part, keys in hot.parts(talk)])
@@ -80,7 +75,7 @@ class Tables:
             F.lit("a").alias("site"),
             F.when(q, thread).otherwise(F.concat(thread, F.lit("."), _text("ordinal"))).alias("uid"),
             F.when(q, "question").otherwise("answer").alias("type"),
-            F.when(F.col("user_id") % 10 == 0, "").otherwise(F.concat(F.lit("user"), _text("user_id"))).alias("author"),
+            F.when(F.col("user_id") % 10 == 0, "").otherwise(F.concat("role", _text("user_id"))).alias("author"),
             F.when(q, F.concat(F.lit("Thread "), thread)).otherwise("").alias("title"),
             "text",
             "date_time",
@@ -106,7 +101,7 @@ class Tables:
     def posts_gap(self) -> DataFrame:
         """Posts with missing answers, empty texts and tagged answers."""
         thread, ordinal = F.col("thread_id").cast("long"), F.col("ordinal")
-        kept = self.posts().filter(~((thread % 4 == 1) & (ordinal == 2)))
+        kept = self.store.filter(~((thread % 4 == 1) & (ordinal == 2)))
         return kept.withColumn("text", F.when((thread % 5 == 2) & (ordinal == 1), "").otherwise(F.col("text"))).withColumn(
             "tags", F.when((thread % 6 == 3) & (ordinal > 0), F.array(F.lit("x"))).otherwise(F.col("tags"))
         )
@@ -125,12 +120,13 @@ class Tables:
     def lines(self) -> DataFrame:
         """An order is a thread, its lines are the answers."""
         orders = self.table("orders").select(
-            F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate"), F.col("o_orderstatus")
+            F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate"), F.col("o_orderstatus"),
+            (F.col("o_orderkey") % 5 + 2).alias("declared"),
         )
         line = self.table("lineitem").select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"
         )
-        joined = lookup_join(line, orders, ["l_orderkey"], hot=self.large_orders)
+        joined = line.join(orders, "l_orderkey")
         comma = (F.col("l_orderkey") % 50 == 0) & (F.col("l_linenumber") == 1)
         return joined.select(
             F.lit("c").alias("site"),
@@ -147,8 +143,13 @@ class Tables:
             F.when(F.col("o_orderstatus") == "F", "Answered.").when(F.col("o_orderstatus") == "O", "Not Answered.")
             .otherwise("Assumed Answered.").alias("status"),
             F.when(F.col("l_returnflag") == "R", "solution").otherwise("---").alias("resolve"),
+            "declared",
         )
 
+    def order_threads(self) -> DataFrame:
+        """All orders as threads, with lines or without."""
+        return self.table("orders").select(F.lit("c").alias("site"), _text("o_orderkey").alias("thread_id"))
+
     def ages(self) -> DataFrame:
         return self.events.select(
             "event_id",
@@ -231,8 +232,8 @@ class Tables:
         )
 
     def topics(self) -> DataFrame:
-        """Sources that hold a short text."""
-        return self.documents.filter(F.col("n_chars") < 200).select(F.col("source").alias("topic")).distinct()
+        """All sources."""
+        return self.table("documents").select(F.col("source").alias("topic")).distinct()
 
     def tagged(self) -> DataFrame:
         return self.documents.select(
@@ -240,12 +241,12 @@ class Tables:
         )
 
     def raw_tags(self) -> DataFrame:
-        """Tag texts of 200 threads; the first 200 documents are the questions."""
+        """Tag texts: five documents are a thread, the first of them its question."""
         doc = F.col("doc_id")
         return self.documents.select(
-            _text(doc % 200).alias("thread_id"),
-            F.floor(doc / 200).cast("int").alias("ordinal"),
-            F.when(doc < 200, F.concat_ws(".", "source", "lang")).when(doc % 3 == 0, "N/A")
+            _text(F.floor(doc / 5)).alias("thread_id"),
+            (doc % 5).cast("int").alias("ordinal"),
+            F.when(doc % 5 == 0, F.concat_ws(".", "source", "lang")).when(doc % 3 == 0, "N/A")
             .otherwise(F.concat_ws(" ", "lang", "source")).alias("tags_raw"),
         )
 
@@ -290,17 +291,14 @@ CTES = {
 pu as (select max(user_id) + 1 m from events),
 pe as (select user_id, sum(case when event_type = 'view' then 1 else 0 end) views,
               sum(case when event_type = 'click' then 1 else 0 end) upvotes, min(ts) ts from events group by user_id),
-pq as (select conv_id, min(turn) qt from conversations where role = 'user' group by conv_id),
-pp as (select c.conv_id, c.turn, c.text, row_number() over (partition by c.conv_id order by c.turn) - 1 ordinal,
-              (c.conv_id * 31 + c.turn * 17) % (select m from pu) k
-       from conversations c join pq on c.conv_id = pq.conv_id
-       where c.turn = pq.qt or (c.role = 'assistant' and c.turn > pq.qt)),
+pp as (select c.conv_id, c.turn, c.role, c.text, row_number() over (partition by c.conv_id order by c.turn, c.role) - 1 ordinal,
+              (c.conv_id * 31 + c.turn * 17) % (select m from pu) k from conversations c),
 pn as (select conv_id, max(ordinal) answers from pp group by conv_id),
 posts as (
  select 'a' site, cast(pp.conv_id as varchar) thread_id, cast(pp.ordinal as int) ordinal,
   case when pp.ordinal = 0 then cast(pp.conv_id as varchar) else concat(pp.conv_id, '.', pp.ordinal) end uid,
   case when pp.ordinal = 0 then 'question' else 'answer' end type,
-  case when k % 10 = 0 then '' else concat('user', k) end author,
+  case when k % 10 = 0 then '' else concat(pp.role, k) end author,
   case when pp.ordinal = 0 then concat('Thread ', pp.conv_id) else '' end title,
   pp.text, pe.ts date_time,
   case when pp.ordinal = 0 and pp.conv_id % 4 <> 0 then [concat('topic', pp.conv_id % 5), 'forum'] end tags,
@@ -323,7 +321,7 @@ lines as (select 'c' site, cast(l_orderkey as varchar) thread_id,
        else cast(cast(floor(l_extendedprice) as bigint) as varchar) end views,
   l_shipdate date_time, o_orderdate question_date, concat('user', l_suppkey) author,
   case o_orderstatus when 'F' then 'Answered.' when 'O' then 'Not Answered.' else 'Assumed Answered.' end status,
-  case when l_returnflag = 'R' then 'solution' else '---' end resolve
+  case when l_returnflag = 'R' then 'solution' else '---' end resolve, o_orderkey % 5 + 2 declared
  from lineitem join orders on l_orderkey = o_orderkey)""",
     "ages": f"""
 ages as (select event_id, ts anchor, concat('Computing - ', {_AGE_SQL}) caption, {_AGE_SQL} age from events)""",
@@ -355,12 +353,12 @@ listing as (select page_id, url, case page_id % 3 when 0 then 'question' when 1
    page_id % 5 <> 0 author_linked,
    case when url like '%/en/%' then 'Programming & Design' else 'Cooking' end category from pages)""",
     "topics": """
-topics as (select distinct source topic from documents where n_chars < 200)""",
+topics as (select distinct source topic from documents)""",
     "tagged": """
 tagged as (select doc_id, concat('<', lang, '> <', source, '> ') tags_packed from documents)""",
     "raw_tags": """
-raw_tags as (select cast(doc_id % 200 as varchar) thread_id, cast(floor(doc_id / 200) as int) ordinal,
-   case when doc_id < 200 then concat(source, '.', lang) when doc_id % 3 = 0 then 'N/A'
+raw_tags as (select cast(doc_id // 5 as varchar) thread_id, cast(doc_id % 5 as int) ordinal,
+   case when doc_id % 5 = 0 then concat(source, '.', lang) when doc_id % 3 = 0 then 'N/A'
         else concat(lang, ' ', source) end tags_raw from documents)""",
     "edge_text": """
 edge_text as (select doc_id, case doc_id % 7 when 0 then concat(text, ' https://x.example/a')

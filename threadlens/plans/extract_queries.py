@@ -26,15 +26,15 @@ def chained(start: str, rules: list[tuple[str, str]]) -> str:
 
 def html_sql(column: str, keep_links: bool = True) -> str:
     """RE2 has no back-references, so each dropped element has a rule of its own."""
-    rules = [("(?s)<!--.*?-->", "")]
-    rules += [(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "") for tag in ("head", "script", "style", "noscript")]
+    rules = [("(?s)<!--.*?(-->|\\z)", "")]
+    rules += [(rf"(?is)<{tag}\b[^<>]*>.*?(</{tag}\s*>|\z)", "") for tag in ("head", "script", "style", "noscript")]
     if keep_links:
-        rules += [(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>""", r"[\2](\1)")]
+        rules += [(r"""(?is)<a\b[^<>]*?\bhref\s*=\s*["']([^"'<>]*)["'][^<>]*>(.*?)</a>""", r"[\2](\1)")]
     rules += [
         (r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]|pre)\s*>", "\n"),
         ("(?i)</?(b|strong)>", "**"),
         ("(?i)</?(i|em)>", "_"),
-        ("(?s)<[^>]*>", ""),
+        ("<[^<>]*>", ""),
         ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "),
         ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"),
         ("[ \t\r]*\n[ \t\r\n]*", "\n"),
@@ -52,6 +52,7 @@ def html_text(t: Tables) -> DataFrame:
     )
 
 
+# The rules of the code markup.
 CODE_SQL = [
     ('(?s)<td class="linenos">.*?</td>', ""),
     ('<ol class="linenums">(.*?)</ol>', r"```\1```"),
@@ -187,12 +188,14 @@ def tags_unpack(t: Tables) -> DataFrame:
 
 @query(
     "q_ex_topic_gate",
-    "select doc_id, tags_packed from tagged where exists (select 1 from topics where position(concat('<', topic, '>') in tags_packed) > 0)",
+    """select doc_id, tags_packed from tagged where exists (select 1 from topics
+      where regexp_matches(topic, '[02468]$') and position(concat('<', topic, '>') in tags_packed) > 0)""",
     "topics",
     "tagged",
 )
 def topic_gate(t: Tables) -> DataFrame:
-    return ex.topic_gate(t.tagged(), t.topics(), "doc_id", values.tags_unpack(F.col("tags_packed")))
+    even = t.topics().filter(F.col("topic").rlike("[02468]$"))
+    return ex.topic_gate(t.tagged(), even, "doc_id", values.tags_unpack(F.col("tags_packed")))
 
 
 @query(
@@ -249,17 +252,18 @@ def solution_mark(t: Tables) -> DataFrame:
         F.min_by("author", place).alias("solution_user"), F.min_by("date_time", place).alias("solution_date")
     )
     answers = lines.select(*THREAD, "uid", "author", "date_time")
-    return ex.mark_solution(answers, threads, hot=t.large_threads).select("uid", "resolve")
+    return ex.mark_solution(answers, threads, ).select("uid", "resolve")
 
 
 @query(
     "q_ex_question_status",
-    "select thread_id, case when max(case when resolve = 'solution' then 1 else 0 end) = 1 then 'True' else 'False' end resolve from lines group by thread_id",
+    """select cast(o_orderkey as varchar) thread_id, case when max(case when resolve = 'solution' then 1 else 0 end) = 1
+      then 'True' else 'False' end resolve from orders left join lines on thread_id = cast(o_orderkey as varchar) group by o_orderkey""",
     "lines",
 )
 def question_status(t: Tables) -> DataFrame:
     answers = t.lines().select("thread_id", (F.col("resolve") == "solution").alias("is_best"))
-    return ex.question_status(answers, ("thread_id",))
+    return ex.question_status(answers, t.order_threads(), ("thread_id",))
 
 
 @query(

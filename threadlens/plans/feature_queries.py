@@ -30,12 +30,12 @@ def thread_columns(df: DataFrame) -> DataFrame:
 
 @query("q_th_join", JOIN_SQL + " where a.type = 'answer' and a.ordinal between 1 and q.answers", "posts")
 def th_join(t: Tables) -> DataFrame:
-    return thread_columns(th.threads(t.posts().drop("text")))
+    return thread_columns(th.threads(t.store.drop("text")))
 
 
 @query("q_th_join_compat_c", JOIN_SQL + " where a.ordinal + 1 between 1 and q.answers", "posts")
 def th_join_compat_c(t: Tables) -> DataFrame:
-    return thread_columns(th.threads(t.posts().drop("text"), compat="c"))
+    return thread_columns(th.threads(t.store.drop("text"), compat="c"))
 
 
 @query(
@@ -44,25 +44,18 @@ def th_join_compat_c(t: Tables) -> DataFrame:
     "posts",
 )
 def th_exclude_empty(t: Tables) -> DataFrame:
-    return th.threads(t.posts().drop("text")).select("thread_id").distinct()
+    return th.threads(t.store.drop("text")).select("thread_id").distinct()
 
 
 @query(
     "q_th_nested",
-    """select q.thread_id, cast((a.ordinal - 1) // 1000 as int) part, q.answers answers_count, string_agg(a.uid, ' ' order by a.ordinal) answer_uids,
-      string_agg(a.text, chr(10) order by a.ordinal) texts
-    from posts a join posts q on a.thread_id = q.thread_id and q.type = 'question' and a.type = 'answer' group by all""",
+    """select q.thread_id, q.uid question_uid, q.answers answers_count, a.ordinal, a.uid answer_uid, a.text
+    from posts a join posts q on a.thread_id = q.thread_id and q.type = 'question' and a.type = 'answer'""",
     "posts",
 )
 def th_nested(t: Tables) -> DataFrame:
-    answers = F.col("answers")
-    return th.nest(t.posts()).select(
-        "thread_id",
-        "part",
-        "answers_count",
-        F.array_join(answers["uid"], " ").alias("answer_uids"),
-        F.array_join(answers["text"], "\n").alias("texts"),
-    )
+    nested = th.nest(t.store)
+    return nested.select("thread_id", "question_uid", "answers_count", "ordinal", F.col("answer.uid").alias("answer_uid"), "answer.text")
 
 
 THREAD_TAGS_SQL = """thread_tags as (select distinct thread_id, tag from (select thread_id,
@@ -72,17 +65,13 @@ THREAD_TAGS_SQL = """thread_tags as (select distinct thread_id, tag from (select
 
 @query(
     "q_th_tags",
-    """select r.thread_id, coalesce(t.part, 0) part, coalesce(string_agg(t.tag, ' ' order by t.tag), '') tags
-       from (select distinct thread_id from raw_tags) r left join (select *, cast((row_number() over
-         (partition by thread_id order by tag) - 1) // 1000 as int) part from thread_tags) t
-       on r.thread_id = t.thread_id group by r.thread_id, t.part""",
+    "select r.thread_id, t.tag from (select distinct thread_id from raw_tags) r left join thread_tags t on r.thread_id = t.thread_id",
     "raw_tags",
     extra=THREAD_TAGS_SQL,
 )
 def th_tags(t: Tables) -> DataFrame:
     tags = th.split_tags(F.col("tags_raw"), F.col("ordinal"))
-    listed = th.thread_tags(t.raw_tags(), tags, ("thread_id",))
-    return listed.select("thread_id", "part", F.array_join("tags", " ").alias("tags"))
+    return th.thread_tags(t.raw_tags(), tags, ("thread_id",))
 
 
 @query(
@@ -105,6 +94,7 @@ SYLLABLES = (
     r"len(regexp_extract_all({0}, '[aeiouy]+')) - len(list_filter(regexp_split_to_array({0}, '\s+'), "
     r"lambda w: (w like '%es' and length(w) > 2) or (w like '%e' and length(w) > 1)))"
 )
+# Marks of program code.
 CODE_SQL = (
     r"regexp_matches({0}, '(?i)(\{{|\}}| package |\.jar| class | namespace |exception |<<| end | def |<\?php| soap | <xml"
     r"| wsdl |\.cs|\.java|\.php|\.rb|lambda)')"
@@ -200,6 +190,7 @@ def ft_solution(t: Tables) -> DataFrame:
 
 # --- the feature table ------------------------------------------------------------------------------------
 
+# What is ranked, and which way.
 RANK_SQL = ", ".join(
     f"""rank() over (partition by site, thread_id order by {key} {way} nulls last)::int {name}"""
     for key, way, name in (
@@ -258,7 +249,7 @@ def rank_query(name: str, key: str, descending: bool, out: str):
         else:
             posts = t.store
             hot = heavy_keys(posts, THREAD)
-            answers = th.threads(posts, ft.measured_answers(posts), hot=hot).withColumn("answer_uid", F.col("uid"))
+            answers = th.threads(posts, ft.measured_answers(posts)).withColumn("answer_uid", F.col("uid"))
             ranked = rk.add_rank(answers, key, descending, out, hot=hot)
         return ranked.select("answer_uid", F.col(f"`{key}`"), F.col(f"`{out}`"))
 
@@ -364,8 +355,8 @@ def rank_guard(t: Tables) -> DataFrame:
     "posts",
 )
 def first_row(t: Tables) -> DataFrame:
-    posts = t.posts().drop("text")
+    posts = t.store.drop("text")
     hot = heavy_keys(posts, THREAD)
-    return rk.first_row(th.threads(posts, hot=hot), ("resolved", "question_uid"), THREAD, hot).select(
+    return rk.first_row(th.threads(posts), ("resolved", "question_uid"), THREAD, hot).select(
         "uid", "resolved", "question_uid"
     )

@@ -53,12 +53,12 @@ NAV = "(?s)<a href=\"[^\"]*\">([^<]*)</a>"
 @query(
     "q_fr_link_text_gate",
     f"""select page_id, url from pages where list_contains(regexp_extract_all(html, '{NAV}', 1),
-      (select max(x) from (select unnest(regexp_extract_all(html, '{NAV}', 1)) x from pages where page_id = 0)))""",
+      (select max(x) from (select unnest(regexp_extract_all(html, '{NAV}', 1)) x from pages)))""",
 )
 def link_text_gate(t: Tables) -> DataFrame:
-    """Pages that have the (alphabetically last) link text of the first page."""
+    """Pages that have the alphabetically last link text of all pages."""
     texts = t.pages.withColumn("texts", F.regexp_extract_all("html", F.lit(NAV), F.lit(1)))
-    wanted = texts.filter(F.col("page_id") == 0).select(F.explode("texts").alias("x")).agg(F.max("x")).scalar()
+    wanted = texts.select(F.explode("texts").alias("x")).agg(F.max("x")).scalar()
     return fr.link_text_gate(texts, "texts", wanted).select("page_id", "url")
 
 

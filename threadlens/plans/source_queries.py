@@ -22,7 +22,7 @@ from threadlens.sources.posts import (
     write_posts,
     write_topics,
 )
-from threadlens.sources.records import dump_fields, read_jsonl, read_record_dump, write_jsonl, write_record_dump
+from threadlens.sources.records import read_jsonl, read_record_dump, write_fields, write_jsonl, write_record_dump
 from threadlens.sources.tables import materialize, read_features, read_freq, write_features, write_freq
 
 
@@ -88,7 +88,7 @@ def sink_topics(t: Tables) -> DataFrame:
 
 DUMP_SQL = f"""select {", ".join(
     "coalesce(strftime(date_time, '%Y-%m-%d %H:%M:%S'), 'null') date_time" if n == "date_time"
-    else "coalesce(array_to_string(tags, ' '), 'null') tags" if n == "tags"
+    else "coalesce(array_to_string(list_transform(tags, lambda t: concat('<', t, '> ')), ''), 'null') tags" if n == "tags"
     else f"coalesce(cast({n} as varchar), 'null') as {n}" for n in DUMP_FIELDS)} from posts"""
 
 
@@ -99,22 +99,64 @@ def src_records_import(t: Tables) -> DataFrame:
     return read_record_dump(t.spark, path)
 
 
+# Posts with program code, quotes, record ends and tags of several words.
+ODD_SQL = """odd as (select * replace (concat('int f() { return ''x''; }', chr(10), text, ' }', chr(10), ''', uid: ''') as text,
+  case when tags is not null then ['data base', 'java'] end as tags) from posts)"""
+
+
+def odd_posts(t: Tables) -> DataFrame:
+    text = F.concat(F.lit("int f() { return 'x'; }\n"), "text", F.lit(" }\n', uid: '"))
+    tags = F.when(F.col("tags").isNotNull(), F.array(F.lit("data base"), F.lit("java")))
+    return t.posts().withColumns({"text": text, "tags": tags})
+
+
 TYPED_SQL = """select * replace (nullif(author, '') as author, nullif(title, '') as title,
-  strftime(date_time, '%Y-%m-%d %H:%M:%S') as date_time, coalesce(array_to_string(tags, ' '), '') as tags) from posts"""
+  strftime(date_time, '%Y-%m-%d %H:%M:%S') as date_time, coalesce(array_to_string(tags, ' '), '') as tags) from odd"""
 
 
-@query("q_src_typed_posts", TYPED_SQL, "posts")
+@query("q_src_typed_posts", TYPED_SQL, "posts", extra=ODD_SQL)
 def src_typed_posts(t: Tables) -> DataFrame:
     """Harvested text fields to the typed record."""
     path = fresh_path(t.spark, "dump")
-    write_record_dump(t.posts(), path)
+    write_record_dump(odd_posts(t), path)
     raw = read_record_dump(t.spark, path).withColumn("site", F.lit("a"))
     return flat(typed_posts(raw))
 
 
-@query("q_sink_records_dump", DUMP_SQL, "posts")
+@query(
+    "q_src_typed_posts_c",
+    """select * replace (nullif(author, '') as author, nullif(title, '') as title, 'c' as site, views + 1000 as views,
+      concat(thread_id, '.', ordinal + 1) as uid, strftime(date_trunc('minute', date_time), '%Y-%m-%d %H:%M:%S') as date_time,
+      coalesce(array_to_string(tags, ' '), '') as tags) from odd""",
+    "posts",
+    extra=ODD_SQL,
+)
+def src_typed_posts_c(t: Tables) -> DataFrame:
+    """The layout of the site that writes dumps: month dates, a list of tags as text, commas in numbers, the
+    question as post 1."""
+    path = fresh_path(t.spark, "dump")
+    posts = odd_posts(t)
+    renumbered = posts.withColumns(
+        {"views": F.col("views") + 1000, "uid": F.concat_ws(".", "thread_id", F.col("ordinal") + 1)}
+    )
+    fields = renumbered.select("*", F.date_format("date_time", "MMM d, yyyy h:mm a").alias("month_date"))
+    listed = F.concat(F.lit("['"), F.array_join("tags", "', '"), F.lit("']"))
+    shown = {
+        "views": F.regexp_replace(F.col("views").cast("string"), "(?<=[0-9])(?=[0-9]{3}$)", ","),
+        "tags": listed,
+        "date_time": F.col("month_date"),
+    }
+    raw = fields.select(*[shown.get(n, F.col(n).cast("string")).alias(n) for n in DUMP_FIELDS])
+    write_fields(raw, path)
+    return flat(typed_posts(read_record_dump(t.spark, path).withColumn("site", F.lit("c")), question_number=1))
+
+
+@query("q_sink_records_dump", DUMP_SQL.replace("from posts", "from odd"), "posts", extra=ODD_SQL)
 def sink_records_dump(t: Tables) -> DataFrame:
-    return dump_fields(t.posts())
+    """What a written dump shows, its escapes undone."""
+    path = fresh_path(t.spark, "dump")
+    write_record_dump(odd_posts(t), path)
+    return read_record_dump(t.spark, path)
 
 
 @query("q_sink_jsonl", FLAT_SQL.format(site=""), "posts")

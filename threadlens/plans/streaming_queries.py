@@ -18,17 +18,17 @@ POSTS_SQL = FLAT_SQL.format(site="")
 
 
 def write_batches(t: Tables, folder: str, which: tuple[int, ...]) -> None:
-    """Post files, cut by thread into three batches."""
-    posts, batch = t.posts(), F.col("thread_id").cast("long") % 3
+    """Post files of the written store, cut by thread into three batches; each is written in parallel."""
+    batch = F.col("thread_id").cast("long") % 3
     for i in which:
-        posts.filter(batch == i).coalesce(1).write.mode("append").parquet(folder)
+        t.store.filter(batch == i).write.mode("append").parquet(folder)
 
 
 @query("q_st_ingest", POSTS_SQL, "posts")
 def st_ingest(t: Tables) -> DataFrame:
     source, sink, state = (fresh_path(t.spark, n) for n in ("batches", "sink", "state"))
     write_batches(t, source, (0, 1, 2))
-    ingest(stream_posts(t.spark, source, files_per_trigger=1), sink, state).awaitTermination()
+    ingest(stream_posts(t.spark, source, files_per_trigger=8), sink, state).awaitTermination()
     return flat(read_store(t.spark, sink))
 
 
@@ -60,5 +60,5 @@ def st_counts(t: Tables) -> DataFrame:
     source, state = fresh_path(t.spark, "batches"), fresh_path(t.spark, "state")
     write_batches(t, source, (0, 1, 2))
     name = f"counts_{uuid.uuid4().hex}"
-    run_counts(stream_posts(t.spark, source, files_per_trigger=1), name, state).awaitTermination()
+    run_counts(stream_posts(t.spark, source, files_per_trigger=8), name, state).awaitTermination()
     return t.spark.table(name)

@@ -18,11 +18,18 @@ RUNTIME = {
 }
 
 
+# Settings that a session can only be started with.
+START = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
+# A table whose files hold less than this may be dealt over all cores (see ``spread``).
+SPREAD_BYTES = 256 << 20
+
+
 def build_session(app: str = "threadlens", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME, **conf}.items():
+    for key, value in {**START, **RUNTIME, **conf}.items():
         builder = builder.config(key, value)
     return tune(builder.getOrCreate())
 
@@ -46,8 +53,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
+def run_dir(spark: SparkSession) -> str:
+    """What this application writes lies under one folder of its own."""
+    return f"{shared_dir(spark).rstrip('/')}/threadlens/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/threadlens/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables staged by this application. For the caller, once no result is read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -65,7 +83,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a table that arrives in fewer splits than there are cores over all of them; leave others alone.
-    For tables whose rows cost much work, such as texts."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Deal a small table of texts over all cores. A file with one row group is one task, however long its
+    texts take; only tables under ``SPREAD_BYTES`` are dealt, so no large table is ever shuffled by this."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else df

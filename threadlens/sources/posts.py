@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlens.functions.values import month_date, stored_date, tags_unpack
 from threadlens.schema import FRONTIER, POST, SENTINELS, no_sentinel
 
 
@@ -31,14 +32,33 @@ def write_posts(posts: DataFrame, path: str, mode: str = "append") -> None:
     posts.select(*POST.fieldNames()).write.mode(spark_mode).partitionBy("site").parquet(path)
 
 
-def typed_posts(raw: DataFrame) -> DataFrame:
-    """Text fields as harvested -> the typed post record; sentinels become NULL."""
+def tag_list(raw: Column) -> Column:
+    """Tags of a text: '<a> <b c> ', "['a', 'b c']" (a list written as text), or words between blanks."""
+    quoted = F.transform(
+        F.regexp_extract_all(raw, F.lit("'[^']*'|\"[^\"]*\""), F.lit(0)), lambda t: F.substring(t, F.lit(2), F.length(t) - 2)
+    )
+    tags = F.when(raw.startswith("<"), tags_unpack(raw)).when(raw.startswith("["), quoted).otherwise(F.split(raw, " "))
+    return F.filter(tags, lambda t: ~t.isin(*SENTINELS))
+
+
+def number(raw: Column) -> Column:
+    """'1,234' and '1234' as 1234; NULL where there is no number."""
+    return F.replace(no_sentinel(raw), F.lit(","), F.lit("")).try_cast("long")
+
+
+def typed_posts(raw: DataFrame, question_number: int = 0) -> DataFrame:
+    """Text fields as harvested -> the typed post record; sentinels become NULL.
+
+    '<thread>' and '<thread>.<n>' name the posts of a thread. Two sites number answers from 1 and leave the
+    question without a number; one (``question_number=1``) numbers the question 1 and answers from 2. Dates
+    are stored ones or like 'Feb 3, 2016 4:05 PM'.
+    """
 
     def text(name: str) -> Column:
         return no_sentinel(F.col(name))
 
     uid = F.col("uid")
-    # '<thread>' and '<thread>.<n>' name a question and its answers
+    given = F.nullif(F.regexp_extract(uid, r"\.([0-9]+)$", 1), F.lit("")).try_cast("int")
     return raw.select(
         F.col("site"),
         uid,
@@ -46,17 +66,15 @@ def typed_posts(raw: DataFrame) -> DataFrame:
         text("author").alias("author"),
         text("title").alias("title"),
         F.col("text"),
-        F.try_to_timestamp(text("date_time"), F.lit("yyyy-MM-dd HH:mm:ss")).alias("date_time"),
-        F.filter(F.split(F.col("tags"), " "), lambda t: ~t.isin(*SENTINELS)).alias("tags"),
-        text("views").try_cast("long").alias("views"),
-        text("answers").try_cast("int").alias("answers"),
+        F.coalesce(stored_date(F.col("date_time")), month_date(F.col("date_time"))).alias("date_time"),
+        tag_list(F.col("tags")).alias("tags"),
+        number(F.col("views")).alias("views"),
+        number(F.col("answers")).try_cast("int").alias("answers"),
         F.col("resolve"),
-        text("upvotes").try_cast("long").alias("upvotes"),
+        number(F.col("upvotes")).alias("upvotes"),
         F.col("url"),
         F.regexp_extract(uid, r"^([^.]*)", 1).alias("thread_id"),
-        F.coalesce(F.nullif(F.regexp_extract(uid, r"\.([0-9]+)$", 1), F.lit("")).try_cast("int"), F.lit(0)).alias(
-            "ordinal"
-        ),
+        F.coalesce(given - question_number, F.lit(0)).alias("ordinal"),
     ).select(*POST.fieldNames())
 
 
