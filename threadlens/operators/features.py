@@ -12,7 +12,7 @@ from threadlens.functions import text as tx
 from threadlens.functions.stemming import porter
 from threadlens.operators.corpus import Lexicon, Stemmer, lexicon, log_likelihood
 from threadlens.operators.ranks import RankSpec, add_ranks
-from threadlens.operators.skew import HotKeys, heavy_keys
+from threadlens.operators.skew import HotKeys, attach_group, heavy_keys
 from threadlens.operators.threads import answer_rows, has_tags, threads
 from threadlens.schema import POST_KEY, STORE_DATE, THREAD
 
@@ -99,6 +99,7 @@ def features(
     hot: HotKeys | None = None,
     compat: str | None = None,
     unranked: Sequence[str] = (),
+    guarded: Sequence[str] = (),
 ) -> DataFrame:
     """One row per answer: site, thread_id, ordinal and the 33 feature columns.
 
@@ -106,17 +107,17 @@ def features(
     partitioning by thread, and threads too large for one task go the distributed way. ``posts`` holds each
     (site, uid) once (``dedup_last``).
 
-    One site pairs threads with ``compat="c"`` (see ``threads``) and leaves the ``unranked`` rank columns
-    empty (there: upvotes_rank).
+    One site pairs threads with ``compat="c"`` (see ``threads``), leaves the ``unranked`` rank columns empty (there:
+    upvotes_rank) and those in ``guarded`` for threads that lack a value of the key (there: views_rank).
     """
     hot = heavy_keys(posts, THREAD) if hot is None else hot
     lex = lexicon(posts, stemmer) if lex is None else lex
-    parts = [_feature_rows(part, lex, keys, compat) for part, keys in hot.parts(posts)]
+    parts = [_feature_rows(part, lex, keys, compat, guarded) for part, keys in hot.parts(posts)]
     table = reduce(DataFrame.unionByName, parts)
     return table.withColumns({c: F.lit(None).cast("int") for c in unranked}) if unranked else table
 
 
-def _feature_rows(posts: DataFrame, lex: Lexicon, hot: HotKeys, compat: str | None) -> DataFrame:
+def _feature_rows(posts: DataFrame, lex: Lexicon, hot: HotKeys, compat: str | None, guarded: Sequence[str]) -> DataFrame:
     scores = log_likelihood(answer_rows(posts, compat), lex, POST_KEY)
     measured = measured_answers(posts, compat).join(scores, list(POST_KEY), "left")
     in_threads = threads(posts, measured, compat)
@@ -128,6 +129,11 @@ def _feature_rows(posts: DataFrame, lex: Lexicon, hot: HotKeys, compat: str | No
         }
     )
     ranked = add_ranks(timed, RANKS, THREAD, "uid", hot)
+    if guarded:
+        keys = {spec.out: spec.key for spec in RANKS if spec.out in guarded}
+        lacks = {f"_lacks_{out}": F.max(F.col(f"`{key}`").isNull()) for out, key in keys.items()}
+        marked = attach_group(ranked, THREAD, lacks, hot)
+        ranked = marked.withColumns({out: F.when(~F.col(f"_lacks_{out}"), F.col(f"`{out}`")) for out in keys}).drop(*lacks)
     return ranked.withColumns(
         {
             "answer_uid": F.col("uid"),

@@ -14,7 +14,10 @@ from threadlens.operators.skew import heavy_keys
 from threadlens.plans.bridges import Tables
 from threadlens.plans.corpus_queries import loglik_sql, stem_sql
 from threadlens.plans.registry import query
-from threadlens.schema import STORE_DATE, THREAD
+from threadlens.schema import THREAD
+from threadlens.session import fresh_path
+from threadlens.sources.posts import read_store, write_posts
+from threadlens.sources.tables import FEATURE_SEP, read_features, write_features
 
 FORMAT = "'%Y-%m-%d %H:%M:%S'"
 
@@ -210,24 +213,33 @@ RANK_SQL = ", ".join(
     )
 )
 
-FEATURE_SQL = (
-    stem_sql("posts")
-    + ","
-    + loglik_sql("posts", "uid")
-    + f""",
-measured as (select a.site, a.thread_id, a.ordinal, a.uid, a.text, a.date_time dt, a.views, a.upvotes, a.resolve,
+ANSWERS = "a.type = 'answer' and a.ordinal <= q.answers"
+
+
+def feature_sql(source: str = "posts", pairs: str = ANSWERS) -> str:
+    """CTEs up to ``features`` over the posts of ``source``; ``pairs`` says which posts are answers of q."""
+    return (
+        f"src as (select *, concat(site, '/', uid) sid from {source}),"
+        + stem_sql("src")
+        + ","
+        + loglik_sql("src", "sid")
+        + f""",
+measured as (select a.site, a.thread_id, a.ordinal, a.uid, a.sid, a.text, a.date_time dt, a.views, a.upvotes, a.resolve,
    q.uid question_uid, q.answers answers_count, q.resolve resolved, coalesce(len(q.tags) > 0, false) has_tags,
    {DIFF_SQL.format('a.date_time', 'q.date_time')} time_difference, length(a.text) len, {WORDS.format('a.text')} wordcount,
    len({SENTENCES.format('a.text')}) sentences, coalesce(list_max({SENTENCE_WORDS.format('a.text')}), 0) longest_sentence,
    {SYLLABLES.format('a.text')} syl, regexp_matches(a.text, 'https?://') has_links, {CODE_SQL.format('a.text')} has_code_snippet
-  from posts a join posts q on a.thread_id = q.thread_id and q.type = 'question' and a.type = 'answer' and a.ordinal <= q.answers),
+  from src a join src q on a.site = q.site and a.thread_id = q.thread_id and q.type = 'question' and {pairs}),
 rated as (select m.*, {ratio_sql('len', 'wordcount')} avg_chars_per_word, {ratio_sql('wordcount', 'sentences')} avg_words_per_sentence,
-   loglikelihood from measured m join loglik l on m.uid = l.uid),
+   loglikelihood from measured m join loglik l on m.sid = l.sid),
 scored as (select *, {FK_SQL.format('avg_words_per_sentence', 'syl')} "F-K" from rated),
 features as (select site, thread_id, ordinal, resolved, question_uid, answers_count, uid answer_uid, strftime(dt, {FORMAT}) date_time,
    time_difference, resolve = 'solution' solution, len, wordcount, avg_chars_per_word, sentences, avg_words_per_sentence,
    longest_sentence, views, loglikelihood, "F-K", upvotes, has_links, has_code_snippet, has_tags, {RANK_SQL} from scored)"""
-)
+    )
+
+
+FEATURE_SQL = feature_sql()
 
 
 @query("q_ft_feature_table", "select * from features", "posts", extra=FEATURE_SQL)
@@ -235,6 +247,69 @@ def feature_table(t: Tables) -> DataFrame:
     return ft.features(t.store)
 
 
+POSTS_C_SQL = """posts_c as (select * replace ('c' as site,
+  case when thread_id::int % 7 = 3 and ordinal = 1 then null else views end as views) from posts),
+"""
+
+
+def posts_c(t: Tables) -> DataFrame:
+    """The store as one of the second site, where some views are not known."""
+    unknown = (F.col("thread_id").cast("long") % 7 == 3) & (F.col("ordinal") == 1)
+    return t.store.withColumns({"site": F.lit("c"), "views": F.when(~unknown, F.col("views"))})
+
+
+FEATURES_C_SQL = """select * exclude (upvotes_rank) replace (case when bool_or(views is null) over (partition by site, thread_id)
+  then null else views_rank end as views_rank), cast(null as int) upvotes_rank from features"""
+
+
+def features_c(t: Tables) -> DataFrame:
+    return ft.features(posts_c(t), compat="c", unranked=("upvotes_rank",), guarded=("views_rank",))
+
+
+PAIRS_C = "a.ordinal + 1 between 1 and q.answers"
+
+
+@query("q_ft_feature_table_c", FEATURES_C_SQL, "posts", extra=POSTS_C_SQL + feature_sql("posts_c", PAIRS_C))
+def feature_table_c(t: Tables) -> DataFrame:
+    """The table of the second site: its pairing, no ranks of votes, ranks of views where all are known."""
+    return features_c(t)
+
+
+@query(
+    "q_sink_features_csv_c",
+    f"""select * exclude (site, thread_id, ordinal, is_first) replace (
+      case when is_first then resolved else '' end as resolved, case when is_first then question_uid else '' end as question_uid)
+    from (select *, ordinal = min(ordinal) over (partition by site, thread_id) is_first from ({FEATURES_C_SQL}))""",
+    "posts",
+    extra=POSTS_C_SQL + feature_sql("posts_c", PAIRS_C),
+)
+def features_csv_c(t: Tables) -> DataFrame:
+    """The second site's file, with commas."""
+    path, table = fresh_path(t.spark, "features-c"), features_c(t)
+    write_features(table, path, FEATURE_SEP["c"])
+    return read_features(t.spark, path, table.select(*[F.col(f"`{c}`") for c in ft.FEATURES]).schema, FEATURE_SEP["c"])
+
+
+STORES_SQL = """stores as (select * from posts union all select * replace ('b' as site, upvotes + ordinal as upvotes,
+  concat(text, ' More words, then some.') as text) from posts),
+"""
+
+
+@query("q_ft_feature_table_stores", "select * from features", "posts", extra=STORES_SQL + feature_sql("stores"))
+def feature_table_stores(t: Tables) -> DataFrame:
+    """Two stores whose threads and posts have the same ids: one corpus, threads apart."""
+    other = t.store.withColumns(
+        {
+            "site": F.lit("b"),
+            "upvotes": F.col("upvotes") + F.col("ordinal"),
+            "text": F.concat("text", F.lit(" More words, then some.")),
+        }
+    )
+    path = fresh_path(t.spark, "stores")
+    write_posts(t.store.unionByName(other), path)
+    return ft.features(read_store(t.spark, path))
+
+
 # --- ranks ------------------------------------------------------------------------------------------------
 
 
