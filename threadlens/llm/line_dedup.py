@@ -87,7 +87,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.posexplode(F.transform(chunks(F.col("text")), lambda c: F.when(_repeatable(c), F.xxhash64(_joined(c))))).alias("no", "h"),
     )
     hashes = stage(listed.where(F.col("h").isNotNull()), "chunk-hashes")
-    repeated = hashes.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h")
+    # written, so that the join reads both sides from exchanges of their own, which can be split where a hash is hot
+    repeated = stage(hashes.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h"), "repeated-hashes")
     marks = hashes.join(repeated, "h").groupBy("id", "th").agg(F.collect_set("no").alias("marks"))
 
     # byte comparison of the chunks whose hash repeats
@@ -103,7 +104,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         held.select("id", "th", F.explode(wanted).alias("c")).select("id", "th", "c.no", "c.chunk"), "repeated-chunks"
     ).withColumn("h", F.xxhash64("chunk"))
     place = F.struct("id", "th", "no")
-    first = same.groupBy("h", "chunk").agg(F.min(place).alias("first"))
+    first = stage(same.groupBy("h", "chunk").agg(F.min(place).alias("first")), "first-places")
     gone = same.join(first, ["h", "chunk"]).where(~place.eqNullSafe(F.col("first")))
     gone = gone.groupBy("id", "th").agg(F.collect_set("no").alias("gone"))
 
