@@ -2,16 +2,52 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.operators.skew import heavy_keys
-from threadlens.session import cut_lineage
+from threadlens.session import cut_lineage, fresh_path
 
-# The known pages are a union of checkpointed rounds; after this many rounds they are written as one.
-FOLD_EVERY = 8
+# The known pages are appended to a bucketed table; after this many rounds its files are written as one again.
+FOLD_EVERY = 16
+
+
+class Placed:
+    """A table written once by the hash of ``key`` (bucketed), so that no later join on it shuffles it. Rows can
+    be added; they go to the same places."""
+
+    def __init__(self, df: DataFrame, key: str):
+        self.spark: SparkSession = df.sparkSession
+        self.key, self.buckets = key, int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.begin(df)
+
+    def begin(self, df: DataFrame) -> None:
+        self.name, self.path = f"placed_{uuid.uuid4().hex}", fresh_path(self.spark, f"placed-{self.key}")
+        dealt = df.repartition(self.buckets, self.key)
+        writer = dealt.write.format("parquet").bucketBy(self.buckets, self.key).sortBy(self.key)
+        writer.option("path", self.path).saveAsTable(self.name)
+
+    def add(self, df: DataFrame) -> int:
+        """Add rows that a join on the key has placed already; returns how many."""
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.insertInto(self.name)
+        return seen.get["n"]
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def fold(self) -> None:
+        old = self.name
+        self.begin(self.rows())
+        self.spark.sql(f"drop table {old}")
+
+    def close(self) -> DataFrame:
+        """The rows as plain files; the name is given up."""
+        schema = self.rows().schema
+        self.spark.sql(f"drop table {self.name}")
+        return self.spark.read.schema(schema).parquet(self.path)
 
 
 def _gated(edges: DataFrame, gate: DataFrame) -> DataFrame:
@@ -23,26 +59,30 @@ def _gated(edges: DataFrame, gate: DataFrame) -> DataFrame:
 def closure(seeds: DataFrame, edges: DataFrame, gate: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth) of all gate-passing pages reachable through gate-passing pages.
 
-    Each round joins only the newly found pages to the edges, drops what is known, and checkpoints.
+    Edges lie by source page and known pages by page, each placed once. A round shuffles only the newly found
+    pages: to the edges, and their successors to the known pages. Pages with very many links stay spread.
     """
     gate = gate.select("node").distinct()
     edges = cut_lineage(_gated(edges, gate))
+    first = seeds.select("node").distinct().join(gate, "node", "left_semi").withColumn("depth", F.lit(0))
     hot = heavy_keys(edges, ["src"])
-    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # placed once by source page, so that no round shuffles the edges again; pages with very many links stay spread
-    placed = [cut_lineage(p if keys else p.repartition(tasks, "src")) for p, keys in hot.parts(edges)]
-    fresh = cut_lineage(seeds.select("node").distinct().join(gate, "node", "left_semi").withColumn("depth", F.lit(0)))
-    known, depth = fresh, 0
-    while not fresh.isEmpty() and (max_depth is None or depth < max_depth):
+    placed = Placed(hot.cold(edges) if hot else edges, "src")
+    spread = cut_lineage(hot.hot(edges)) if hot else None
+    known, depth = Placed(first, "node"), 0
+    found = 1
+    while found and (max_depth is None or depth < max_depth):
+        # files hold one depth each, so those of earlier rounds are skipped by their statistics
+        sources = known.rows().filter(F.col("depth") == depth).select(F.col("node").alias("src"))
         depth += 1
-        sources = fresh.select(F.col("node").alias("src"))
-        steps = [p.join(sources, "src", "left_semi") for p in placed]
-        found = reduce(DataFrame.unionByName, steps).select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti")
-        fresh = cut_lineage(found.withColumn("depth", F.lit(depth)))
-        known = known.unionByName(fresh)
+        steps = placed.rows().join(sources, "src", "left_semi").select("dst")
+        if spread is not None:
+            steps = steps.unionByName(spread.join(sources, "src", "left_semi").select("dst"))
+        fresh = steps.select(F.col("dst").alias("node")).distinct().join(known.rows().select("node"), "node", "left_anti")
+        found = known.add(fresh.withColumn("depth", F.lit(depth)))
         if depth % FOLD_EVERY == 0:
-            known = cut_lineage(known)
-    return known
+            known.fold()
+    placed.close()
+    return known.close()
 
 
 def chain(seeds: DataFrame, edges: DataFrame, gate: DataFrame) -> DataFrame:
