@@ -55,7 +55,7 @@ def lexicon(posts: DataFrame, stemmer: Stemmer = porter, tokenizer: Tokenizer =
     """One pass over the corpus; the counted and stemmed vocabulary is staged and the rest reads that table.
     A stem at or below the cut-off counts as frequency 1, whose logarithm is 0, so its words are left out."""
     stemmed = stage(stems(token_counts(posts, tokenizer), stemmer), "stems")
-    freq = frequency(stemmed)
+    freq = stage(frequency(stemmed), "stem-counts")
     size = freq.count()
     kept = cutoff(freq, above).select("stem", F.ln("n").alias("lnf"))
     words = stage(stemmed.join(kept, "stem").select(F.col("token").alias("w"), "n", "lnf"), "lexicon")
