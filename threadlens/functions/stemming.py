@@ -113,7 +113,3 @@ def porter(df: DataFrame, token: str = "token", out: str = "stem") -> DataFrame:
         rows = step(rows, f"{expression} as w")
     regular = f"if(length(`{token}`) <= 2, `{token}`, regexp_replace(w, '^Y', 'y'))"
     return step(rows, f"{_case(IRREGULAR, f'`{token}`', regular)} as `{out}`")
-
-
-def identity(df: DataFrame, token: str = "token", out: str = "stem") -> DataFrame:
-    return df.withColumn(out, F.col(token))

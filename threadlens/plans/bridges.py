@@ -117,6 +117,19 @@ class Tables:
         named = frame and frame.select(F.lit("c").alias("site"), _text("l_orderkey").alias("thread_id"))
         return HotKeys(THREAD, named)
 
+    def answer_lines(self) -> DataFrame:
+        """The lines as answers, without what only their order tells."""
+        return self.table("lineitem").select(
+            F.lit("c").alias("site"),
+            _text("l_orderkey").alias("thread_id"),
+            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("uid"),
+            "l_linenumber",
+            "l_partkey",
+            "l_suppkey",
+            F.col("l_shipdate").cast("timestamp").alias("date_time"),
+            F.concat(F.lit("user"), _text("l_suppkey")).alias("author"),
+        )
+
     def lines(self) -> DataFrame:
         """An order is a thread, its lines are the answers."""
         orders = self.table("orders").select(
@@ -148,7 +161,13 @@ class Tables:
 
     def order_threads(self) -> DataFrame:
         """All orders as threads, with lines or without."""
-        return self.table("orders").select(F.lit("c").alias("site"), _text("o_orderkey").alias("thread_id"))
+        status = (
+            F.when(F.col("o_orderstatus") == "F", "Answered.").when(F.col("o_orderstatus") == "O", "Not Answered.")
+            .otherwise("Assumed Answered.")
+        )
+        return self.table("orders").select(
+            F.lit("c").alias("site"), _text("o_orderkey").alias("thread_id"), status.alias("status")
+        )
 
     def ages(self) -> DataFrame:
         return self.events.select(

@@ -5,11 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.functions.stemming import IRREGULAR, STEP2, STEP3, STEP4
 from threadlens.operators import corpus as co
 from threadlens.plans.bridges import Tables
 from threadlens.plans.registry import query
 
+# The stemmer's tables stand here again, so that a wrong entry on either side shows.
+# Irregular words.
+IRREGULAR = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+    "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
+    "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed",
+    "exceed": "exceed", "succeed": "succeed",
+}
+
+# Suffix replacements of steps 2 and 3 (measure above 0) and 4 (measure above 1).
+STEP2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble",
+    "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate",
+    "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al",
+    "iviti": "ive", "biliti": "ble", "fulli": "ful", "logi": "log",
+}
+STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP4 = (
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism",
+    "ate", "iti", "ous", "ive", "ize",
+)
+
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
 
 _C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"

@@ -246,11 +246,12 @@ def uid_answer(t: Tables) -> DataFrame:
     "lines",
 )
 def solution_mark(t: Tables) -> DataFrame:
-    lines = t.lines()
+    lines = t.answer_lines()
     place = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    threads = lines.groupBy("site", "thread_id", "status").agg(
+    first = lines.groupBy(*THREAD).agg(
         F.min_by("author", place).alias("solution_user"), F.min_by("date_time", place).alias("solution_date")
     )
+    threads = first.join(t.order_threads(), list(THREAD))
     answers = lines.select(*THREAD, "uid", "author", "date_time")
     return ex.mark_solution(answers, threads, ).select("uid", "resolve")
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +34,8 @@ def read_freq(spark: SparkSession, path: str) -> DataFrame:
 
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Build a table once; later calls read it. A half-written table does not count and is written again."""
-    done = f"{path.rstrip('/')}/_SUCCESS"
-    try:
-        spark.read.format("binaryFile").load(done).limit(1).count()
-    except AnalysisException:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
