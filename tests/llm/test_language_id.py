@@ -107,3 +107,29 @@ def test_whole_text_counts(make):
 
 def test_normalised_by_the_sample():
     assert math.isclose(g.Parser(["ab ab"]).bits, math.log2(7))
+
+
+def test_a_tiny_sample_does_not_win(make):
+    """Beside languages with much text, one of two letters, one alphabet, and one without a letter in its sample."""
+    rnd = random.Random(7)
+    rows = [(i, t, lang) for i, t, lang in corpus(rnd, 300)]
+    learned = g.learn(make(rows))
+    model = learned | {"tiny": ["ok"], "abc": ["abcdefghijklmnopqrstuvwxyz"], "none": ["12 34"], "void": []}
+    got = [r.lang_pred for r in g.identify(make(rows), model, ["doc_id", "lang"]).orderBy("doc_id").collect()]
+    assert np.mean([a == lang for a, (_, _, lang) in zip(got, rows, strict=True)]) > 0.99
+    assert [r.lang_pred for r in g.identify(make(["ok", "sch"]), model, ["doc_id"]).orderBy("doc_id").collect()] == ["tiny", "bb"]
+
+
+def test_a_small_sample_is_still_found(make):
+    rnd = random.Random(8)
+    model = {"aa": [words(rnd, SYLLABLES["aa"], 4000)], "bb": [words(rnd, SYLLABLES["bb"], 4000)], "cc": [words(rnd, SYLLABLES["cc"], 40)]}
+    rows = corpus(rnd, 200)
+    got = [r.lang_pred for r in g.identify(make(rows), model, ["doc_id"]).orderBy("doc_id").collect()]
+    assert np.mean([a == lang for a, (_, _, lang) in zip(got, rows, strict=True)]) > 0.97
+
+
+def test_samples_are_taken_from_the_letters_of_the_whole_text(make):
+    prose = " ".join(f"wort{'abcdefghij'[i % 10]}" for i in range(3000))
+    sample = g.learn(make([(i, "1234567. " * 200 + prose, "aa") for i in range(1, 60)]))["aa"]
+    assert all(len(g.letters_only(s)) > g.SAMPLE_CHARS - 3 for s in sample)
+    assert len(set(sample)) > 10

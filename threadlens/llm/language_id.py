@@ -2,11 +2,13 @@
 
 Each language is a bounded sample of labelled text, held as a suffix automaton. A text is parsed from left to
 right into the longest pieces that occur in the sample (Ziv and Merhav, 1993); the fewer pieces, the closer
-the language. Pieces are normalised by the sample's length: pieces * log2(sample) / letters. The smallest
-value wins; ties go to the language that sorts first.
+the language. Pieces are normalised by the sample's length: pieces * log2(sample) / letters. A piece of one
+character says nothing about the language and costs in each what it costs in the largest sample, so that a tiny
+sample never wins by its length. The smallest value wins; ties go to the language that sorts first.
 
 What is learned: at most ``SAMPLE_ROWS`` rows a language, those with the smallest hash of their id, of each at
-most ``SAMPLE_CHARS`` characters, and of their letters the ``MAX_LETTERS`` most frequent ones. That is a bound
+most ``SAMPLE_CHARS`` characters (of a longer text, from a hashed place among its letters), and of their letters
+the ``MAX_LETTERS`` most frequent ones. A sample without a letter is no language. That is a bound
 on the model, not on the texts that are judged: these are parsed whole, in blocks of ``BLOCK`` characters that
 are parsed on their own, so that memory is bounded and many blocks advance at once.
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from threadlens.llm.common import arrow_columns, quoted
+from threadlens.llm.common import arrow_columns, let, quoted
 
 SAMPLE_ROWS = 48
 SAMPLE_CHARS = 768
@@ -48,9 +50,15 @@ def fold(id_col: Column) -> Column:
 def samples(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
     """Per language of ``labelled`` (id, text, lang) its sample, at most ``rows`` pieces of ``chars``
     characters. The limit a language holds in each task before rows are shuffled."""
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
-        "lang", F.xxhash64("id").alias("key"), F.substring("text", 1, chars).alias("piece")
-    )
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("key", F.xxhash64("id"))
+
+    def somewhere(only: Column) -> Column:
+        places = F.greatest(F.length(only) - chars + 1, F.lit(1))
+        return F.substring(only, (F.pmod(F.xxhash64("key"), places) + 1).cast("int"), F.lit(chars))
+
+    long = let(F.trim(F.regexp_replace("text", r"\P{L}+", " ")), somewhere)
+    piece = F.when(F.length("text") <= chars, F.col("text")).otherwise(long)
+    known = known.select("lang", "key", piece.alias("piece"))
     first = Window.partitionBy("lang").orderBy("key", "piece")
     chosen = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows)
     out: dict[str, list[str]] = {}
@@ -134,14 +142,22 @@ class Parser:
     def count(self, columns: np.ndarray, alive: list[int]) -> np.ndarray:
         """Pieces of each block. ``columns[t]`` has character t of all blocks, the longest first; ``alive[t]``
         blocks have one."""
+        return self.counts(columns, alive)[0]
+
+    def counts(self, columns: np.ndarray, alive: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of each block, and those of one character among them."""
         n = columns.shape[1]
         state = np.full(n, self.before, self.step.dtype)
-        pieces = np.zeros(n, np.int32)
+        pieces, single, last = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, self.step.dtype)
         for t, some in enumerate(alive):
             now = self.step[state[:some] + self.code[columns[t, :some]]]
-            pieces[:some] += now & 1
+            new = now & 1
+            pieces[:some] += new
+            # a piece that begins right behind the begin of another
+            single[:some] += new & last[:some]
+            last[:some] = new
             np.right_shift(now, 1, out=state[:some])
-        return pieces
+        return pieces, single + last.astype(np.int32)
 
 
 _PARSERS: dict[tuple, dict[str, Parser]] = {}
@@ -186,7 +202,7 @@ def judge(texts: list[np.ndarray | None], model: dict[str, Parser]) -> tuple[lis
     lengths = [0 if t is None else len(t) for t in texts]
     owner = np.repeat(np.arange(len(texts)), [-(-n // BLOCK) for n in lengths])
     blocks = [t[at : at + BLOCK] for t in texts if t is not None for at in range(0, len(t), BLOCK)]
-    pieces = np.zeros((len(langs), len(texts)), np.int64)
+    pieces, single = np.zeros((2, len(langs), len(texts)), np.int64)
     if blocks and langs:
         size = np.fromiter(map(len, blocks), np.int64, len(blocks))
         order = np.argsort(-size, kind="stable")
@@ -195,14 +211,20 @@ def judge(texts: list[np.ndarray | None], model: dict[str, Parser]) -> tuple[lis
             columns[: size[b], place] = blocks[b]
         alive = np.searchsorted(-size[order], -np.arange(1, len(columns) + 1), side="right").tolist()
         for i, lang in enumerate(langs):
-            np.add.at(pieces[i], owner[order], model[lang].count(columns, alive))
+            several, alone = model[lang].counts(columns, alive)
+            np.add.at(pieces[i], owner[order], several)
+            np.add.at(single[i], owner[order], alone)
+    top = max((model[lang].bits for lang in langs), default=0.0)
     found, scores = [], []
     for k, n in enumerate(lengths):
         if not n or not langs:
             found.append(UNKNOWN)
             scores.append(0.0)
             continue
-        cost = sorted((float(pieces[i, k]) * model[lang].bits / n, lang) for i, lang in enumerate(langs))
+        cost = sorted(
+            ((float(pieces[i, k] - single[i, k]) * model[lang].bits + float(single[i, k]) * top) / n, lang)
+            for i, lang in enumerate(langs)
+        )
         found.append(cost[0][1])
         scores.append(1.0 if len(cost) == 1 else 1.0 - cost[0][0] / cost[1][0])
     return found, scores
@@ -216,7 +238,7 @@ def identify(
     names: tuple[str, str] = ("lang_pred", "score"),
 ) -> DataFrame:
     """``keep`` columns of ``docs`` with the predicted language and its score."""
-    model = tuple(sorted((lang, tuple(pieces)) for lang, pieces in samples_of.items()))
+    model = tuple(sorted((lang, tuple(pieces)) for lang, pieces in samples_of.items() if any(map(letters_only, pieces))))
 
     def start():
         known = parsers(model)
