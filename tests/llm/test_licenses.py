@@ -68,3 +68,47 @@ def test_near_texts_and_others(make):
     assert n.scan_licenses(make([])).count() == 0
     twice = n.scan_licenses(make([(1, "Released under the MIT License.", None)] * 2)).collect()
     assert [tuple(r) for r in twice] == [(1, "MIT", 1.0, 0, 0)] * 2
+
+
+def test_every_occurrence_is_found():
+    """One licence several times, and a licence whose best run lies in the text of another."""
+    bsd2, bsd3 = n.TEMPLATES["BSD-2-Clause"][0], n.TEMPLATES["BSD-3-Clause"][0]
+    changed = bsd2.replace("reproduce", "show").replace("SPECIAL", "ODD").replace("STRICT", "ANY")
+    parts = [n.TEMPLATES["MIT"][0], "prose", bsd3, "prose", changed, "prose", n.TEMPLATES["MIT"][0], "Released under the MIT License."]
+    places, at = [], 0
+    for part in parts:
+        places.append((at, at + part.count("\n")))
+        at = places[-1][1] + 1
+    got = [(name, i, j) for name, _, i, j in n.Scanner(n.TEMPLATES).scan("\n".join(parts).encode())]
+    names = ["MIT", None, "BSD-3-Clause", None, "BSD-2-Clause", None, "MIT", "MIT"]
+    assert got == [(name, *place) for name, place in zip(names, places, strict=True) if name]
+
+
+def test_runs_against_all_runs():
+    """All runs of lines against all templates, the best first, none twice."""
+    rnd = random.Random(9)
+    vocabulary = "the of and license software this is".split()
+    templates = {f"T{k}": (" ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([5, 9]))),) for k in range(4)}
+    several = 0
+    for _ in range(60):
+        lines = []
+        for _ in range(5):
+            words = rnd.choice(list(templates.values()))[0].split()
+            words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
+            lines += [" ".join(words[:3]), " ".join(words[3:]), "something else here"]
+        text = "\n".join(lines)
+        runs = []
+        for name, (template,) in templates.items():
+            for i in range(len(lines)):
+                for j in range(i, len(lines)):
+                    value = dice([w for line in n.text_lines("\n".join(lines[i : j + 1]).encode()) for w in line], template.encode().split())
+                    if value >= 0.6:
+                        runs.append((-value, name, i, j))
+        chosen = []
+        for value, name, i, j in sorted(runs):
+            if all(j < a or i > b for _, _, a, b in chosen):
+                chosen.append((name, round(-value, 9), i, j))
+        got = [(a, round(b, 9), c, d) for a, b, c, d in n.Scanner(templates, 0.6).scan(text.encode())]
+        assert got == sorted(chosen, key=lambda x: (x[2], x[0]))
+        several += len({x[0] for x in got}) < len(got)
+    assert several > 10

@@ -7,8 +7,9 @@ bigrams, repeats included: 2 * common / (bigrams of both). At ``THRESHOLD`` t, a
 runs of m * t / (2 - t) to m * (2 - t) / t bigrams that share at least m * t / (2 - t) of them: these
 bounds prune templates and runs before anything is compared.
 
-For each text and template the run with the largest coefficient counts (then the one that begins first, then
-the shortest); of findings that overlap, the larger coefficient stays (then the licence that sorts first).
+All runs that reach the threshold count, of every template and however often a text holds it; of runs that
+overlap, the one with the larger coefficient stays (then the licence that sorts first, then the run that begins
+first, then the shortest).
 
 Templates are a bounded list, sent to all tasks; texts are never shuffled. Defined results: a null text, an
 empty one or one without a match gives no row; rows that repeat a doc_id give their findings each.
@@ -158,25 +159,24 @@ class Scanner:
         if len(hit) < min(self.least):
             return []
         starts = np.concatenate(([0], np.cumsum([len(line) for line in lines])))
-        found: dict[str, tuple[float, int, int]] = {}
+        found: list[tuple[float, str, int, int]] = []
         for k, name in enumerate(self.names):
             mine = hit[self.member[k][at[hit]]]
-            if len(mine) < self.least[k]:
-                continue
-            best = self._best(k, pair, mine, starts)
-            if best and (name not in found or (-best[0], best[1], best[2]) < (-found[name][0], *found[name][1:])):
-                found[name] = best
+            if len(mine) >= self.least[k]:
+                found += [(-dice, name, i, j) for dice, i, j in self._runs(k, pair, mine, starts)]
         chosen: list[tuple[str, float, int, int]] = []
-        for name, (dice, first, last) in sorted(found.items(), key=lambda x: (-x[1][0], x[0])):
-            if all(last < f or first > g for _, _, f, g in chosen):
-                chosen.append((name, dice, first, last))
+        taken = np.zeros(len(lines), np.bool_)
+        for value, name, first, last in sorted(found):
+            if not taken[first : last + 1].any():
+                taken[first : last + 1] = True
+                chosen.append((name, -value, first, last))
         return sorted(chosen, key=lambda x: (x[2], x[0]))
 
-    def _best(self, k: int, pair: np.ndarray, mine: np.ndarray, starts: np.ndarray) -> tuple[float, int, int] | None:
-        """Best run of lines for template ``k``; ``mine`` are the places of its bigrams. A run of lines i..j has
+    def _runs(self, k: int, pair: np.ndarray, mine: np.ndarray, starts: np.ndarray) -> list[tuple[float, int, int]]:
+        """All runs of lines that match template ``k``; ``mine`` are the places of its bigrams. A run of lines i..j has
         the bigrams starts[i] … starts[j + 1] - 2. A run without a bigram of the template in its first and last line is no
         better than the shorter one."""
-        best = None
+        runs = []
         least, most, size, counts = self.least[k], self.most[k], self.sizes[k], self.counts[k]
         last_line = len(starts) - 2
         for i in np.unique(np.searchsorted(starts, mine, side="right") - 1).tolist():
@@ -202,9 +202,9 @@ class Scanner:
                 if n < least:
                     continue
                 dice = 2 * common / (n + size)
-                if dice >= self.threshold and (best is None or dice > best[0]):
-                    best = (dice, i, j)
-        return best
+                if dice >= self.threshold:
+                    runs.append((dice, i, j))
+        return runs
 
 
 FINDINGS = T.ArrayType(
