@@ -81,3 +81,34 @@ def test_long_runs_take_linear_time(make, piece):
 def test_main_path_is_native(make):
     plan = x.scan_secrets(make(texts(random.Random(4), 60)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+FORMS = {
+    "password: Tr0ub4dor&3x": "Tr0ub4dor&3x",
+    "password = S3cr3t!Pass#2024xyz": "S3cr3t!Pass#2024xyz",
+    "token: abcdefghijklmnopqrstuvwx": "abcdefghijklmnopqrstuvwx",
+    'api_key =  "abcDEFgh!jk"': "abcDEFgh!jk",
+    'db_pass = "correct horse battery staple"': "correct horse battery staple",
+    "Secret:   'it is \"quoted\" here'": 'it is "quoted" here',
+    '{"password" : "hunter2hunter2"}': "hunter2hunter2",
+    "auth_token :\tabcdefgh12345678==": "abcdefgh12345678==",
+    "passwd = abcdef0123456789!tail": "abcdef0123456789!tail",
+}
+
+
+def test_forms_of_assignments(make):
+    """Blanks around the sign, quoted values with blanks, values of letters only: found whole, and told as secrets."""
+    rows = [(i, f"some words\n  {t}\nand more words", None) for i, t in enumerate(FORMS)]
+    others = [(100 + i, t, None) for i, t in enumerate(("note: nothing follows", "the password is not here", 'say = "one two three"'))]
+    noise = [(1000 + i, t, None) for i, t, _ in texts(random.Random(6), 120)]
+    got = x.scan_secrets(make(rows + others + noise)).where("doc_id < 1000").collect()
+    assert {(r.doc_id, r.value) for r in got} == set(enumerate(FORMS.values()))
+    assert all(rows[r.doc_id][1][r.start :].startswith(r.value) and r.is_secret for r in got)
+
+
+@pytest.mark.parametrize("piece", ["password: ", 'pass="', "pass='\"", "token =   ", "secret: 'a ", "pass=\"a pass='b "])
+def test_long_runs_of_assignments_take_linear_time(make, piece):
+    df = make([piece * (1_000_000 // len(piece))])
+    began = time.time()
+    x.candidates(df).agg(F.sum("start")).collect()
+    assert time.time() - began < 20

@@ -1,6 +1,7 @@
 """Operator 7: secret scans with a random forest that removes false positives.
 
-Candidates are what patterns find: long unbroken strings with a digit, values behind ``=`` or ``:``, and heads of
+Candidates are what patterns find: long unbroken strings with a digit, values behind ``=`` or ``:``, values that are
+assigned to a credential's name (also behind up to three blanks, quoted ones with blanks within), and heads of
 private keys. Each is described by its length, its character transitions (changes between digits, lower case,
 upper case and symbols; shares of these; distinct characters), its dictionary coverage (share of it that frequent
 words of the corpus cover), its path and its neighbouring words. A random forest trained from labelled
@@ -35,9 +36,22 @@ SAMPLE = 20_000
 DICTIONARY = 200
 TREES, DEPTH, SEED = 24, 6, 7
 
+# Names that credentials are assigned to, and how.
+_NAME = r"(?:pass|passwd|password|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?"
+_NAMED = r"(?<=(?i:" + _NAME + r")\s{0,3}[=:]\s{0,3}"
+
 # What a candidate looks like.
 _CANDIDATES = (
     r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    # assigned to a credential's name; the short look behind comes first, as it fails at nearly all places. A quoted
+    # value ends at its quote, on the same line; one that has no such end is taken by the patterns below
+    r"(?<=[=:]\s{0,3}[\"']?)(?:"
+    + "|".join((
+        _NAMED + r"\")[^\"\r\n]{8,}+(?=\")",
+        _NAMED + r"')[^'\r\n]{8,}+(?=')",
+        _NAMED + r")[^\s\"'=:,;]{8,}+={0,2}",
+    ))
+    + ")",
     # a whole run of at least 16 characters, one of them a digit
     r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}",
     r"(?<=[=:])[^\s\"'=:,;]{8,}+",
@@ -45,8 +59,8 @@ _CANDIDATES = (
 )
 CANDIDATE = "|".join(_CANDIDATES)
 
-# Names that credentials are assigned to, and forms that providers give theirs.
-ASSIGNED = r"(?i)(pass|passwd|password|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?\s{0,3}[=:]\s{0,3}[\"']?$"
+# What stands before an assigned value, and forms that providers give theirs.
+ASSIGNED = r"(?i)" + _NAME + r"\s{0,3}[=:]\s{0,3}[\"']?$"
 PROVIDER = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|sk-[0-9A-Za-z-]{20,}|AIza[0-9A-Za-z_-]{35}|-----BEGIN .*)$"
 
 # Neighbouring words that speak for and against a secret, and paths of samples and generated files.
