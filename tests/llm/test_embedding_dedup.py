@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from threadlens.llm import embedding_dedup as e
 
@@ -100,3 +101,27 @@ def test_other_columns_do_not_matter(spark):
 
     df = frame(spark, [(1, [1.0, 0.0]), (2, [1.0, 0.1])]).withColumns({c: F.lit(c) for c in ("v", "cid", "weight", "label")})
     assert {r.n_links for r in e.embedding_dedup(df).collect()} == {1}
+
+
+def pairs_at(rng, n, dim, cos):
+    x, y = rng.standard_normal((2, n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    return x, cos * x + np.sqrt(1 - cos * cos) * y
+
+
+def missed(vectors, n, dim, seed=11):
+    """Of ``n`` pairs at 0.9001, those that share no band."""
+    rng, bad = np.random.default_rng(seed), 0
+    layout = e.layout(vectors)
+    for at in range(0, n, 10_000):
+        x, y = pairs_at(rng, min(10_000, n - at), dim, 0.9001)
+        a, b = (e.bands(e.encode(rows, *layout)[0], *layout) for rows in (x, y))
+        bad += int((a != b).all(axis=1).sum())
+    return bad
+
+
+@pytest.mark.parametrize(("vectors", "dim"), [(2_000, 64), (51_000, 64), (51_000, 8), (51_000, 2)])
+def test_hardly_a_pair_at_the_threshold_shares_no_band(vectors, dim):
+    assert missed(vectors, 20_000, dim) <= 1

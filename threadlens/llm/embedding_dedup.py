@@ -10,7 +10,9 @@ double precision, and only these results make links.
 Which pairs are looked at: pairs whose codes agree in one of ``tables`` bands of ``bits`` bits. The number of
 bits grows with the logarithm of the number of vectors, so that a band value has about ``CROWD`` vectors by
 chance, and the number of tables follows from it so that a pair exactly at the threshold is looked at with
-probability ``RECALL`` or more (closer pairs nearly always). There is no cap: a band value with more than
+probability ``RECALL`` or more (closer pairs nearly always). The bits of one rotation depend on each other, so a
+band takes its bits ``tables`` columns apart, from different rotations where there are as many bands as dimensions.
+There is no cap: a band value with more than
 ``BLOCK`` vectors is cut into blocks, and each two blocks of it meet in a task of their own.
 
 Equal vectors are one class with a weight. A pair that shares several bands counts in the first only. A block
@@ -37,7 +39,7 @@ from threadlens.llm.common import components, quoted
 from threadlens.session import stage
 
 THRESHOLD = 0.9
-RECALL = 0.998
+RECALL = 1 - 1e-6
 SIGMAS = 4.5
 CROWD = 64
 BLOCK = 1024
@@ -77,8 +79,8 @@ def encode(rows: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.nda
 
 def bands(codes: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """(rows, tables) band values of packed codes."""
-    flags = np.unpackbits(codes, axis=1)[:, : bits * tables].reshape(len(codes), tables, bits)
-    return flags.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+    flags = np.unpackbits(codes, axis=1)[:, : bits * tables].reshape(len(codes), bits, tables)
+    return flags.astype(np.int64).transpose(0, 2, 1) @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def _vectors(batch: pa.Array, kind: str) -> list[bytes | None]:
