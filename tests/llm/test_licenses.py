@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -112,3 +113,33 @@ def test_runs_against_all_runs():
         assert got == sorted(chosen, key=lambda x: (x[2], x[0]))
         several += len({x[0] for x in got}) < len(got)
     assert several > 10
+
+
+def test_only_the_holder_goes():
+    """What stands in the line behind the holder's clause counts, and so do lines that only begin with the word."""
+    scan = n.Scanner(n.TEMPLATES).scan
+    flat = n.TEMPLATES["MIT"][0].replace("\n", " ")
+    for text, dice in (
+        ("Copyright (c) 2024 X. Released under the MIT License.", 1.0),
+        ("Copyright 2019-2024 X Inc. All rights reserved. Released under the MIT License.", 1.0),
+        (f"Copyright (c) 2024 Some One. {flat}", 1.0),
+        (f"Copyright (c) 2024 Some One {flat}", 0.97),
+    ):
+        assert [(name, value >= dice - 1e-9) for name, value, _, _ in scan(text.encode())] == [("MIT", True)]
+    kept = "copyright holders be liable for any claim".encode()
+    assert n.line_words(kept.upper()) == kept.split()
+    for line in (b"Copyright (c) 2020 Some One", b"(c) Copyright 2020 A. B. Some", b"COPYRIGHT Some One", "Copyright © Zoë".encode()):
+        assert b"copyright" not in n.line_words(line)
+
+
+def test_relatives_are_told_apart():
+    scan = n.Scanner(n.TEMPLATES).scan
+    for name in ("AGPL-3.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0", "Zlib", "BSL-1.0", "EPL-2.0"):
+        for text in n.TEMPLATES[name]:
+            assert [f[0] for f in scan(text.encode())] == [name]
+
+
+def test_a_long_line_of_a_holder_takes_linear_time():
+    began = time.time()
+    n.Scanner(n.TEMPLATES).scan(b"copyright " + b"a.b " * 500_000)
+    assert time.time() - began < 10

@@ -2,7 +2,7 @@
 
 A text is scanned line by line: any run of whole lines may be a licence text or notice. Runs and templates
 are normalised alike (A-Z lower-cased, words of digits, letters and characters beyond ASCII, "licence" as
-"license", lines that name a copyright holder left out) and compared by the Dice coefficient of their word
+"license", clauses that name a copyright holder left out) and compared by the Dice coefficient of their word
 bigrams, repeats included: 2 * common / (bigrams of both). At ``THRESHOLD`` t, a template of m bigrams can only match
 runs of m * t / (2 - t) to m * (2 - t) / t bigrams that share at least m * t / (2 - t) of them: these
 bounds prune templates and runs before anything is compared.
@@ -18,6 +18,7 @@ empty one or one without a match gives no row; rows that repeat a doc_id give th
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -82,19 +83,39 @@ _UNLICENSE = """This is free and unencumbered software released into the public
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or
 as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
 
+_AGPL, _LGPL = (_GPL.replace("GNU General", f"GNU {kind} General") for kind in ("Affero", "Lesser"))
+_CC0 = """To the extent possible under law, the author has waived all copyright and related or neighboring rights to this
+work."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it
+and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If
+you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not
+required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+
 TEMPLATES: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": (_AGPL.format(3), "This work is licensed under the GNU Affero General Public License, version 3."),
     "Apache-2.0": (_APACHE, "Licensed under the Apache License, Version 2.0."),
     "BSD-2-Clause": (f"{_BSD_TOP}\n{_BSD_END}", "Released under the BSD 2-Clause License."),
     "BSD-3-Clause": (f"{_BSD_TOP}\n{_BSD_THIRD}\n{_BSD_END}", "Released under the BSD 3-Clause License."),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC0-1.0": (_CC0,),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",),
     "GPL-2.0": (_GPL.format(2), "This work is licensed under the GNU General Public License, version 2."),
     "GPL-3.0": (_GPL.format(3), "This work is licensed under the GNU General Public License, version 3."),
     "ISC": (_ISC, "Released under the ISC License."),
+    "LGPL-2.1": (_LGPL.format("2.1").replace("program", "library"), "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    "LGPL-3.0": (_LGPL.format(3), _LGPL.format(3).replace("program", "library"), "This work is licensed under the GNU Lesser General Public License, version 3."),
     "MIT": (_MIT, "Released under the MIT License."),
     "MPL-2.0": (_MPL, "Licensed under the Mozilla Public License, version 2.0."),
     "Unlicense": (_UNLICENSE, "Released into the public domain under the Unlicense."),
+    "Zlib": (_ZLIB, "Released under the zlib License."),
 }
 
 # Every byte outside a word becomes a blank; A-Z become a-z.
@@ -103,10 +124,25 @@ _WORD_BYTES = bytes(
 )
 
 
+# A clause that names a copyright holder goes up to the end of its sentence or line, and has so many words at most.
+_HOLDER = re.compile(rb"[^A-Za-z0-9\x80-\xff]*(?:\(c\)\s*)?copyright\b(?:[^.!?]|[.!?](?!\s))*+[.!?]*(?:\s+all rights reserved\b\.?)?", re.IGNORECASE)
+_DATED = re.compile(rb"\(c\)|\xc2\xa9|\b(?:19|20)[0-9]{2}\b", re.IGNORECASE)
+_HOLDER_WORDS, _UNDATED_WORDS = 16, 6
+# what follows "copyright" where no holder is named
+_OTHERS = (b"holder", b"holders", b"owner", b"owners", b"notice", b"notices", b"law", b"laws", b"and", b"or", b"license", b"licence")
+
+
 def line_words(line: bytes) -> list[bytes]:
     words = line.translate(_WORD_BYTES).split()
     if words[:1] == [b"copyright"] or words[:2] == [b"c", b"copyright"]:
-        return []
+        clause = _HOLDER.match(line)
+        if clause is None:
+            return words
+        named = clause.group().translate(_WORD_BYTES).split()
+        dated = _DATED.search(clause.group()) is not None
+        short = len(named) <= _UNDATED_WORDS and not (len(words) > 1 and words[1] in _OTHERS)
+        if len(named) <= _HOLDER_WORDS and (dated or short):
+            return words[len(named) :]
     return words
 
 
