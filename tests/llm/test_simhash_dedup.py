@@ -110,3 +110,10 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90, 200: 200, 300: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_row_goes_only_if_another_of_its_component_stays(make):
+    one, other = (" ".join(f"{w}{i}" for i in range(50)) for w in ("word", "thing"))
+    rows = [(2, one, None), (2, other, None), (9, one, None), (None, "no id at all", None), (None, "no id at all", None), (None, other, None), (7, None, None)]
+    left = sorted((r.doc_id or -1, r.text or "") for r in s.keep_one(make(rows, strange=True)).collect())
+    assert left == [(-1, "no id at all"), (2, other), (2, one), (7, "")]

@@ -123,12 +123,19 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id. Rows that repeat its
-    doc_id go too; rows without doc_id stay."""
-    (node,) = fresh(docs, "kept_id")
-    heads = simhash_classes(docs, id_col, text_col).where(F.col("id") == F.col("component_id")).select(F.col("id").alias(node))
-    kept = docs.join(heads.distinct(), quoted(id_col) == F.col(node)).drop(node).dropDuplicates([id_col])
-    return kept.unionByName(docs.where(quoted(id_col).isNull()))
+    """``docs`` with one row of each component: the one with the smallest doc_id (rows without doc_id last),
+    then the smallest hash of its text. A row goes only if another row of its component stays."""
+    th, node, mark = fresh(docs, "th", "kept_id", "kept_th")
+    hashed = docs.withColumn(th, F.xxhash64(quoted(text_col)))
+    key = F.struct(quoted(id_col).alias("id"), F.col(th).alias("th"))
+    marks = stage(fingerprints(hashed.select(key.alias("key"), quoted(text_col).alias("text")), "key", "text"), "row-fingerprints")
+    place = F.struct(F.col("id.id").isNull().alias("last"), F.col("id.id").alias("id"), F.col("id.th").alias("th"))
+    classes = stage(marks.groupBy("fp").agg(F.min(place).alias("least")), "row-classes")
+    grouped = classes.join(components(links(classes)).withColumnRenamed("node", "fp"), "fp", "left")
+    heads = grouped.groupBy(F.coalesce("component", "fp").alias("root")).agg(F.min("least").alias("head"))
+    heads = heads.select(F.col("head.id").alias(node), F.col("head.th").alias(mark))
+    kept = hashed.join(heads, quoted(id_col).eqNullSafe(F.col(node)) & (F.col(th) == F.col(mark)))
+    return kept.dropDuplicates([id_col, th]).select(*[quoted(c) for c in docs.columns])
 
 
 def hex16(fp: str = "fp") -> Column:
