@@ -16,6 +16,7 @@ from threadlens.llm import (
     licenses,
     line_dedup,
     packing,
+    periodic,
     secret_scan,
     simhash_dedup,
     warc,
@@ -72,6 +73,10 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages")).drop("url")
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(periodic.planted(table(spark, folder, "documents")), ["doc_id"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_formatting,
         op9_language_id,
         op10_warc,
+        op12_periodic_runs,
     )
 } | {"pipeline": corpus_pipeline.run}
 
