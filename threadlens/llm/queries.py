@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from threadlens.llm import (
+    alignment,
     chat,
     decontaminate,
     embedding_dedup,
@@ -73,6 +74,10 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages")).drop("url")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_documents(table(spark, folder, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.digest(periodic.periodic_runs(periodic.planted(table(spark, folder, "documents")), ["doc_id"]))
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_formatting,
         op9_language_id,
         op10_warc,
+        op11_tokenizer_alignment,
         op12_periodic_runs,
     )
 } | {"pipeline": corpus_pipeline.run}
