@@ -31,7 +31,7 @@ def test_sql_twin(spark, folder, name):
 
 
 def test_one_query_an_operator():
-    assert [f"op{n}" for n in range(1, 11)] == sorted(
+    assert [f"op{n}" for n in range(1, 14)] == sorted(
         (q.split("_")[0] for q in QUERIES if q != "pipeline"), key=lambda q: int(q[2:])
     )
     assert "pipeline" in QUERIES

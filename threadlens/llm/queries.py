@@ -18,6 +18,7 @@ from threadlens.llm import (
     line_dedup,
     packing,
     periodic,
+    quality,
     secret_scan,
     simhash_dedup,
     warc,
@@ -82,6 +83,10 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.digest(periodic.periodic_runs(periodic.planted(table(spark, folder, "documents")), ["doc_id"]))
 
 
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_warc,
         op11_tokenizer_alignment,
         op12_periodic_runs,
+        op13_quality_rules,
     )
 } | {"pipeline": corpus_pipeline.run}
 
