@@ -243,3 +243,12 @@ def test_staged_tables_are_released(spark):
     assert path.removeprefix("file:").startswith(held)
     table = session.stage(spark.range(3), "released")
     assert table.count() == 3
+
+
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_rows_that_repeat_a_uid_are_ranked_by_their_own_value(spark, monkeypatch, limit):
+    monkeypatch.setattr(skew, "HOT_ROWS", limit)
+    rows = spark.createDataFrame([("a", "t", "u1", 5), ("a", "t", "u1", 3), ("a", "t", "u2", 4)], "site string, thread_id string, uid string, v int")
+    ranked = add_ranks(rows, [RankSpec("v", "high"), RankSpec("v", "low", False)])
+    assert sorted((r.uid, r.v, r.high, r.low) for r in ranked.collect()) == [("u1", 3, 3, 1), ("u1", 5, 1, 3), ("u2", 4, 2, 2)]
+    assert ranked.columns == ["site", "thread_id", "uid", "v", "high", "low"]

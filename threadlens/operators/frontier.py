@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.urls import links, resolve_url
+from threadlens.schema import SIGHTING
+from threadlens.sources.keyed import KeyedStore
 
 # Fixed value: the category word that pages are kept for.
 CATEGORY_WORDS = ("Design",)
@@ -60,6 +62,17 @@ def page_links(pages: DataFrame) -> DataFrame:
     return found.withColumn("target", resolve_url(F.col("url"), F.col("href")))
 
 
+def frontier_store(path: str, buckets: int = 64) -> KeyedStore:
+    """A frontier that is kept: one row a URL."""
+    return KeyedStore(path, SIGHTING, ("url",), buckets)
+
+
+def merge_frontier(store: KeyedStore, sightings: DataFrame) -> int:
+    """Merge new ``sightings`` (url, date, seq, origin) into a stored frontier: of each URL the last sighting stays, whichever
+    session brings it. Gives the number of buckets that changed."""
+    return store.upsert(sightings, order="seq", newest="seq")
+
+
 def union_sightings(*sightings: DataFrame) -> DataFrame:
     """Sightings of several origins as one (seq, url, date, origin) table; a missing date is 'not available'."""
     shaped = [

@@ -93,13 +93,15 @@ def add_ranks(
     uid: str = "uid",
     hot: HotKeys | None = None,
 ) -> DataFrame:
-    """``uid`` is unique within a group (used for large groups only)."""
+    """Every row is ranked, whether its ``uid`` repeats or not: large groups get row numbers of their own when they are
+    written, and ranks are joined back by these. ``uid`` is kept for callers that name it."""
     hot = heavy_keys(df, by) if hot is None else hot
-    return hot.split(
-        df,
-        lambda rows: _windowed(rows, specs, by),
-        lambda rows: _distributed(stage(rows, "large-groups"), specs, by, uid),
-    )
+
+    def distributed(rows: DataFrame) -> DataFrame:
+        numbered = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "large-groups")
+        return _distributed(numbered, specs, by, "_row").drop("_row")
+
+    return hot.split(df, lambda rows: _windowed(rows, specs, by), distributed)
 
 
 def add_rank(df: DataFrame, key: str, descending: bool = True, out: str | None = None, **kwargs) -> DataFrame:

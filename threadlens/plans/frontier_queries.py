@@ -11,6 +11,7 @@ from threadlens.operators import frontier as fr
 from threadlens.operators.closure import chain, closure
 from threadlens.plans.bridges import Tables
 from threadlens.plans.registry import query
+from threadlens.session import fresh_path
 
 
 @query("q_fr_dedup_last", "select url, arg_max(date, seq) date, arg_max(origin, seq) origin from frontier group by url", "frontier")
@@ -18,6 +19,17 @@ def dedup_last(t: Tables) -> DataFrame:
     return fr.dedup_last(t.frontier(), "url", "seq").drop("seq")
 
 
+@query("q_fr_merge_frontier", "select url, arg_max(date, seq) date, max(seq) seq, arg_max(origin, seq) origin from frontier group by url", "frontier")
+def merge_frontier(t: Tables) -> DataFrame:
+    """Three sessions into a kept frontier, the newest before an older one; the last of them again changes nothing."""
+    store, session = fr.frontier_store(fresh_path(t.spark, "kept-frontier"), buckets=16), F.col("seq") % 3
+    for i in (0, 2, 1):
+        fr.merge_frontier(store, t.frontier().filter(session == i))
+    if fr.merge_frontier(store, t.frontier()):
+        raise AssertionError("sightings that change nothing were written")
+    return store.read(t.spark)
+
+
 LINKS_SQL = """links as (select page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) href from pages)"""
 
 

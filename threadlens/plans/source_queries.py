@@ -23,6 +23,7 @@ from threadlens.sources.posts import (
     write_topics,
 )
 from threadlens.sources.records import read_jsonl, read_record_dump, write_fields, write_jsonl, write_record_dump
+from threadlens.streaming.ledger import post_store
 from threadlens.sources.tables import materialize, read_features, read_freq, write_features, write_freq
 
 
@@ -176,6 +177,22 @@ def sink_posts(t: Tables) -> DataFrame:
     return flat(read_store(t.spark, path))
 
 
+UPSERT_SQL = f"""select * replace (case when thread_id::int % 3 = 1 then upvotes + 1 else upvotes end as upvotes)
+from ({FLAT_SQL.format(site='')})"""
+
+
+@query("q_sink_posts_upsert", UPSERT_SQL, "posts")
+def sink_posts_upsert(t: Tables) -> DataFrame:
+    """A harvest run several times: half the threads, then all with changed votes, twice; an untouched thread stays."""
+    store, thread = post_store(fresh_path(t.spark, "keyed-posts"), buckets=16), F.col("thread_id").cast("long")
+    store.upsert(t.store.filter(thread % 3 != 2))
+    changed = t.store.withColumn("upvotes", F.when(thread % 3 == 1, F.col("upvotes") + 1).otherwise(F.col("upvotes")))
+    store.upsert(changed.filter(thread % 3 != 0))
+    if store.upsert(changed):
+        raise AssertionError("a batch that changes nothing was written")
+    return flat(store.read(t.spark))
+
+
 FREQ_SQL = "select stem, cast(sum(n) as bigint) n from stems group by stem"
 
 

@@ -13,6 +13,7 @@ from threadlens.plans.source_queries import FLAT_SQL, flat
 from threadlens.session import fresh_path
 from threadlens.sources.posts import read_store
 from threadlens.streaming.ingest import dedup_posts, ingest, run_counts, stream_posts
+from threadlens.streaming.ledger import ingest_keyed, ledger_counts, post_store
 
 POSTS_SQL = FLAT_SQL.format(site="")
 
@@ -62,3 +63,25 @@ def st_counts(t: Tables) -> DataFrame:
     name = f"counts_{uuid.uuid4().hex}"
     run_counts(stream_posts(t.spark, source, files_per_trigger=8), name, state).awaitTermination()
     return t.spark.table(name)
+
+
+def harvested(t: Tables) -> tuple:
+    """A store and its ledger after two runs of a stream: the second brings the first batch again, and new posts."""
+    source, state, ledger = (fresh_path(t.spark, n) for n in ("batches", "state", "ledger"))
+    store = post_store(fresh_path(t.spark, "keyed-posts"), buckets=16)
+    for which in ((0, 1), (0, 2)):
+        write_batches(t, source, which)
+        ingest_keyed(stream_posts(t.spark, source), store, ledger, state).awaitTermination()
+    return store, ledger
+
+
+@query("q_st_dedup_store", POSTS_SQL, "posts")
+def st_dedup_store(t: Tables) -> DataFrame:
+    """Repeats are told from the store, whatever lies between."""
+    return flat(harvested(t)[0].read(t.spark))
+
+
+@query("q_st_ledger_counts", "select type, cast(count(*) as bigint) posts from posts group by type", "posts")
+def st_ledger_counts(t: Tables) -> DataFrame:
+    """Counts of the ingest itself, of all its runs."""
+    return ledger_counts(t.spark, harvested(t)[1])

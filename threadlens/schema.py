@@ -28,6 +28,16 @@ POST = T.StructType(
 
 FRONTIER = T.StructType([T.StructField("url", T.StringType()), T.StructField("date", T.StringType())])
 
+# A sighting of a URL, numbered in the order of sightings.
+SIGHTING = T.StructType(
+    [
+        T.StructField("url", T.StringType()),
+        T.StructField("date", T.StringType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("origin", T.StringType()),
+    ]
+)
+
 # A thread is named by these two columns everywhere.
 THREAD = ("site", "thread_id")
 POST_KEY = ("site", "thread_id", "uid")
