@@ -2,9 +2,13 @@
 
 import hashlib
 from collections import Counter
+from functools import lru_cache
 
 import pytest
 from conftest import SMALL
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from threadlens.llm import alignment, queries
 
@@ -20,11 +24,19 @@ def encoder():
     return alignment.encoder(alignment.tokenizer_path(alignment.A_FILE), alignment.tokenizer_path(alignment.B_FILE))
 
 
+@lru_cache
+def reference():
+    """The JSON file as its own library runs it."""
+    tokenizer = Tokenizer.from_file(alignment.tokenizer_path(alignment.A_FILE))
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
 def plain_tokens(encoder, text):
     if not text:
         return [], []
     whole = (" " + text).encode()
-    a = encoder.a.encode(" " + text, add_special_tokens=False).ids
+    a = reference().encode(" " + text, add_special_tokens=False).ids
     b = encoder.b.encode(text)
     same = b"".join(encoder.a_bytes[i] for i in a) == whole and b"".join(encoder.b_bytes[i] for i in b) == whole
     return (a, b) if same else ([], [])
@@ -75,7 +87,7 @@ def test_query_against_all_pairs(spark, encoder):
 
 
 def test_odd_texts(spark, make, encoder):
-    texts = [*ODD, "don't we'll I'M"]
+    texts = [*ODD, "don't we'll I'M"]  # the last text twice
     got = sorted(result(alignment.align_documents(make(texts, strange=True))))
     assert got == [(i, *e) for i, e in enumerate(plain(encoder, texts))]
     by_text = dict(zip(texts, got))
@@ -93,6 +105,13 @@ def test_pieces_of_a_long_text_give_the_same_ids(encoder, monkeypatch):
     assert list(encoder.encode([text, "a b", text])) == [whole, plain_tokens(encoder, "a b"), whole]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(max_size=80) | st.text("abcdenrst' ing.,\n1", max_size=120))
+def test_ids_of_the_two_engines(text):
+    known = alignment.encoder(alignment.tokenizer_path(alignment.A_FILE), alignment.tokenizer_path(alignment.B_FILE))
+    assert known.a.encode_ordinary(" " + text) == reference().encode(" " + text, add_special_tokens=False).ids
+
+
 def test_groups_cover_the_same_bytes(make, encoder):
     rows = alignment.align(make([t for t in ODD if t], strange=True), ["doc_id", "text", "id"]).collect()
     for r in rows:
@@ -105,7 +124,7 @@ def test_groups_cover_the_same_bytes(make, encoder):
 
 def test_pair_table_is_bounded_by_the_vocabularies(spark, encoder):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    counts = alignment.pair_counts(alignment.align(docs, ["doc_id"]))
+    counts = alignment.pair_counts(alignment.align(docs, ["doc_id"]).select(alignment.links().alias("links")))
     rows = counts.collect()
     assert len(rows) <= encoder.most_pairs < 800_000
     for r in rows:
@@ -118,5 +137,5 @@ def test_empty_table_and_clashing_names(make):
     from pyspark.sql import functions as F
 
     named = alignment.align(make(["a b"]).withColumn("a_ids", F.lit("mine")))
-    assert named.columns[-4:] == ["_a_ids", "b_ids", "a_cuts", "b_cuts"]
+    assert named.columns[-5:] == ["_a_ids", "b_ids", "a_cuts", "b_cuts", "groups_sha256"]
     assert named.first()["a_ids"] == "mine"

@@ -8,9 +8,9 @@ each group one token of A and one of B end together, at the group's end: that is
 Counts of linked id pairs are taken over all texts. Two tokens that end together spell the same last bytes, so the shorter is a
 suffix of the longer: a token has at most as many partners shorter than itself as it has bytes. The table of counts so
 holds at most as many pairs as both vocabularies have bytes (``Encoder.most_pairs``, about half a million here), however large
-the corpus, and is sent to all tasks.
+the corpus, and is broadcast.
 
-Texts are encoded once; ids and cuts are written, the second pass reads these. Long texts are encoded
+Texts are encoded once; the links are written, the second pass reads these. Long texts are encoded
 in pieces that begin at a blank between two letters or digits of ASCII, where neither tokenizer joins anything: no token of
 either has a letter or digit before a blank (checked against the vocabulary files; if one had, long texts would stay whole).
 
@@ -24,15 +24,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -45,6 +44,8 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PIECE_CHARS = 200_000
 SAFE_CUT = re.compile(r"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
 BLANK = "▁"
+# Fixed value: how a byte-level BPE of this kind cuts a text into words before it merges.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 IDS = T.ArrayType(T.IntegerType(), False)
 
 
@@ -66,34 +67,40 @@ def piece_bytes(piece: str, is_byte: bool) -> bytes:
 
 
 class Encoder:
-    """Both tokenizers, with the bytes of all their tokens."""
+    """Both tokenizers, with the bytes of all their tokens.
+
+    A's vocabulary and merges are those of the JSON file. As its ids are in the order of its merges (checked), they serve as ranks, and
+    ``tiktoken`` runs them: the same ids in a third of the time and without a record a token."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
+        from tiktoken import Encoding
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.b = SentencePieceProcessor(model_file=b_path)
         with open(a_path, encoding="utf-8") as file:
-            special = {t["id"] for t in json.load(file).get("added_tokens", [])}
+            stored = json.load(file)
         byte = byte_of_char()
-        self.a_bytes = [
-            token.encode() if i in special else bytes(byte[c] for c in token)
-            for i, token in ((i, self.a.id_to_token(i)) for i in range(self.a.get_vocab_size()))
-        ]
+        ids = stored["model"]["vocab"]
+        special = {t["content"]: t["id"] for t in stored["added_tokens"]}
+        ranks = {bytes(byte[c] for c in token): i for token, i in ids.items() if token not in special}
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in stored["model"]["merges"]]
+        if [ids[m] for m in merges] != list(range(256, 256 + len(merges))) or not stored["pre_tokenizer"]["use_regex"]:
+            raise ValueError(f"not a byte-level vocabulary in the order of its merges: {a_path}")
+        self.a = Encoding("a", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        self.b = SentencePieceProcessor(model_file=b_path)
+        self.a_bytes = [b""] * (max([*ids.values(), *special.values()]) + 1)
+        for token, i in [*((t.encode(), i) for t, i in special.items()), *ranks.items()]:
+            self.a_bytes[i] = token
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [piece_bytes(p, self.b.is_byte(i)) for i, p in enumerate(pieces)]
-        self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
-        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.shown = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         # a cut between a letter or digit and a blank is safe only if no token holds both in this order
         self.cuttable = not any(re.search(rb"[0-9A-Za-z] ", x) for x in (*self.a_bytes, *self.b_bytes))
 
     @property
     def most_pairs(self) -> int:
         """Most pairs of tokens that can end together."""
-        return int(self.a_size.sum() + self.b_size.sum())
+        return sum(self.a_size) + sum(self.b_size)
 
     def pieces(self, text: str) -> Iterator[str]:
         """``text`` in pieces; between two of them one blank is left out."""
@@ -110,12 +117,13 @@ class Encoder:
         """Ids of A and B of each text, in order; nothing where one of them does not spell the text."""
         parts = [list(self.pieces(t)) for t in texts]
         flat = [p for some in parts for p in some]
-        encoded = self.a.encode_batch_fast([f" {p}" for p in flat], add_special_tokens=False)
-        a_ids = iter([e.ids for e in encoded])
+        a_ids = map(self.a.encode_ordinary, [f" {p}" for p in flat])
         b_ids = iter(self.b.encode(flat, num_threads=1))
         for text, some in zip(texts, parts, strict=True):
-            a = [i for _ in some for i in next(a_ids)]
-            b = [i for _ in some for i in next(b_ids)]
+            a, b = next(a_ids), next(b_ids)
+            for _ in some[1:]:
+                a += next(a_ids)
+                b += next(b_ids)
             whole = f" {text}".encode()
             if text and self.spelt(self.a_bytes, a) == whole and self.spelt(self.b_bytes, b) == whole:
                 yield a, b
@@ -128,10 +136,18 @@ class Encoder:
 
     def cuts(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
         """Where the groups end in both lists: after so many tokens of A, and of B."""
-        a_index = dict(zip(np.cumsum(self.a_size[a]).tolist(), range(1, len(a) + 1), strict=True)) if a else {}
-        b_index = dict(zip(np.cumsum(self.b_size[b]).tolist(), range(1, len(b) + 1), strict=True)) if b else {}
+        a_index = dict(zip(accumulate(map(self.a_size.__getitem__, a)), count(1)))
+        b_index = dict(zip(accumulate(map(self.b_size.__getitem__, b)), count(1)))
         common = sorted(a_index.keys() & b_index.keys())
-        return [a_index[end] for end in common], [b_index[end] for end in common]
+        return list(map(a_index.__getitem__, common)), list(map(b_index.__getitem__, common))
+
+    def groups_text(self, a: list[int], b: list[int], a_cuts: list[int], b_cuts: list[int]) -> str:
+        """``a1,a2|b1;a3|b2,b3``: the groups in order."""
+        x, y = list(map(self.shown.__getitem__, a)), list(map(self.shown.__getitem__, b))
+        return ";".join(
+            f"{','.join(x[i:j])}|{','.join(y[k:n])}"
+            for i, j, k, n in zip([0, *a_cuts], a_cuts, [0, *b_cuts], b_cuts)
+        )
 
 
 @lru_cache(maxsize=2)
@@ -146,23 +162,27 @@ def align(
     a_path: str | None = None,
     b_path: str | None = None,
 ) -> DataFrame:
-    """``keep`` columns of ``docs`` (all, unless named) and, behind them, ``a_ids``, ``b_ids`` and where their groups end,
-    ``a_cuts`` and ``b_cuts`` (tokens so far); under other names where ``docs`` has these. Each text is encoded with a blank before it."""
+    """``keep`` columns of ``docs`` (all, unless named) and, behind them, ``a_ids``, ``b_ids``, where their groups end, ``a_cuts`` and
+    ``b_cuts`` (tokens so far), and ``groups_sha256``, the hash of the groups in order as text (empty without tokens); under other
+    names where ``docs`` has these. Each text is encoded with a blank before it."""
     keep = docs.columns if keep is None else keep
     a_path, b_path = a_path or tokenizer_path(A_FILE), b_path or tokenizer_path(B_FILE)
-    names = fresh(docs.select(*[quoted(c) for c in keep]), "a_ids", "b_ids", "a_cuts", "b_cuts")
+    names = fresh(docs.select(*[quoted(c) for c in keep]), "a_ids", "b_ids", "a_cuts", "b_cuts", "groups_sha256")
 
     def start():
         known = encoder(a_path, b_path)
 
         def work(texts: pa.Array):
-            out: list[list[list[int]]] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             some, held = [], 0
 
             def flush():
                 for a, b in known.encode(some):
-                    for column, value in zip(out, (a, b, *known.cuts(a, b)), strict=True):
+                    a_cuts, b_cuts = known.cuts(a, b)
+                    shown = hashlib.sha256(known.groups_text(a, b, a_cuts, b_cuts).encode()).hexdigest() if a else ""
+                    for column, value in zip(out, (a, b, a_cuts, b_cuts), strict=False):
                         column.append(np.array(value, np.int32))
+                    out[4].append(shown)
 
             for value in texts:
                 some.append(value.as_py() or "")
@@ -171,75 +191,53 @@ def align(
                     flush()
                     some, held = [], 0
             flush()
-            return [pa.array(column, pa.list_(pa.int32())) for column in out]
+            return [*(pa.array(column, pa.list_(pa.int32())) for column in out[:4]), pa.array(out[4], pa.string())]
 
         return work
 
-    results = T.StructType([T.StructField(n, IDS) for n in names])
+    results = T.StructType([*(T.StructField(n, IDS) for n in names[:4]), T.StructField(names[4], T.StringType())])
     return arrow_columns(docs, keep, [quoted(text_col)], results, start)
 
 
-def links(aligned: DataFrame) -> DataFrame:
-    """(a, b): every link of every text, the tokens that end each group."""
-    ends = F.arrays_zip(
-        F.transform("a_cuts", lambda i: F.element_at("a_ids", i)).alias("a"),
-        F.transform("b_cuts", lambda i: F.element_at("b_ids", i)).alias("b"),
+def links() -> Column:
+    """Array of the links of a row of ``align``: the tokens (a, b) that end each group."""
+    return F.transform(
+        F.arrays_zip("a_cuts", "b_cuts"),
+        lambda g: F.struct(F.element_at("a_ids", g["a_cuts"]).alias("a"), F.element_at("b_ids", g["b_cuts"]).alias("b")),
     )
-    return aligned.select(F.inline(ends).alias("a", "b"))
 
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
-    """(a, b, n, best): how many links hold the pair, and whether no partner of b has more. One row per
+def pair_counts(linked: DataFrame) -> DataFrame:
+    """(a, b, n, best) of a column ``links``: how many links hold the pair, and whether no partner of b has more. One row per
     pair: bounded by the vocabularies, counted before the shuffle."""
-    counted = links(aligned).groupBy("a", "b").agg(F.count("*").alias("n"))
+    counted = linked.select(F.inline("links").alias("a", "b")).groupBy("a", "b").agg(F.count("*").alias("n"))
     return counted.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("b")))
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the groups in order."""
-    a, b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    a_ends, b_ends = [0, *a_cuts.tolist()], [0, *b_cuts.tolist()]
-    return ";".join(
-        f"{','.join(a[i:j])}|{','.join(b[k:n])}" for (i, j), (k, n) in zip(pairwise(a_ends), pairwise(b_ends), strict=True)
+def digest(aligned: DataFrame, counts: DataFrame) -> DataFrame:
+    """Per row of ``aligned`` (doc_id, n_a, n_b, n_groups, links, groups_sha256) how its links stand in the corpus. ``counts``
+    is bounded by the vocabularies, so it is broadcast; links are added up in their task, one row a document leaves it."""
+    row = ["row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256"]
+    numbered = aligned.withColumn("row", F.monotonically_increasing_id())
+    long = numbered.select(*row, F.inline_outer("links").alias("a", "b"))
+    known = F.broadcast(counts.select(F.col("a").alias("pa"), F.col("b").alias("pb"), "n", "best"))
+    found = long.join(known, (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left")
+    added = found.groupBy(*row).agg(
+        F.count("a").alias("n_links"), F.count_if("best").alias("n_best"), F.coalesce(F.sum("n"), F.lit(0)).alias("count_sum")
     )
-
-
-DIGEST = T.StructType(
-    [T.StructField(n, T.LongType()) for n in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
-    + [T.StructField("groups_sha256", T.StringType())]
-)
-
-
-def digest(aligned: DataFrame, counts: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``aligned`` with the numbers of each text and the hash of its groups."""
-    table = counts.select("a", "b", "n", "best").toPandas()
-    key = table["a"].to_numpy(np.int64) << 32 | table["b"].to_numpy(np.int64)
-    order = np.argsort(key)
-    known = aligned.sparkSession.sparkContext.broadcast(
-        (key[order], table["n"].to_numpy(np.int64)[order], table["best"].to_numpy(np.bool_)[order])
-    )
-
-    def start():
-        def work(*columns: pa.Array):
-            keys, counted, best = known.value
-            out: list[list] = [[] for _ in DIGEST.fields]
-            for row in zip(*columns, strict=True):
-                a, b, a_cuts, b_cuts = (x.values.to_numpy() for x in row)
-                at = np.searchsorted(keys, a[a_cuts - 1].astype(np.int64) << 32 | b[b_cuts - 1]) if len(a) else []
-                shown = hashlib.sha256(groups_text(a, b, a_cuts, b_cuts).encode()).hexdigest() if len(a) else ""
-                values = (len(a), len(b), len(a_cuts), len(a_cuts), int(best[at].sum()) if len(a) else 0,
-                          int(counted[at].sum()) if len(a) else 0, shown)
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-            return out
-
-        return work
-
-    inputs = [quoted(c) for c in ("a_ids", "b_ids", "a_cuts", "b_cuts")]
-    return arrow_columns(aligned, keep, inputs, DIGEST, start)
+    return added.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 def align_documents(docs: DataFrame) -> DataFrame:
     """The query: per document its numbers of tokens, groups and links, and how its links stand in the corpus."""
-    aligned = stage(align(docs.select("doc_id", "text"), ["doc_id"]), "aligned")
-    return digest(aligned, pair_counts(aligned), ["doc_id"])
+    aligned = align(docs.select("doc_id", "text"), ["doc_id"])
+    narrow = aligned.select(
+        "doc_id",
+        F.size("a_ids").cast("long").alias("n_a"),
+        F.size("b_ids").cast("long").alias("n_b"),
+        F.size("a_cuts").cast("long").alias("n_groups"),
+        links().alias("links"),
+        F.col("groups_sha256").alias("groups_sha256"),
+    )
+    written = stage(narrow, "aligned")
+    return digest(written, stage(pair_counts(written), "pair-counts"))
