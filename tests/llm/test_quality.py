@@ -126,11 +126,16 @@ def test_base_counts_of_odd_texts(spark, make):
     assert all(r.kept == (not r.base_failed) and r.score == 0 for r in rows)
 
 
-def test_windows_whose_hashes_collide_are_compared(spark, make, monkeypatch):
+@pytest.mark.parametrize("bits", [24, 3])
+def test_windows_whose_hashes_collide_are_compared(spark, make, monkeypatch, bits):
     monkeypatch.setattr(quality.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    monkeypatch.setattr(quality, "PLACE_BITS", bits)
     text = " ".join(f"w{i}" for i in range(40)) + " w3 w4 w5 w6 w7 w8 w9 w10 w11"
-    row = make([text]).select(F.split("text", " ").alias("words")).select(quality.repeated_words(F.col("words")).alias("n")).first()
-    assert row.n == base(text)[4] == 18
+    words = make([text, "a b"]).select("doc_id", F.split("text", " ").alias("words"))
+    hashed = words.select("*", quality.window_hashes(F.col("words")).alias("h"))
+    placed = hashed.select("*", quality.windows_to_compare(F.col("h")).alias("p"))
+    rows = placed.select("doc_id", quality.repeated_words(F.col("words"), F.col("h"), F.col("p")).alias("n")).collect()
+    assert {r.doc_id: r.n for r in rows} == {0: base(text)[4], 1: 0} == {0: 18, 1: 0}
 
 
 def test_odd_rows_and_labels(spark, make):

@@ -25,7 +25,9 @@ trusted documents all weights are 0. A label of a document that is not there cou
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 # Letters, digits and underscores make words of the model; runs of other visible characters are words of their own.
 TOKEN = r"[\p{L}\p{N}_]++|[^\p{L}\p{N}_\s]++"
+# Bits of a window's place, beside the first bits of its hash; longer texts have all their windows compared.
+PLACE_BITS = 24
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 BUCKETS = 1 << 14
 TRUSTED_ROWS = 40_000
@@ -48,47 +52,91 @@ SCALE = 1_000_000
 BIN = 1_000
 
 
-def repeated_words(words: Column) -> Column:
-    """Words in windows that occur twice or more. ``words`` is a column that is there, not an expression: it is looked at in
-    every window."""
+def window_hashes(words: Column) -> Column:
+    """A hash of each window of words: of one word, two, four, eight."""
 
-    def covered(ordered: Column) -> Column:
-        def same(a: Column, b: Column) -> Column:
-            return (a["h"] == b["h"]) & (a["w"] == b["w"])
+    def doubled(apart: int) -> Callable[[Column], Column]:
+        def pairs(hashes: Column) -> Column:
+            left = F.greatest(F.size(hashes) - apart, F.lit(0))
+            both = F.zip_with(F.slice(hashes, F.lit(1), left), F.slice(hashes, F.lit(apart + 1), left), lambda a, b: F.xxhash64(a, b))
+            return F.transform(both, lambda h: F.coalesce(h, F.lit(0).cast("long")))
+
+        return pairs
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    for apart in (1, 2, 4):
+        hashes = let(hashes, doubled(apart))
+    return hashes
+
+
+def windows_to_compare(hashes: Column) -> Column:
+    """Places of the windows that share the first bits of their hash with another; NULL where all hashes differ. First bits and
+    place lie in one number, so that plain numbers are sorted. ``hashes`` is a column that is there."""
+    place = F.lit((1 << PLACE_BITS) - 1)
+    packed = F.sort_array(
+        F.transform(
+            hashes,
+            lambda h, i: F.coalesce(h.bitwiseAND(F.bitwise_not(place.cast("long"))).bitwiseOR(i.cast("long")), F.lit(0).cast("long")),
+        )
+    )
+
+    def shared(ordered: Column) -> Column:
+        def key(x: Column) -> Column:
+            return F.shiftright(x, PLACE_BITS)
 
         def met(x: Column, at: Column) -> Column:
-            return F.coalesce(same(x, F.get(ordered, at)), F.lit(False))
+            return F.coalesce(key(x) == key(F.get(ordered, at)), F.lit(False))
 
         twice = F.filter(ordered, lambda x, i: met(x, i - 1) | met(x, i + 1))
-        starts = F.array_sort(F.transform(twice, lambda x: x["at"]))
-        new = let(
-            starts,
-            lambda s: F.zip_with(
-                s,
-                F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))),
-                lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW)),
-            ),
-        )
-        return F.aggregate(new, F.lit(0), lambda total, x: total + x)
+        return F.transform(twice, lambda x: x.bitwiseAND(place.cast("long")).cast("int"))
 
-    def sorted_windows(hashes: Column) -> Column:
-        return F.array_sort(
-            F.transform(hashes, lambda h, i: F.struct(h.alias("h"), F.slice(words, i + 1, F.lit(WINDOW)).alias("w"), i.alias("at")))
-        )
+    every = F.sequence(F.lit(0), F.size(hashes) - 1)
+    some = F.when(F.size(hashes) < 1 << PLACE_BITS, let(packed, shared)).otherwise(every)
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), some)
 
-    def doubled(hashes: Column, apart: int) -> Column:
-        left = F.greatest(F.size(hashes) - apart, F.lit(0))
-        return F.zip_with(F.slice(hashes, F.lit(1), left), F.slice(hashes, F.lit(apart + 1), left), lambda a, b: F.xxhash64(a, b))
 
-    # of one word, two, four, eight
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    for apart in (1, 2, 4):
-        hashes = let(hashes, lambda h, apart=apart: doubled(h, apart))
-    counted = let(
-        hashes,
-        lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(sorted_windows(h), covered)),
+def repeated_words(words: Column, hashes: Column, places: Column) -> Column:
+    """Words in windows that occur twice or more, of the windows at ``places``, which stand in the order of their first bits.
+
+    Windows of the same bits are compared word by word with the one before. Where all are the same, as nearly always,
+    every place counts; else the windows of that text are sorted by hash and words, so that equal ones meet."""
+
+    # one word at a time: slices of a column would copy all of it
+    def word(i: Column, k: int) -> Column:
+        return F.get(words, i + k)
+
+    def window(i: Column) -> Column:
+        return F.array(*[word(i, k) for k in range(WINDOW)])
+
+    def bits(i: Column) -> Column:
+        return F.shiftright(F.get(hashes, i), PLACE_BITS)
+
+    def odd(i: Column, other: Column) -> Column:
+        same = reduce(Column.__and__, [word(i, k) == word(other, k) for k in range(WINDOW)])
+        return F.coalesce((bits(i) == bits(other)) & ~same, F.lit(False))
+
+    def met(x: Column, other: Column) -> Column:
+        return F.coalesce((x["h"] == other["h"]) & (x["w"] == other["w"]), F.lit(False))
+
+    in_order = F.sort_array(F.transform(places, lambda i: F.struct(F.get(hashes, i).alias("h"), window(i).alias("w"), i.alias("at"))))
+    equal = let(
+        in_order,
+        lambda o: F.transform(
+            F.filter(o, lambda x, i: met(x, F.get(o, i - 1)) | met(x, F.get(o, i + 1))), lambda x: x["at"]
+        ),
+    )
+    mixed = F.exists(F.transform(places, lambda i, at: odd(i, F.get(places, at - 1))), lambda x: x)
+    unsorted = F.size(hashes) >= 1 << PLACE_BITS
+    starts = F.sort_array(F.when(unsorted | mixed, equal).otherwise(places))
+    new = let(
+        starts,
+        lambda s: F.zip_with(
+            s,
+            F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))),
+            lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW)),
+        ),
     )
-    return F.when(F.size(words) >= WINDOW, counted).otherwise(0)
+    return F.coalesce(F.aggregate(new, F.lit(0), lambda total, x: total + x), F.lit(0))
 
 
 def ngrams(tokens: Column) -> Column:
@@ -150,18 +198,20 @@ def measure(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
         F.coalesce(model_tokens(text), F.array().cast("array<string>")).alias("tokens"),
         F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD)).alias("lines"),
     )
+    hashed = read.select("*", window_hashes(F.col("words")).alias("hashes"))
+    compared = hashed.select("*", windows_to_compare(F.col("hashes")).alias("places"))
     weights = F.split(F.lit(",".join(map(str, model.weights))), ",").cast("array<int>")
     total = F.aggregate(
         ngrams(F.col("tokens")), F.lit(0).cast("long"), lambda acc, b: acc + F.element_at(weights, b + 1)
     )
     n_grams = F.greatest(F.size("tokens") * 2 - 1, F.lit(1))
-    counted = read.select(
+    counted = compared.select(
         *held,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.coalesce(F.regexp_count("text", F.lit(SYMBOL)), F.lit(0)).cast("long").alias("n_symbols"),
         F.coalesce(F.size("lines") - F.size(F.array_distinct("lines")), F.lit(0)).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
+        repeated_words(F.col("words"), F.col("hashes"), F.col("places")).cast("long").alias("n_repeat_words"),
         F.floor(total / n_grams).cast("long").alias("score"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
