@@ -24,7 +24,7 @@ from threadlens.sources.posts import (
 )
 from threadlens.sources.records import read_jsonl, read_record_dump, write_fields, write_jsonl, write_record_dump
 from threadlens.streaming.ledger import post_store
-from threadlens.sources.tables import materialize, read_features, read_freq, write_features, write_freq
+from threadlens.sources.tables import materialize, materialize_for, read_features, read_freq, write_features, write_freq
 
 
 def flat(posts: DataFrame) -> DataFrame:
@@ -220,6 +220,22 @@ def sink_corpus_artifacts(t: Tables) -> DataFrame:
     return materialize(t.spark, path, lambda: t.documents.select(F.raise_error(F.lit("corpus is rebuilt"))))
 
 
+@query("q_sink_corpus_artifacts_addressed", "select token, n, stem from stems", extra=STEM_SQL)
+def sink_corpus_artifacts_addressed(t: Tables) -> DataFrame:
+    """Built for half of the documents, then for all of them, which is another input; asked for again, it is read."""
+    folder, docs = fresh_path(t.spark, "artifacts"), t.documents.select("doc_id", "text")
+
+    def build(rows: DataFrame) -> DataFrame:
+        return stems(token_counts(rows))
+
+    def fail(rows: DataFrame) -> DataFrame:
+        raise AssertionError("corpus is rebuilt")
+
+    materialize_for(t.spark, folder, docs.filter(F.col("doc_id") % 2 == 0), "stems-1", build)
+    materialize_for(t.spark, folder, docs, "stems-1", build)
+    return materialize_for(t.spark, folder, docs, "stems-1", fail)
+
+
 FILE_SQL = """select * exclude (site, thread_id, ordinal, is_first) replace (
   case when is_first then resolved else '' end as resolved,
   case when is_first then question_uid else '' end as question_uid)
