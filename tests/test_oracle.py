@@ -24,3 +24,8 @@ def test_query(spark, duck, name):
     expected_columns, expected = duck_rows(duck, SQL[name])
     assert columns == expected_columns
     assert got == expected
+
+
+def test_marks_disagree_both_ways(spark):
+    rows = QUERIES["q_qc_solution_consistency"](spark, SMALL).collect()
+    assert {(r.resolved, r.solved) for r in rows} == {(True, False), (False, True)}

@@ -99,11 +99,16 @@ class Tables:
         return stage(self.posts(), "posts")
 
     def posts_gap(self) -> DataFrame:
-        """Posts with missing answers, empty texts and tagged answers."""
+        """Posts with missing answers, empty texts, tagged answers, and marks that disagree: solutions that lost their mark,
+        questions that count as open beside one."""
         thread, ordinal = F.col("thread_id").cast("long"), F.col("ordinal")
         kept = self.store.filter(~((thread % 4 == 1) & (ordinal == 2)))
         return kept.withColumn("text", F.when((thread % 5 == 2) & (ordinal == 1), "").otherwise(F.col("text"))).withColumn(
             "tags", F.when((thread % 6 == 3) & (ordinal > 0), F.array(F.lit("x"))).otherwise(F.col("tags"))
+        ).withColumn(
+            "resolve",
+            F.when((thread % 5 == 3) & (ordinal == 1), "").when((thread % 5 == 4) & (ordinal == 0), "False")
+            .otherwise(F.col("resolve")),
         )
 
     @cached_property
@@ -330,7 +335,9 @@ posts as (
     "posts_gap": """
 posts_gap as (select * replace (
    case when thread_id::int % 5 = 2 and ordinal = 1 then '' else text end as text,
-   case when thread_id::int % 6 = 3 and ordinal > 0 then ['x'] else tags end as tags)
+   case when thread_id::int % 6 = 3 and ordinal > 0 then ['x'] else tags end as tags,
+   case when thread_id::int % 5 = 3 and ordinal = 1 then '' when thread_id::int % 5 = 4 and ordinal = 0 then 'False'
+        else resolve end as resolve)
  from posts where not (thread_id::int % 4 = 1 and ordinal = 2))""",
     "lines": """
 lines as (select 'c' site, cast(l_orderkey as varchar) thread_id,
