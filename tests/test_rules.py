@@ -290,3 +290,13 @@ def test_log_likelihood(spark, tables, broadcast):
     for uid, score in expected.items():
         assert abs(found.get(uid, 0.0) - score) <= 0.00501
     assert {r.uid for r in scored_posts(posts, lex).collect()} == set(texts)
+
+
+def test_first_nonempty_falls_back_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from threadlens.functions import values
+
+    rows = spark.createDataFrame([("a", "b"), ("", "b"), (None, "b"), ("", ""), (None, None)], "long string, short string")
+    shown = rows.select(values.first_nonempty(F.col("long"), F.col("short"), fallback=F.lit("no text")).alias("t")).collect()
+    assert [r.t for r in shown] == ["a", "b", "b", "no text", "no text"]

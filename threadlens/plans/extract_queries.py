@@ -81,20 +81,17 @@ def code_markup_a(t: Tables) -> DataFrame:
 
 
 SHORT = "<h1>(.*?)</h1>"
-LONG = "(?s)<article>(.*?)</article>"
+LONG = "(?s)<p>(.*?)</p>"
 
 
 @query(
     "q_ex_first_nonempty",
-    f"""select page_id, case when page_id % 4 = 3 then 'no text'
-      else coalesce(nullif(case when page_id % 4 = 0 then regexp_extract(html, '{LONG}', 1) else '' end, ''),
-                    nullif(regexp_extract(html, '{SHORT}', 1), ''), 'no text') end as text from pages""",
+    f"""select page_id, coalesce(nullif(regexp_extract(html, '{LONG}', 1), ''), nullif(regexp_extract(html, '{SHORT}', 1), ''), 'no text') as text
+    from pages""",
 )
 def first_nonempty(t: Tables) -> DataFrame:
-    """The long text on every fourth page, the heading on others, a fallback where neither is shown."""
-    kind = F.col("page_id") % 4
-    long = F.when(kind == 0, F.regexp_extract("html", LONG, 1)).otherwise("")
-    short = F.when(kind != 3, F.regexp_extract("html", SHORT, 1))
+    """Of every page as it stands its first paragraph, its heading where that is empty, a fallback where both are."""
+    long, short = F.regexp_extract("html", LONG, 1), F.regexp_extract("html", SHORT, 1)
     return t.pages.select("page_id", values.first_nonempty(long, short, fallback=F.lit("no text")).alias("text"))
 
 
