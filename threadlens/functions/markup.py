@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Code-markup rewrites. (?d) makes "." stop at \n only.
+# Code-markup rewrites. (?d) makes "." stop at \n only. How they run in linear time: ``rewrite_marks``.
 LINE_NUMBERS = (r'(?s)<td class="linenos">.*?</td>', "")
 CODE_RULES = (
     (r'(?d)<ol class="linenums">(.*?)</ol>', "```$1```"),
@@ -50,8 +52,42 @@ def rewrite(c: Column, rules) -> Column:
     return c
 
 
+# A rule of marks: flags, open mark, a mark on the way if any, the text up to the end mark, end mark.
+MARKS = re.compile(r"(\(\?\w\))(.+?)(?:\.\*\?([^.*?()]+))?(\(?\.\*\?\)?)([^.*?()]+)")
+
+
+def _replacing(pattern: str, replacement: str):
+    return lambda c: F.regexp_replace(c, pattern, replacement)
+
+
+def rewrite_marks(c: Column, rules) -> Column:
+    """``rewrite`` for rules of an open mark, a lazy middle and an end mark, in linear time whatever is not closed.
+
+    Where the first open mark has no end mark, a later one in its reach has none either. So each rule gets a second
+    way, the open mark and all in its reach, which is taken once and left as it is; no open mark is tried twice.
+    Rules without a lazy middle are plain ones.
+    """
+    for pattern, replacement in rules:
+        parts = MARKS.fullmatch(pattern)
+        if parts is None:
+            c = F.regexp_replace(c, pattern, replacement)
+            continue
+        flags, opening, on_the_way, text, end = parts.groups()
+        # whatever follows a later mark on the way follows the first one too, so the first is final
+        begin = opening + (f"(?>.*?{on_the_way})" if on_the_way else "")
+        if replacement == "":
+            c = F.regexp_replace(c, f"{flags}{begin}{text}{end}|({opening}.*)", "$1")
+            continue
+        first = opening.lstrip("\\")[0]
+        cut = rf"{flags}{begin}{text}{end}|{opening}.*|[^\{first}]++|\{first}"
+        whole = rf"{flags}\A{begin}(.*){end}\z"
+        pieces = F.regexp_extract_all(c, F.lit(cut), F.lit(0))
+        c = F.array_join(F.transform(pieces, _replacing(whole, replacement)), "")
+    return c
+
+
 def code_markup(html: Column, kind: str = "question") -> Column:
-    return rewrite(html, ANSWER_RULES if kind == "answer" else QUESTION_RULES)
+    return rewrite_marks(html, ANSWER_RULES if kind == "answer" else QUESTION_RULES)
 
 
 def html_text(html: Column, links: bool = True) -> Column:
