@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadlens.functions import markup
+from threadlens.functions.markdown import html_markdown
 
 PIECES = (
     "a", " ", "\n", "<", ">", "[", "<b>", '<td class="linenos">', '<td class="code">', "</td>", '<ol class="linenums">', "</ol>",
@@ -34,3 +35,43 @@ def test_unclosed_marks_take_linear_time(spark, piece):
     start = time.perf_counter()
     df.collect()
     assert time.perf_counter() - start < 5
+
+
+def markdown(spark, *pages):
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, t string")
+    return [r.m for r in df.select("i", html_markdown(F.col("t")).alias("m")).orderBy("i").collect()]
+
+
+def test_markdown_keeps_the_structure(spark):
+    cases = {
+        "<h2>Head &amp; tail</h2>text": "## Head & tail\ntext",
+        '<ol start="3"><li>one<li><p>two <b>bold</b></p><ul><li>in</li></ul></li><li>x</ol>': "3. one\n4. two **bold**\n  * in\n5. x",
+        "it&#8217;s &#x41; &unknown; &amp;#65; &#55296;": "it’s A &unknown; &#65; &#55296;",
+        '<img src="a.png" width="3" alt="p"><img src=\'b.png\'><img>': '<img src="a.png" width="3" alt="p" />![](b.png)',
+        "<table><tr><th>a<th>b</tr><tr><td>1</td><td>2 </td></tr></table>": "a | b\n---|---\n1 | 2",
+        "<blockquote><p>q<p>r<blockquote>s</blockquote></blockquote>t": "> q\n> r\n> > s\nt",
+        "a<hr>b<pre>x\n  y</pre>": "a\n* * *\nb\nx\n  y",
+        '<a href="u?a&amp;b">l <i>k</i></a> <a>n</a> <a href="v">open': "[l _k_](<u?a&b>) n [open](<v>)",
+        '<a href="u">one<a href="v">two</a></a>': "[one](<u>)[two](<v>)",
+        "</ul></blockquote></pre></a><li>x": "* x",
+        "a < b<p></p><p> </p><br>c <!-- no --><script>no</script>": "a < b\nc",
+        "": "",
+    }
+    assert markdown(spark, *cases, None) == [*cases.values(), None]
+
+
+def test_blocks_of_tokens_change_nothing(spark):
+    """Texts of 1 to 60 items: the fold is cut at other places in each."""
+    pages = ["<ol>" + "".join(f"<li>i{k} <b>x</b>" for k in range(n)) + "</ol>" for n in range(1, 60)]
+    assert markdown(spark, *pages) == ["\n".join(f"{k + 1}. i{k} **x**" for k in range(n)) for n in range(1, 60)]
+
+
+@pytest.mark.parametrize("piece", ["<ol><li>x", "<blockquote>", '<a href="b">', "&#65;"])
+def test_markdown_takes_linear_time(spark, piece):
+    def seconds(size):
+        start = time.perf_counter()
+        markdown(spark, piece * (size // len(piece)))
+        return time.perf_counter() - start
+
+    seconds(1_000)
+    assert seconds(80_000) < 8 * max(seconds(20_000), 0.5)
