@@ -35,7 +35,7 @@ kinds as (select *, case when length(t) > 1 and t like '<%' then lower(regexp_ex
 attrs as (select *, {_attribute('href')} href, {_attribute('src')} src, coalesce({_attribute('alt')}, '') alt,
   coalesce(' width="' || {_attribute('width')} || '"', '') || coalesce(' height="' || {_attribute('height')} || '"', '') size,
   coalesce(try_cast(regexp_extract({_attribute('start')}, '^[0-9]{{1,6}}$') as int), 1) nr from kinds),
-tok as (select page_id, pos, kind, href, nr, coalesce(case
+tok as materialized (select page_id, pos, kind, href, nr, coalesce(case
   when kind = 'text' and t like '&#%' then case when code between 1 and 55295 or code between 57344 and 1114111 then chr(code) else t end
   when kind = 'text' then case t when '&lt;' then '<' when '&gt;' then '>' when '&quot;' then '"' when '&nbsp;' then ' '
     when '&middot;' then '·' when '&copy;' then '©' when '&amp;' then '&' else t end
