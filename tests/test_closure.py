@@ -3,7 +3,7 @@
 import pytest
 
 from threadlens.operators import skew
-from threadlens.operators.closure import chain, closure
+from threadlens.operators.closure import chain, closure, extend_closure
 
 
 def search(seeds, edges, gate):
@@ -45,6 +45,24 @@ def test_closure_with_hub_pages(spark, monkeypatch, seeds, edges, gate):
     assert got == search(seeds, edges, set(gate))
 
 
+@pytest.mark.parametrize("limit", [1, 1 << 60])
+def test_extended_closure_is_the_closure_of_all(spark, monkeypatch, limit):
+    """Shortcuts lower the depth of pages found before; some pages are new, one new edge leaves a page out of reach."""
+    monkeypatch.setattr(skew, "HOT_ROWS", limit)
+    early = [(i, i + 1) for i in range(20)] + [(0, d) for d in (50, 51, 52)]
+    late = [(0, 8), (8, 16), (3, 4), (30, 31), (16, 30), (40, 41), (0, 99)]
+    gate = [g for g in range(60) if g != 12]
+    seeds, edges, pages = frames(spark, [0], early, gate)
+    more, new, _ = frames(spark, [18, 12], late, gate)
+    known = closure(seeds, edges, pages)
+    got = extend_closure(known, edges, new, pages, more)
+    assert {r.node: r.depth for r in got.collect()} == search([0, 18], early + late, set(gate))
+    same = extend_closure(known, edges, new.limit(0), pages)
+    assert sorted(same.collect()) == sorted(known.collect())
+    near = extend_closure(known, edges, new, pages, more, max_depth=3).where("depth <= 3")
+    assert {r.node: r.depth for r in near.collect()} == {n: d for n, d in search([0, 18], early + late, set(gate)).items() if d <= 3}
+
+
 def test_depth_limit(spark):
     edges = [(i, i + 1) for i in range(20)]
     got = closure(*frames(spark, [0], edges, range(21)), max_depth=12).collect()

@@ -85,6 +85,56 @@ def closure(seeds: DataFrame, edges: DataFrame, gate: DataFrame, max_depth: int
     return known.close()
 
 
+def extend_closure(
+    known: DataFrame, edges: DataFrame, new_edges: DataFrame, gate: DataFrame, new_seeds: DataFrame | None = None,
+    max_depth: int | None = None,
+) -> DataFrame:
+    """``closure`` after ``new_edges`` and ``new_seeds`` came to ``edges`` and to the seeds that gave ``known``.
+
+    Only pages that the new ones reach in fewer steps than before, or at all, are visited: work grows with what changes. A page
+    found earlier over a longer way comes again with its smaller depth; rows are added to the known ones, and the smallest
+    depth of a page counts. Edges whose pages pass the gate only now are new edges. Repeated and known edges do no harm; with
+    ``max_depth``, ``known`` must be the closure to that depth or beyond.
+    """
+    gate = gate.select("node").distinct()
+    pairs = edges.select("src", "dst").unionByName(new_edges.select("src", "dst"))
+    pairs = cut_lineage(_gated(pairs, gate))
+    hot = heavy_keys(pairs, ["src"])
+    placed = Placed(hot.cold(pairs) if hot else pairs, "src")
+    spread = cut_lineage(hot.hot(pairs)) if hot else None
+    depth = F.col("depth").cast("long").alias("depth")
+    store = Placed(known.select("node", depth), "node")
+
+    def onward(links: DataFrame, sources: DataFrame) -> DataFrame:
+        ways = links.join(sources.withColumnRenamed("node", "src"), "src")
+        return ways.select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
+
+    ways = onward(_gated(new_edges, gate), store.rows())
+    if new_seeds is not None:
+        first = new_seeds.select("node").join(gate, "node", "left_semi")
+        ways = ways.unionByName(first.withColumn("depth", F.lit(0).cast("long")))
+    rounds = 0
+    while True:
+        if max_depth is not None:
+            ways = ways.where(F.col("depth") <= max_depth)
+        best = ways.groupBy("node").agg(F.min("depth").alias("depth"))
+        before = store.rows().withColumnRenamed("depth", "before")
+        met = best.join(before, "node", "left").groupBy("node", "depth").agg(F.min("before").alias("before"))
+        nearer = met.where(F.col("before").isNull() | (F.col("depth") < F.col("before"))).select("node", "depth")
+        nearer = cut_lineage(nearer)
+        if nearer.isEmpty():
+            break
+        store.add(nearer.repartition(store.buckets, "node"))
+        rounds += 1
+        if rounds % FOLD_EVERY == 0:
+            store.fold()
+        ways = onward(placed.rows(), nearer)
+        if spread is not None:
+            ways = ways.unionByName(onward(spread, nearer))
+    placed.close()
+    return store.close().groupBy("node").agg(F.min("depth").alias("depth"))
+
+
 def chain(seeds: DataFrame, edges: DataFrame, gate: DataFrame) -> DataFrame:
     """``closure`` for edges with one successor per page ("Next" pointers).
 

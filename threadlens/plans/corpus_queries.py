@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.operators import corpus as co
 from threadlens.plans.bridges import Tables
 from threadlens.plans.registry import query
+from threadlens.sources.counts import CountTable
 
 # The stemmer's tables stand here again, so that a wrong entry on either side shows.
 # Irregular words.
@@ -146,6 +149,18 @@ def frequency(t: Tables) -> DataFrame:
     return co.frequency(co.stems(co.token_counts(t.documents)))
 
 
+@query("q_co_frequency_merged", "select stem, cast(sum(n) as bigint) n from stems group by stem", extra=STEM_SQL)
+def frequency_merged(t: Tables) -> DataFrame:
+    """Counts of even and odd documents are merged; the odd ones are withdrawn and added again before the stems are taken."""
+    docs, kept = t.documents, CountTable(t.spark, f"counts_{uuid.uuid4().hex}")
+    parts = {f"part{k}": docs.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(2)) == k) for k in (0, 1)}
+    for name, part in parts.items():
+        kept.add(co.token_counts(part), name)
+    kept.withdraw("part1")
+    kept.add(co.token_counts(parts["part1"]), "part1")
+    return co.frequency(co.stems(kept.total()))
+
+
 @query("q_co_cutoff", "select stem, cast(sum(n) as bigint) n from stems group by stem having sum(n) > 1", extra=STEM_SQL)
 def cutoff(t: Tables) -> DataFrame:
     return co.cutoff(co.frequency(co.stems(co.token_counts(t.documents))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadlens.functions.urls import resolve_url, seed_url, topic_from_url
 from threadlens.functions.values import age_text
 from threadlens.operators import frontier as fr
-from threadlens.operators.closure import chain, closure
+from threadlens.operators.closure import chain, closure, extend_closure
 from threadlens.plans.bridges import Tables
 from threadlens.plans.registry import query
 from threadlens.session import fresh_path
@@ -157,6 +157,17 @@ def related_closure(t: Tables) -> DataFrame:
     return closure(seeds(t), related, t.english()).withColumn("depth", F.col("depth").cast("long"))
 
 
+@query("q_fr_related_closure_extended", REACH, "edges", extra=reach_sql("related"), recursive=True)
+def related_closure_extended(t: Tables) -> DataFrame:
+    """The closure of the links from even pages and of the first half of the seeds, extended by the others."""
+    related, start = t.edges().filter(F.col("kind") == "related"), seeds(t)
+    early_edges, early_seeds = F.col("src") % 2 == 0, F.col("node") % 4 < 2
+    known = closure(start.filter(early_seeds), related.filter(early_edges), t.english())
+    return extend_closure(
+        known, related.filter(early_edges), related.filter(~early_edges), t.english(), start.filter(~early_seeds)
+    )
+
+
 @query("q_fr_next_chain", REACH, "edges", extra=reach_sql("next"), recursive=True)
 def next_chain(t: Tables) -> DataFrame:
     return chain(seeds(t), t.edges().filter(F.col("kind") == "next"), t.english())
