@@ -1,5 +1,6 @@
 """Physical plans: no Python workers, few exchanges, filters and columns at the scan."""
 
+import math
 import re
 
 import pytest
@@ -50,3 +51,17 @@ def test_site_filter_prunes_folders(spark, tables, tmp_path):
 def test_type_filter_reaches_the_scan(spark):
     plan = plan_of(contract.queries()["q_ft_feature_table"](spark, SMALL))
     assert "EqualTo(type,question)" in plan
+
+
+def test_words_of_a_post_are_counted_before_the_lexicon_join(spark, tables):
+    from threadlens.operators.corpus import lexicon, log_likelihood
+
+    posts = spark.createDataFrame([(i, "again " * 200 + "twice twice") for i in range(20)], "uid long, text string")
+    scored = log_likelihood(posts, lexicon(posts))
+    logical = scored._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(logical) if "Join Inner" in line)
+    left = [line for line in logical[join + 1 : join + 5] if "Aggregate" in line]
+    assert left, logical
+    # 200 x 200 occurrences of a word that stands 4,000 times in the corpus, 2 x 2 of one that stands 40 times; two stems
+    expected = (200 * 200 * math.log(4_000) + 2 * 2 * math.log(40)) / 2
+    assert {r.loglikelihood for r in scored.collect()} == {math.floor(expected * 100 + 0.5) / 100}

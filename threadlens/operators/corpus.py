@@ -78,12 +78,13 @@ def log_likelihood(posts: DataFrame, lex: Lexicon, key: tuple[str, ...] = ("uid"
     """(key, loglikelihood): sum over tokens of C(w)·ln(freq(stem w)), divided by the vocabulary size. Posts
     without a scored word that stands alone have no row.
 
-    One plain join with the written lexicon, whatever its size: a small one is broadcast by the optimizer, a
-    large one is joined by shuffle, where adaptive execution splits the most frequent words.
+    The words of a post are counted where its text is read, so what is shuffled is one row for each of its distinct words, however
+    often they stand in it. These meet the written lexicon in one plain join, whatever its size: a small one is broadcast
+    by the optimizer, a large one is joined by shuffle, where adaptive execution splits the most frequent words.
     """
     weight = F.sum(1 - F.col("kind")) * F.sum("kind")
-    scored = word_weights(posts, lex, key).join(lex.words.select("w", "lnf"), "w")
-    parts = scored.groupBy(*key, "w", "lnf").agg(weight.alias("weight")).filter(F.col("weight") > 0)
+    counted = word_weights(posts, lex, key).groupBy(*key, "w").agg(weight.alias("weight")).filter(F.col("weight") > 0)
+    parts = counted.join(lex.words.select("w", "lnf"), "w")
     score = tx.round2(F.sum(F.col("weight") * F.col("lnf")) / lex.vocabulary) if lex.vocabulary else F.lit(0.0)
     return parts.groupBy(*key).agg(score.alias("loglikelihood"))
 
