@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from threadlens.llm import decontaminate as d
@@ -98,3 +100,31 @@ def test_digest_names_items_in_order_of_strings(spark, make):
     row = d.digest(found_).collect()[0]
     assert row.items_sha256 == hashlib.sha256(b"10,9").hexdigest() and row.n_items == 2 and row.n_hit == 2
     assert d.digest(found_).where(F.col("contaminated")).count() == 1
+
+
+def test_keys_of_any_vocabulary_fit_64_bits():
+    """An item of millions of distinct words: ids beyond the cube root of 2^63, in both ways to the key."""
+    shard = d.Shard()
+    window = (2**31 - 1, 2_097_152, 7, 2**31 - 9, 2**40, 3)
+    keys = shard.keys(window)
+    assert all(-(2**63) <= key < 2**63 for _, key, _ in keys) and len({key for _, key, _ in keys}) == 4
+    at, got = shard.places(np.array((5, 0, *window, 0), np.int64), 3)
+    assert at.tolist() == [2, 3, 4, 5] and got.tolist() == [key for _, key, _ in keys]
+
+
+@pytest.mark.parametrize("factor", [0, 1])
+def test_shingles_that_share_a_key_find_the_same(monkeypatch, factor):
+    """Keys that are the last word alone, or the sum of the words, against the true keys."""
+    rnd = random.Random(3)
+    words = [f"w{i}".encode() for i in range(12)]
+    text = lambda n: b" ".join(rnd.choice(words) for _ in range(n))
+    items = [(f"i{k}", text(rnd.choice([1, 2, 3, 9, 10, 14]))) for k in range(12)]
+    texts = [text(40) + b" " + items[k][1] + b" " + text(5) for k in range(12)] + [text(60) for _ in range(10)]
+
+    def found():
+        index = d.Index.of(d.Shard.of(items), {})
+        return [(n, hit.tolist(), sorted(named)) for n, hit, named in map(index.search, texts)]
+
+    true = found()
+    monkeypatch.setattr(d, "KEY_FACTOR", factor)
+    assert found() == true and any(named for _, _, named in true)

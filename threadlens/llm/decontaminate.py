@@ -37,6 +37,9 @@ from threadlens.session import stage
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 3
 SHARD_BYTES = 8_000_000
+# Factor of the shingle keys, which are whole numbers modulo 2^64 whatever the size of the vocabulary. Shingles may share a
+# key: it only chooses which windows are compared, word by word.
+KEY_FACTOR = 0x9E3779B97F4A7C15
 
 # Every byte outside a word becomes a blank; A-Z become a-z.
 _WORD_BYTES = bytes(
@@ -48,6 +51,11 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_WORD_BYTES).split() if text else []
 
 
+def _signed(x: int) -> int:
+    """``x`` modulo 2^64, as a signed number of 64 bits."""
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
 @dataclass
 class Shard:
     """The windows of some items, by number of words. Words have ids from 1 in ``vocabulary``."""
@@ -55,7 +63,6 @@ class Shard:
     vocabulary: dict[bytes, int] = field(default_factory=dict)
     windows: dict[tuple[int, ...], set[str]] = field(default_factory=dict)  # word ids -> item ids
     shingles: dict[int, dict[int, int]] = field(default_factory=dict)  # width -> key -> number
-    base: int = 1
 
     @classmethod
     def of(cls, items: list[tuple[str | None, bytes | None]]) -> Shard:
@@ -67,7 +74,6 @@ class Shard:
                 owners = shard.windows.setdefault(tuple(ids[at : at + n]), set())
                 if item is not None:
                     owners.add(item)
-        shard.base = len(shard.vocabulary) + 1
         number = 0
         for window in shard.windows:
             for _, key, width in shard.keys(window):
@@ -84,7 +90,7 @@ class Shard:
         for at in range(len(window) - width + 1):
             key = 0
             for w in window[at : at + width]:
-                key = key * self.base + w
+                key = _signed(key * KEY_FACTOR + w)
             out.append((at, key, width))
         return out
 
@@ -105,7 +111,7 @@ class Shard:
         at = np.flatnonzero(whole)
         key = ids[at]
         for k in range(1, width):
-            key = key * self.base + ids[at + k]
+            key = key * np.int64(_signed(KEY_FACTOR)) + ids[at + k]  # arrays wrap around
         return at, key
 
 
