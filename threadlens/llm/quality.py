@@ -139,12 +139,12 @@ def repeated_words(words: Column, hashes: Column, places: Column) -> Column:
     return F.coalesce(F.aggregate(new, F.lit(0), lambda total, x: total + x), F.lit(0))
 
 
-def ngrams(tokens: Column) -> Column:
-    """Buckets of all words and of all pairs of neighbouring words."""
+def bucket(*parts: Column) -> Column:
+    return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
 
-    def bucket(*parts: Column) -> Column:
-        return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
 
+def ngrams(tokens: Column) -> Column:
+    """Buckets of all words and of all pairs of neighbouring words."""
     pairs = F.greatest(F.size(tokens) - 1, F.lit(0))
     return F.concat(
         F.transform(tokens, lambda t: bucket(t)),
@@ -174,7 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) ->
     good = good.orderBy(F.xxhash64("good_id"), "good_id").limit(trusted_rows)
     tokens = docs.select("doc_id", model_tokens(F.col("text")).alias("tokens"))
     flagged = tokens.join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left")
-    long = flagged.select(F.col("good_id").isNotNull().cast("int").alias("good"), F.explode(ngrams(F.col("tokens"))).alias("bucket"))
+    # a row a token with the one behind it, so that the hashes are taken in generated code
+    after = F.slice("tokens", F.lit(2), F.size("tokens"))
+    in_order = flagged.select(
+        F.col("good_id").isNotNull().cast("int").alias("good"), F.inline(F.arrays_zip(F.col("tokens").alias("a"), after.alias("b")))
+    )
+    pair = F.when(F.col("b").isNotNull(), bucket(F.col("a"), F.col("b")))
+    long = in_order.select("good", F.explode(F.array(bucket(F.col("a")), pair)).alias("bucket")).where(F.col("bucket").isNotNull())
     counts = long.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()
     raw, trusted = [0] * BUCKETS, [0] * BUCKETS
     for row in counts:
