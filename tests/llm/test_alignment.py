@@ -1,9 +1,11 @@
 """Alignment of two tokenizers against a plain version and exact round trips."""
 
 import hashlib
+import sys
 from collections import Counter
 from functools import lru_cache
 
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from hypothesis import given, settings
@@ -112,6 +114,44 @@ def test_ids_of_the_two_engines(text):
     assert known.a.encode_ordinary(" " + text) == reference().encode(" " + text, add_special_tokens=False).ids
 
 
+@pytest.fixture
+def task(make, monkeypatch):
+    """What ``align`` does to a slice of rows."""
+    starts = []
+    monkeypatch.setattr(alignment, "arrow_columns", lambda docs, keep, inputs, results, start: starts.append(start))
+    alignment.align(make(["a"]))
+    return starts[0]()
+
+
+def test_python_calls_do_not_grow_with_the_text(task):
+    def calls(times):
+        seen = Counter()
+        texts = pa.array(["Some words, and 12 more; naïve 日本語. " * times])
+        sys.setprofile(lambda frame, event, arg: seen.update([event]))
+        try:
+            task(texts)
+        finally:
+            sys.setprofile(None)
+        return seen["call"] + seen["c_call"]
+
+    calls(1)
+    assert calls(400) <= calls(4) + 20  # 40 to 4000 words
+
+
+@pytest.mark.parametrize("batch", [1, 60, 100_000])
+def test_a_slice_in_batches_of_any_size(task, encoder, monkeypatch, batch):
+    monkeypatch.setattr(alignment, "PIECE_CHARS", batch)
+    texts = ["under▁score", "", None, *[t for t in ODD if t is None or len(t) < 100], "a▁", "same", "same", None]
+    *columns, shown = (c.to_pylist() for c in task(pa.array(texts)))
+    assert len(shown) == len(texts)
+    assert shown == [r[-1] for r in plain(encoder, texts)]
+    for text, a, b, a_cuts, b_cuts in zip(texts, *columns, strict=True):
+        assert (a, b) == plain_tokens(encoder, text)
+        a_ends, b_ends = ends(encoder.a_bytes, a), ends(encoder.b_bytes, b)
+        common = sorted(set(a_ends) & set(b_ends))
+        assert (a_cuts, b_cuts) == ([a_ends.index(k) + 1 for k in common], [b_ends.index(k) + 1 for k in common])
+
+
 def test_groups_cover_the_same_bytes(make, encoder):
     rows = alignment.align(make([t for t in ODD if t], strange=True), ["doc_id", "text", "id"]).collect()
     for r in rows:

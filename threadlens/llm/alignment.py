@@ -3,7 +3,8 @@
 Each text is encoded by a byte-level BPE (A) and a BPE of pieces with byte fallback (B). Both spell the same bytes, so the
 cumulative ends of their tokens are comparable: a dictionary from end to index on each side, the
 intersection of the two key sets, and its sorted keys cut both id lists into groups that cover the same bytes. In
-each group one token of A and one of B end together, at the group's end: that is a link.
+each group one token of A and one of B end together, at the group's end: that is a link. The dictionaries are
+arrays over the bytes of a batch of texts: both sides spell each text of it, so an end is common to tokens of one text only.
 
 Counts of linked id pairs are taken over all texts. Two tokens that end together spell the same last bytes, so the shorter is a
 suffix of the longer: a token has at most as many partners shorter than itself as it has bytes. The table of counts so
@@ -27,10 +28,11 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, count
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +49,7 @@ BLANK = "▁"
 # Fixed value: how a byte-level BPE of this kind cuts a text into words before it merges.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 IDS = T.ArrayType(T.IntegerType(), False)
+LISTS = pa.list_(pa.int32())
 
 
 def tokenizer_path(name: str) -> str:
@@ -92,15 +95,16 @@ class Encoder:
             self.a_bytes[i] = token
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [piece_bytes(p, self.b.is_byte(i)) for i, p in enumerate(pieces)]
-        self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
-        self.shown = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.a_spelling, self.b_spelling = (pa.array(x, pa.binary()) for x in (self.a_bytes, self.b_bytes))
+        self.a_size, self.b_size = (np.array([len(y) for y in x]) for x in (self.a_bytes, self.b_bytes))
+        self.shown = pa.array([str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))])
         # a cut between a letter or digit and a blank is safe only if no token holds both in this order
         self.cuttable = not any(re.search(rb"[0-9A-Za-z] ", x) for x in (*self.a_bytes, *self.b_bytes))
 
     @property
     def most_pairs(self) -> int:
         """Most pairs of tokens that can end together."""
-        return sum(self.a_size) + sum(self.b_size)
+        return int(self.a_size.sum() + self.b_size.sum())
 
     def pieces(self, text: str) -> Iterator[str]:
         """``text`` in pieces; between two of them one blank is left out."""
@@ -115,39 +119,72 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of A and B of each text, in order; nothing where one of them does not spell the text."""
+        a, b = self.ids(texts)
+        return zip(a.to_pylist(), b.to_pylist(), strict=True)
+
+    def ids(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
+        """As ``encode``, in two columns."""
         parts = [list(self.pieces(t)) for t in texts]
         flat = [p for some in parts for p in some]
-        a_ids = map(self.a.encode_ordinary, [f" {p}" for p in flat])
-        b_ids = iter(self.b.encode(flat, num_threads=1))
-        for text, some in zip(texts, parts, strict=True):
-            a, b = next(a_ids), next(b_ids)
-            for _ in some[1:]:
-                a += next(a_ids)
-                b += next(b_ids)
-            whole = f" {text}".encode()
-            if text and self.spelt(self.a_bytes, a) == whole and self.spelt(self.b_bytes, b) == whole:
-                yield a, b
-            else:
-                yield [], []
-
-    @staticmethod
-    def spelt(table: list[bytes], ids: list[int]) -> bytes:
-        return b"".join(map(table.__getitem__, ids))
-
-    def cuts(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+        ends = sums([len(some) for some in parts])
+        a = joined_lists(pa.array([self.a.encode_ordinary(f" {p}") for p in flat], LISTS), ends)
+        b = joined_lists(pa.array(self.b.encode(flat, num_threads=1), LISTS), ends)
+        whole = pa.array([f" {t}".encode() for t in texts], pa.binary())
+        same = pc.and_(pc.equal(spelt(self.a_spelling, a), whole), pc.equal(spelt(self.b_spelling, b), whole))
+        kept = np.array(same, bool) & np.array([bool(t) for t in texts], bool)
+        return only(a, kept), only(b, kept)
+
+    def cuts(self, a: pa.ListArray, b: pa.ListArray) -> tuple[pa.ListArray, pa.ListArray]:
         """Where the groups end in both lists: after so many tokens of A, and of B."""
-        a_index = dict(zip(accumulate(map(self.a_size.__getitem__, a)), count(1)))
-        b_index = dict(zip(accumulate(map(self.b_size.__getitem__, b)), count(1)))
-        common = sorted(a_index.keys() & b_index.keys())
-        return list(map(a_index.__getitem__, common)), list(map(b_index.__getitem__, common))
+        a_index, b_index = index_of_end(self.a_size[np.array(a.values)]), index_of_end(self.b_size[np.array(b.values)])
+        common = np.flatnonzero((a_index > 0) & (b_index > 0))
+        return counted_within(a_index[common], a), counted_within(b_index[common], b)
+
+    def groups_text(self, a: pa.ListArray, b: pa.ListArray, a_cuts: pa.ListArray, b_cuts: pa.ListArray) -> pa.Array:
+        """``a1,a2|b1;a3|b2,b3``: the groups of each text in order."""
+        sides = []
+        for ids, cuts in ((a, a_cuts), (b, b_cuts)):
+            ends = np.array(cuts.values) + np.repeat(np.array(ids.offsets)[:-1], np.diff(cuts.offsets))
+            ends = np.concatenate([np.zeros(1, np.int32), ends])
+            sides.append(pc.binary_join(pa.ListArray.from_arrays(ends, self.shown.take(ids.values)), ","))
+        groups = pc.binary_join_element_wise(*sides, "|")
+        return pc.binary_join(pa.ListArray.from_arrays(a_cuts.offsets, groups), ";")
+
+
+def sums(sizes: Any) -> np.ndarray:
+    """Offsets of lists of these sizes."""
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+def joined_lists(lists: pa.ListArray, ends: np.ndarray) -> pa.ListArray:
+    """The lists up to each of ``ends`` as one."""
+    return pa.ListArray.from_arrays(lists.offsets.take(pa.array(ends)), lists.values)
+
+
+def spelt(table: pa.Array, ids: pa.ListArray) -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, table.take(ids.values)), b"")
+
+
+def only(lists: pa.ListArray, kept: np.ndarray) -> pa.ListArray:
+    """The lists, those not ``kept`` empty."""
+    sizes = np.where(kept, np.diff(lists.offsets), 0)
+    return pa.ListArray.from_arrays(sums(sizes), lists.filter(pa.array(kept)).flatten())
+
+
+def index_of_end(sizes: np.ndarray) -> np.ndarray:
+    """Dictionary from the end of each token to its number (from 1), as an array over the bytes: 0 where none ends."""
+    ends = np.cumsum(sizes)
+    index = np.zeros(int(sizes.sum()) + 1, np.int32)
+    index[ends] = np.arange(1, len(ends) + 1)
+    return index
+
 
-    def groups_text(self, a: list[int], b: list[int], a_cuts: list[int], b_cuts: list[int]) -> str:
-        """``a1,a2|b1;a3|b2,b3``: the groups in order."""
-        x, y = list(map(self.shown.__getitem__, a)), list(map(self.shown.__getitem__, b))
-        return ";".join(
-            f"{','.join(x[i:j])}|{','.join(y[k:n])}"
-            for i, j, k, n in zip([0, *a_cuts], a_cuts, [0, *b_cuts], b_cuts)
-        )
+def counted_within(at: np.ndarray, lists: pa.ListArray) -> pa.ListArray:
+    """Numbers (from 1) in the chain of all lists, per list and counted from its start."""
+    offsets = np.array(lists.offsets)
+    per = np.searchsorted(at, offsets, side="right")
+    within = at - np.repeat(offsets[:-1], np.diff(per))
+    return pa.ListArray.from_arrays(per.astype(np.int32), within.astype(np.int32))
 
 
 @lru_cache(maxsize=2)
@@ -177,12 +214,12 @@ def align(
             some, held = [], 0
 
             def flush():
-                for a, b in known.encode(some):
-                    a_cuts, b_cuts = known.cuts(a, b)
-                    shown = hashlib.sha256(known.groups_text(a, b, a_cuts, b_cuts).encode()).hexdigest() if a else ""
-                    for column, value in zip(out, (a, b, a_cuts, b_cuts), strict=False):
-                        column.append(np.array(value, np.int32))
-                    out[4].append(shown)
+                a, b = known.ids(some)
+                cuts = known.cuts(a, b)
+                groups = known.groups_text(a, b, *cuts).cast(pa.binary()).to_pylist()
+                shown = pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in groups], pa.string())
+                for column, value in zip(out, (a, b, *cuts, shown), strict=True):
+                    column.append(value)
 
             for value in texts:
                 some.append(value.as_py() or "")
@@ -191,7 +228,7 @@ def align(
                     flush()
                     some, held = [], 0
             flush()
-            return [*(pa.array(column, pa.list_(pa.int32())) for column in out[:4]), pa.array(out[4], pa.string())]
+            return [pa.concat_arrays(column) for column in out]
 
         return work
 
