@@ -125,3 +125,105 @@ def missed(vectors, n, dim, seed=11):
 @pytest.mark.parametrize(("vectors", "dim"), [(2_000, 64), (51_000, 64), (51_000, 8), (51_000, 2)])
 def test_hardly_a_pair_at_the_threshold_shares_no_band(vectors, dim):
     assert missed(vectors, 20_000, dim) <= 1
+
+
+def by_cells(monkeypatch, **other):
+    """Vectors meet in cells, as large tables do, and the first tables' cells are told from later ones'."""
+    for name, value in {"EXACT": 64, "ROUND": 1, **other}.items():
+        monkeypatch.setattr(e, name, value)
+
+
+@pytest.mark.parametrize("other", [{}, {"BLOCK": 8}, {"ROUND": 1 << 20, "TILE": 16, "PACK": 10, "HELD": 20_000}])
+def test_cells_against_brute_force(spark, monkeypatch, other):
+    by_cells(monkeypatch, **other)
+    rng = np.random.default_rng(3)
+    near = clustered(rng, 10, 40, 24, 0.3)  # crowded with BLOCK = 8
+    rows = np.concatenate([near, 3 * rng.standard_normal((200, 24)), near[:20]])
+    vectors = [*enumerate(rows), (900, None), *enumerate(clustered(rng, 5, 8, 3, 0.3), 1000), (1100, 1e300 * rows[0])]
+    assert e.layout(len(vectors))[1] > 10
+    got = e.embedding_dedup(frame(spark, vectors, "double")).collect()
+    assert {tuple(r) for r in got} == brute([(i, v if i != 1100 else rows[0]) for i, v in vectors])
+    assert len(got) == len(vectors) and sum(r.n_links for r in got) > 1000
+
+
+def test_disk_holds_the_vectors_and_one_round(spark, monkeypatch):
+    """Not a copy of each vector for each table: these would be more than twenty times the input."""
+    import threading
+    from pathlib import Path
+
+    from threadlens.session import run_dir
+
+    by_cells(monkeypatch)
+    rows = np.random.default_rng(4).standard_normal((20_000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<float>")
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    roots = [str(x) for x in disk.localDirs()] + [run_dir(spark).removeprefix("file://")]
+
+    def used():
+        out = 0
+        for root in roots:
+            for f in Path(root).rglob("*"):
+                try:
+                    out += f.stat().st_size if f.is_file() else 0
+                except OSError:
+                    pass
+        return out
+
+    spark._jvm.System.gc()
+    floor, peak, done = used(), 0, threading.Event()
+
+    def watch():
+        nonlocal peak
+        while not done.wait(0.05):
+            peak = max(peak, used() - floor)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        result = e.embedding_dedup(df)
+    finally:
+        done.set()
+        watcher.join()
+    assert peak < 6 * rows.nbytes  # at most four at any size, and what small files add
+    assert used() - floor < rows.nbytes  # keys and counts stay until the result is read
+    assert result.count() == len(rows)
+
+
+def test_a_round_sends_no_more_than_its_share():
+    crowded = [(0, 5, 100), (2, 1, 900), (2, 7, 33)]
+    rounds = list(e._rounds(4, crowded, 1000, 30, 1))
+    assert [t for of, units, _ in rounds for t in of] == [0, 1, 2, 3]
+    assert all(copies <= 1000 for *_, copies in rounds)
+    met = [u for _, units, _ in rounds for u in units]
+    pairs = {(t, cell): sorted(tuple(sorted(x[3:])) for x in met if x[:2] == (t, cell)) for t, cell, _ in crowded}
+    for (t, cell, n), found in zip(crowded, pairs.values(), strict=True):
+        blocks = -(-n // 30)
+        assert found == [(a, b) for a in range(blocks) for b in range(a, blocks)]
+
+
+def test_candidates_lose_no_link():
+    rng = np.random.default_rng(6)
+    for dim in (1, 2, 5, 64, 200):
+        for rows in (rng.standard_normal((700, dim)), clustered(rng, 7, 100, dim, 0.45), clustered(rng, 70, 10, dim, 0.45)):
+            for kind in (np.float32, np.float64):
+                own = rows.astype(kind)
+                pieces = e.candidates(*e.turned_codes(own, 0.9), 0.9)
+                true = {(i, j) for i, j in zip(*np.nonzero(np.triu(e.unit(own) @ e.unit(own).T >= 0.9, 1)), strict=True)}
+                for slices in ([(slice(0, 700),)], [(slice(0, 300),), (slice(300, 700),), (slice(0, 300), slice(300, 700))]):
+                    found = [x for s in slices for i, j in pieces(*s) for x in zip(i, j, strict=True)]
+                    assert len(found) == len(set(found))
+                    assert true <= {(min(x), max(x)) for x in found}
+
+
+@pytest.mark.parametrize(("vectors", "dim"), [(200_000, 64), (15_000_000, 64), (15_000_000, 8), (15_000_000, 2), (15_000_000, 300)])
+def test_hardly_a_pair_at_the_threshold_shares_no_cell(vectors, dim):
+    assert missed(vectors, 20_000, dim) <= 1
+
+
+def test_pairs_share_cells_as_often_as_said():
+    rng = np.random.default_rng(8)
+    for dim in (2, 8, 64):
+        x, y = pairs_at(rng, 20_000, dim, 0.9)
+        for bits in (7, 10, 14):
+            said = np.prod([e.meeting(b, 0.9) for b in e.factors_of(bits)])
+            assert (e.cells(x, bits, 6) == e.cells(y, bits, 6)).mean() > said - 0.01
