@@ -8,18 +8,19 @@ s / sqrt(d - 1), and for a pair at the threshold c or closer it is at most s * s
 plus the smaller of this bound and ``SIGMAS`` deviations reaches the threshold are computed exactly, in double
 precision, and only these results make links.
 
-Which pairs are looked at: up to ``EXACT`` vectors all pairs. Above, pairs that share a cell in one of ``tables``
-tables. A cell is told by which of some random directions a vector lies closest to (cross polytopes; Andoni and
-others, 2015), several of them where there are many vectors: ``bits`` bits of up to ``FACTOR`` a polytope. The
-number of tables follows from the chance that a pair exactly at the threshold shares a cell, so that it is looked at
-with probability ``RECALL`` or more (closer pairs nearly always); ``bits`` is where tables and comparisons cost least.
+Which pairs are looked at: up to ``EXACT`` vectors all pairs. Above, pairs that share a cell in one of some tables and
+in it one of ``FINE`` finer cells. A cell is told by which of some random directions a vector lies closest to (cross
+polytopes; Andoni and others, 2015), several of them where there are many vectors: ``bits`` bits for a cell and a
+finer cell, up to ``FACTOR`` a polytope. The number of tables follows from the chance that a pair exactly at the threshold
+shares both, so that it is looked at with probability ``RECALL`` or more (closer pairs nearly always); ``bits`` is where
+copies and comparisons cost least. Each table and finer cell together are a band; ``tables`` counts bands.
 
 Tables are gone through in rounds. A round sends each vector to its cells of a few tables, one copy a table, and its
 shuffle files are removed when it ends, so disk holds the vectors and one round, however many tables there are.
-There is no cap: a cell of more than ``BLOCK`` vectors (or ``HELD`` bytes) is cut into blocks, and each two blocks of
+There is no cap: a cell of more than ``BLOCK`` vectors (or ``CELL`` bytes) is cut into blocks, and each two blocks of
 it meet in a task of their own, in rounds no larger than the others.
 
-Equal vectors are one class with a weight. A pair that shares several cells counts in the first table only. A task
+Equal vectors are one class with a weight. A pair that shares several bands counts in the first only. A task
 returns for each vector the weight linked to it and one link to the smallest vector it hangs together with, not the
 pairs, so a group of n near copies gives n rows a task.
 
@@ -49,7 +50,9 @@ RECALL = 1 - 1e-6
 SIGMAS = 4.5
 EXACT = 1 << 17
 FACTOR = 7
-BLOCK = 1 << 15
+FINE = 4
+BLOCK = 1 << 18
+CELL = 48 << 20
 HELD = 16 << 20
 ROUND = 128 << 20
 TILE = 512
@@ -86,19 +89,31 @@ def _closest(turned: np.ndarray) -> np.ndarray:
     return 2 * top + (turned[np.arange(len(top)), top] > 0)
 
 
-def layout(vectors: int, threshold: float = THRESHOLD) -> tuple[int, int]:
-    """(bits of a cell, number of tables) for so many vectors."""
+def split(bits: int) -> tuple[int, int]:
+    """Bits of a cell and of a finer cell."""
+    return bits - min(FACTOR, bits // 2), min(FACTOR, bits // 2)
+
+
+def agreement(bits: int, threshold: float) -> float:
+    """Chance that a pair at the threshold shares a table's cell and one of its finer cells."""
+    coarse, fine = (math.prod(meeting(b, threshold) for b in factors_of(x)) for x in split(bits))
+    return coarse * (1 - (1 - fine) ** FINE)
+
+
+def layout(vectors: int, threshold: float = THRESHOLD, width: int = 256) -> tuple[int, int]:
+    """(bits, number of bands) for so many vectors of so many bytes."""
     if vectors <= EXACT or not 0 < threshold < 1:
         return 0, 1
     best = None
-    for bits in range(FACTOR, 64):
-        agree = math.prod(meeting(b, threshold) for b in factors_of(bits))
-        tables = math.ceil(math.log(1 - RECALL) / math.log(1 - agree))
-        cost = tables * (6 + vectors / 2**bits / 1000)  # microseconds a vector: moved, and compared
+    for bits in range(8, 64):
+        tables = math.ceil(math.log(1 - RECALL) / math.log(1 - agreement(bits, threshold)))
+        # microseconds a vector: moved, sorted, and compared
+        cost = tables * (8 + FINE * (0.4 + vectors / 2**bits / 600))
         if best and cost > 2 * best[0]:
             break
-        best = min(best or (cost, bits, tables), (cost, bits, tables))
-    return best[1:]
+        if vectors / 2 ** split(bits)[0] * width <= CELL * 2 // 3:
+            best = min(best or (cost, bits, tables), (cost, bits, tables))
+    return best[1], best[2] * FINE
 
 
 def rotation(dim: int, bits: int = 0, tables: int = 1) -> np.ndarray:
@@ -112,36 +127,52 @@ def _turn(dim: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=1024)
-def directions(dim: int, bits: int, table: int) -> np.ndarray:
-    """Directions of a table's polytopes side by side; those of one polytope are at right angles."""
+def directions(dim: int, bits: int, table: int) -> tuple[np.ndarray, list[list[tuple[int, int, int]]]]:
+    """Directions of a table's polytopes side by side, and (bits, first, last) of the polytopes of its cell and finer
+    cells. Directions of one polytope are at right angles."""
     rng = np.random.default_rng([SEED, dim, bits, table])
-    widths = [min(dim, 1 << (b - 1)) for b in factors_of(bits)]
-    if sum(widths) <= dim:
-        return np.linalg.qr(rng.standard_normal((dim, sum(widths))))[0]
-    return np.concatenate([np.linalg.qr(rng.standard_normal((dim, m)))[0] for m in widths], axis=1)
+    coarse, fine = split(bits)
+    made, places, at = [], [], 0
+    for b in [coarse] + [fine] * FINE:
+        widths = [min(dim, 1 << (f - 1)) for f in factors_of(b)]
+        if sum(widths) <= dim:
+            made.append(np.linalg.qr(rng.standard_normal((dim, sum(widths))))[0])
+        else:
+            made += [np.linalg.qr(rng.standard_normal((dim, m)))[0] for m in widths]
+        places.append([])
+        for f, m in zip(factors_of(b), widths, strict=True):
+            places[-1].append((f, at, at + m))
+            at += m
+    return np.concatenate(made, axis=1), places
 
 
 def cells(rows: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """(rows, tables) cells. They are made once for each vector: a second time, sums might round otherwise."""
-    out = np.zeros((len(rows), tables), cell_kind(bits))
+    """Cell and finer cells of each vector, table by table: they are made once for each vector, as a second time sums
+    might round otherwise."""
     if not bits:
-        return out
+        return np.zeros((len(rows), 2), cell_kind(bits))
+    out = np.zeros((len(rows), tables // FINE, 1 + FINE), cell_kind(bits))
     dim = rows.shape[1]
     rows = rows.astype(np.float64)
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
-    for t in range(tables):
-        turned, at = rows @ directions(dim, bits, t), 0
-        value = np.zeros(len(rows), np.int64)
-        for b in factors_of(bits):
-            m = min(dim, 1 << (b - 1))
-            value = (value << b) | _closest(turned[:, at : at + m])
-            at += m
-        out[:, t] = value
-    return out
+    for t in range(tables // FINE):
+        made, places = directions(dim, bits, t)
+        turned = rows @ made
+        for k, polytopes in enumerate(places):
+            value = np.zeros(len(rows), np.int64)
+            for b, first, last in polytopes:
+                value = (value << b) | _closest(turned[:, first:last])
+            out[:, t, k] = value
+    return out.reshape(len(rows), -1)
 
 
 def cell_kind(bits: int) -> str:
-    return "<u2" if bits <= 16 else "<u4" if bits <= 32 else "<u8"
+    most = max(split(bits))
+    return "<u1" if most <= 8 else "<u2" if most <= 16 else "<u4"
+
+
+def fines(bits: int) -> int:
+    return FINE if bits else 1
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -161,9 +192,12 @@ def encode(rows: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.nda
 
 
 def bands(codes: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """(rows, tables) cells of packed codes."""
-    kind = cell_kind(bits)
-    return np.ascontiguousarray(codes[:, -tables * np.dtype(kind).itemsize :]).view(kind)
+    """(rows, tables) bands of packed codes: cell and finer cell."""
+    kind, fine = cell_kind(bits), fines(bits)
+    each = tables // fine * (1 + fine)
+    own = np.ascontiguousarray(codes[:, -each * np.dtype(kind).itemsize :]).view(kind).astype(np.int64)
+    own = own.reshape(len(codes), -1, 1 + fine)
+    return ((own[:, :, :1] << split(bits)[1]) | own[:, :, 1:]).reshape(len(codes), tables)
 
 
 def _vectors(batch: pa.Array, kind: str) -> pa.Array:
@@ -203,8 +237,9 @@ def _by_length(batch: pa.RecordBatch, name: str):
         yield length, batch if own.all() else batch.filter(pa.array(own))
 
 
-def turned_codes(rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(turned vectors, codes as 1 and -1, least product of a code and a turned vector for a link) in single precision."""
+def turned_codes(rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(turned vectors, whose signs are the codes, and least product of a code and a turned vector for a link) in single
+    precision."""
     dim = rows.shape[1]
     with np.errstate(over="ignore"):
         square = np.einsum("ij,ij->i", rows, rows)
@@ -217,7 +252,7 @@ def turned_codes(rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.nda
     s = np.sqrt(np.maximum(1 - f * f, 0)) / f
     worst = math.sqrt(max(1 - threshold**2, 0)) if threshold > 0 else math.inf
     least = threshold - SLACK - s * min(worst, SIGMAS / math.sqrt(max(dim - 1, 1)))
-    return turned, np.copysign(np.float32(1), turned), (least * math.sqrt(dim) * f).astype(np.float32)
+    return turned, (least * math.sqrt(dim) * f).astype(np.float32)
 
 
 def leading(dim: int, threshold: float) -> int:
@@ -226,65 +261,85 @@ def leading(dim: int, threshold: float) -> int:
     return next(enough, dim)
 
 
-def candidates(turned, codes, least, threshold: float):
-    """Function from slices ``low`` and ``high`` to pieces (i, j) of the pairs between them (within ``low`` without ``high``),
-    each pair once, that can be links.
+def candidates(turned: np.ndarray, least: np.ndarray, threshold: float):
+    """Function from rows ``of`` and places ``low`` and ``high`` among them (slices) to pieces (i, j) of the pairs of rows
+    between the two (within ``low`` without ``high``), each pair once, that can be links.
 
     The distance over the leading coordinates is no longer than the whole, so a pair at the threshold c or closer has
     <x', y'> >= (|x'|^2 + |y'|^2) / 2 - (1 - c) there, and a product of the leading coordinates, with two more for the
-    lengths, drops nearly all others. The estimate decides on the rest; where they are many, as among vectors that lie
-    close to each other, it is made for the tile at once, followed by the product in single precision."""
-    dim = turned.shape[1]
-    head = turned[:, : leading(dim, threshold)]
-    half = np.einsum("ij,ij->i", head, head)[:, None] / -2
-    one = np.ones_like(half)
-    left, right = np.concatenate([head, half, one], axis=1), np.concatenate([head, one, half], axis=1)
+    lengths, drops nearly all others. The estimate from the code of one and the other's turned vector decides on the rest; where
+    they are many, as among vectors that lie close to each other, it is made for the tile at once, followed by the product in
+    single precision."""
+    first = leading(turned.shape[1], threshold)
     reach = np.float32(threshold - 1 - SLACK)
+    code = lambda rows: np.copysign(np.float32(1), turned[rows])
 
-    def pieces(low: slice, high: slice | None = None):
-        same, high = high is None, high or low
-        for a in range(low.start, low.stop, TILE):
-            p = slice(a, min(a + TILE, low.stop))
-            for b in range(a if same else high.start, high.stop, TILE):
-                q = slice(b, min(b + TILE, high.stop))
-                near = left[p] @ right[q].T >= reach
-                at = _true(near)
-                many = len(at) > near.size // 50
-                if many:
-                    near &= codes[p] @ turned[q].T >= least[p, None]
-                    near &= turned[p] @ turned[q].T >= np.float32(threshold - SLACK)
+    head = turned[:, :first]
+    half = np.einsum("ij,ij->i", head, head)[:, None] / -2
+    one = np.ones_like(half)
+    lefts, rights = np.concatenate([head, half, one], axis=1), np.concatenate([head, one, half], axis=1)
+
+    def prepare(of: np.ndarray):
+        left, right = lefts.take(of, axis=0), rights.take(of, axis=0)
+
+        def pieces(low: slice, high: slice | None = None):
+            same, high = high is None, high or low
+            for a in range(low.start, low.stop, TILE):
+                p = slice(a, min(a + TILE, low.stop))
+                for b in range(a if same else high.start, high.stop, TILE):
+                    q = slice(b, min(b + TILE, high.stop))
+                    near = left[p] @ right[q].T >= reach
+                    if same and a == b:
+                        np.fill_diagonal(near, False)
                     at = _true(near)
-                i, j = np.divmod(at, q.stop - q.start)
-                i, j = i + a, j + b
-                if same and a == b:
-                    i, j = i[i < j], j[i < j]
-                if not many and len(i):
-                    some = np.einsum("ij,ij->i", codes[i], turned[j]) >= least[i]
-                    i, j = i[some], j[some]
-                if len(i):
-                    yield i, j
+                    many = len(at) > max(near.size // 50, 1000)
+                    if many:
+                        near &= code(of[p]) @ turned[of[q]].T >= least[of[p], None]
+                        near &= turned[of[p]] @ turned[of[q]].T >= np.float32(threshold - SLACK)
+                        at = _true(near)
+                    if not len(at):
+                        continue
+                    i, j = np.divmod(at, q.stop - q.start)
+                    if same and a == b:
+                        i, j = i[i < j], j[i < j]
+                    i, j = of[i + a], of[j + b]
+                    if not many and len(i):
+                        some = np.einsum("ij,ij->i", code(i), turned[j]) >= least[i]
+                        i, j = i[some], j[some]
+                    if len(i):
+                        yield i, j
 
-    return pieces
+        return pieces
+
+    return prepare
 
 
 def _true(flags: np.ndarray) -> np.ndarray:
-    """Places of the true ones among flat flags; eight at once are told to be none."""
-    flat = flags.ravel()
-    even = len(flat) & ~7
-    word = np.flatnonzero(flat[:even].view(np.uint64))
-    at = np.concatenate([(word[:, None] * 8 + np.arange(8)).ravel(), np.arange(even, len(flat))])
-    return at[flat[at]]
+    """Places of the true ones among flat flags. A search for bytes finds a few among very many soonest."""
+    data = flags.tobytes()
+    out, at = [], data.find(1)
+    while at >= 0:
+        if len(out) == 100:
+            return np.flatnonzero(flags)
+        out.append(at)
+        at = data.find(1, at + 1)
+    return np.array(out, np.int64)
 
 
 def linked(
-    rows: np.ndarray, i: np.ndarray, j: np.ndarray, earlier: np.ndarray, threshold: float
+    rows: np.ndarray, i: np.ndarray, j: np.ndarray, known: np.ndarray, table: int, fine: int, threshold: float
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the pairs that are links and share no ``earlier`` cell."""
-    for t in range(earlier.shape[1]):
+    """Those of the pairs, which share a band, that are links and share no earlier one. ``known``: (rows, tables, cells)."""
+    if fine:
+        new = ~(known[i, table, 1 : 1 + fine] == known[j, table, 1 : 1 + fine]).any(axis=1)
+        i, j = i[new], j[new]
+    for t in range(table):
         if not len(i):
             return i, j
-        own = earlier[:, t]
-        new = own[i] != own[j]
+        own = known[:, t]
+        new = own[i, 0] != own[j, 0]
+        same = np.flatnonzero(~new)
+        new[same] = (own[i[same], 1:] != own[j[same], 1:]).all(axis=1)
         i, j = i[new], j[new]
     used = np.zeros(len(rows), np.bool_)
     used[i] = used[j] = True
@@ -311,49 +366,54 @@ def _smallest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _meet(group: dict[str, np.ndarray], table_of: Callable[[int], int], threshold: float) -> pa.RecordBatch:
+def _meet(group: dict[str, np.ndarray], table_of: Callable[[int], int], bits: int, threshold: float) -> pa.RecordBatch:
     """For each vector of a task with links the weight linked to it and the smallest vector that it hangs together
     with there. ``group`` holds vectors of one length: some cells, or pairs of blocks."""
     numbers, slot = np.unique(group["unit"], return_inverse=True)
-    order = np.argsort((2 * slot + (group["side"] == HIGH)).astype(np.uint16 if len(numbers) < 32768 else np.int64), kind="stable")
-    slot, side, cid, weight, rows, known = (x[order] for x in (slot, *(group[c] for c in ("side", "cid", "weight", "v", "cells"))))
-    n = len(cid)
-    pieces = candidates(*turned_codes(rows, threshold), threshold)
-    count, label = np.zeros(n, np.int64), np.arange(n)
-    every = np.arange(n)
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def settle(table: int):
-        nonlocal label
-        i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+    side, cid, weight, rows = (group[c] for c in ("side", "cid", "weight", "v"))
+    n, fine = len(cid), fines(bits)
+    known = group["cells"].reshape(n, -1, 1 + fine)
+    prepare = candidates(*turned_codes(rows, threshold), threshold)
+    count, label, every = np.zeros(n, np.int64), np.arange(n), np.arange(n)
+    held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+    waiting = 0
+
+    def settle():
+        nonlocal label, waiting
+        for (table, k), found in held.items():
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            i, j = linked(rows, i, j, known, table, k, threshold)
+            if len(i):
+                np.add.at(count, i, weight[j])
+                np.add.at(count, j, weight[i])
+                label = _smallest(n, np.concatenate([i, every]), np.concatenate([j, label]))
         held.clear()
-        i, j = linked(rows, i, j, known[:, :table], threshold)
-        if len(i):
-            np.add.at(count, i, weight[j])
-            np.add.at(count, j, weight[i])
-            label = _smallest(n, np.concatenate([i, every]), np.concatenate([j, label]))
-
-    last, waiting = None, 0
-    starts = np.searchsorted(slot, np.arange(len(numbers) + 1)).tolist()
+        waiting = 0
+
+    order = np.argsort(slot.astype(np.uint16) if len(numbers) < 65536 else slot, kind="stable")
+    starts = np.searchsorted(slot[order], np.arange(len(numbers) + 1)).tolist()
     for number, first, stop in zip(numbers.tolist(), starts[:-1], starts[1:], strict=True):
-        table = table_of(number)
-        if held and table != last:
-            settle(last)
-            waiting = 0
-        last = table
-        if side[first] == BOTH:
-            found = pieces(slice(first, stop))
-        else:
-            middle = first + int((side[first:stop] == LOW).sum())
-            found = pieces(slice(first, middle), slice(middle, stop))
-        for i, j in found:
-            held.append((i, j))
-            waiting += len(i)
-            if waiting > 1 << 20:
-                settle(table)
-                waiting = 0
-    if held:
-        settle(last)
+        table, of = table_of(number), order[first:stop]
+        if side[of[0]] != BOTH:
+            of = of[np.argsort(side[of], kind="stable")]
+        for k in range(fine):
+            own = known[of, table, 1 + k]
+            by = np.argsort(own, kind="stable")  # and by side
+            by, own = of[by], own[by]
+            pieces = prepare(by)
+            cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if side[by[a]] == BOTH:
+                    found = pieces(slice(a, b))
+                else:
+                    middle = a + int((side[by[a:b]] == LOW).sum())
+                    found = pieces(slice(a, middle), slice(middle, b))
+                for i, j in found:
+                    held.setdefault((table, k), []).append((i, j))
+                    waiting += len(i)
+                    if waiting > 1 << 20:
+                        settle()
+    settle()
     some = np.flatnonzero(count)
     smallest = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(smallest, label[some], cid[some])
@@ -393,11 +453,11 @@ def _route(tables: list[int], crowded: dict[int, np.ndarray], units: list[tuple]
     """Function from (cid, cells) to the copies of a round: (row, unit, side).
 
     A round has either all cells of some tables but the crowded ones, or ``units``: pairs of blocks of crowded cells."""
-    wide = 1 << bits
+    wide, each = 1 << split(bits)[0], 1 + fines(bits)
 
     def plain(cid, own):
         for g, t in enumerate(tables):
-            value = own[:, t].astype(np.int64)
+            value = own[:, t * each].astype(np.int64)
             some = np.flatnonzero(~np.isin(value, crowded[t])) if t in crowded else np.arange(len(value))
             yield some, g * wide + value[some], np.full(len(some), BOTH, np.uint8)
 
@@ -409,7 +469,7 @@ def _route(tables: list[int], crowded: dict[int, np.ndarray], units: list[tuple]
 
     def paired(cid, own):
         for (t, cell, blocks), to in by_cell.items():
-            rows = np.flatnonzero(own[:, t] == cell)
+            rows = np.flatnonzero(own[:, t * each] == cell)
             block = _blocks_of(cid[rows], blocks)
             for b, aims in to.items():
                 some = rows[block == b]
@@ -420,7 +480,7 @@ def _route(tables: list[int], crowded: dict[int, np.ndarray], units: list[tuple]
 
 
 def _send(route, most: int, parts: int, kind: str, cell: str):
-    """Task that packs a round's copies by the task they go to, each with its cells of the first ``most`` tables."""
+    """Task that packs a round's copies by the task they go to, each with its first ``most`` cells."""
 
     def flush(held):
         for length, groups in held.items():
@@ -465,7 +525,7 @@ def _send(route, most: int, parts: int, kind: str, cell: str):
     return run
 
 
-def _receive(table_of, kind: str, cell: str, threshold: float):
+def _receive(table_of, bits: int, kind: str, cell: str, threshold: float):
     def run(batches):
         held: dict[int, list[dict]] = {}
         for batch in batches:
@@ -473,7 +533,8 @@ def _receive(table_of, kind: str, cell: str, threshold: float):
                 held.setdefault(row["length"].as_py(), []).append(_unpack(row, SENT, kind, cell))
         for length in list(held):
             groups = held.pop(length)
-            yield _meet({c: np.concatenate([g[c] for g in groups]) for c in groups[0]}, table_of, threshold)
+            whole = {c: np.concatenate([g.pop(c) for g in groups]) for c in list(groups[0])}
+            yield _meet(whole, table_of, bits, threshold)
 
     return run
 
@@ -499,15 +560,15 @@ def _place(classes: DataFrame, bits: int, tables: int, kind: str) -> DataFrame:
 
 def _crowded(placed: DataFrame, bits: int, tables: int, limit: int, kind: str) -> list[tuple[int, int, int]]:
     """(table, cell, vectors) of the cells above the limit. Each task sends one histogram a table."""
-    cell = cell_kind(bits)
+    cell, each, wide = cell_kind(bits), 1 + fines(bits), 1 << split(bits)[0]
 
     def count(batches):
         found: list[dict[int, int]] = [{} for _ in range(tables)]
-        sums = np.zeros((tables, 1 << bits), np.int64) if bits <= 16 else None
-        for own in (_unpack(row, PLACED, kind, cell)["cells"] for batch in batches for row in _packs(batch)):
+        sums = np.zeros((tables, wide), np.int64) if wide <= 1 << 16 else None
+        for own in (_unpack(row, PLACED, kind, cell)["cells"][:, ::each] for batch in batches for row in _packs(batch)):
             for t in range(tables):
                 if sums is not None:
-                    sums[t] += np.bincount(own[:, t], minlength=1 << bits)
+                    sums[t] += np.bincount(own[:, t], minlength=wide)
                 else:
                     for value, n in zip(*(x.tolist() for x in np.unique(own[:, t], return_counts=True)), strict=True):
                         found[t][value] = found[t].get(value, 0) + n
@@ -570,10 +631,11 @@ def near_links(classes: DataFrame, threshold: float = THRESHOLD, kind: str = "<f
     are staged with their cells, ``path``, under which ``classes`` lie, is removed."""
     spark = classes.sparkSession
     vectors, width = classes.agg(F.count("*"), F.coalesce(F.max(F.length("v")), F.lit(1))).collect()[0]
-    bits, tables = layout(vectors, threshold)
+    bits, count = layout(vectors, threshold, width)
+    tables, each = count // fines(bits), 1 + fines(bits)
     cell, cores = cell_kind(bits), spark.sparkContext.defaultParallelism
-    placed = _place(classes, bits, tables, kind)
-    limit = max(2, min(BLOCK, HELD // (2 * width)))
+    placed = _place(classes, bits, count, kind)
+    limit = max(2, min(BLOCK, CELL // width))
     own = None
     if bits:
         own = fresh_path(spark, "placed")
@@ -583,20 +645,21 @@ def near_links(classes: DataFrame, threshold: float = THRESHOLD, kind: str = "<f
             remove(spark, path)
         crowded = _crowded(placed, bits, tables, limit, kind)
     else:
-        limit = min(limit, max(1024, -(-vectors // max(2, math.isqrt(6 * cores)))))
-        crowded = [(0, 0, vectors)] if vectors > limit else []
+        limit = min(limit, max(2048, 2 * -(-vectors // max(2, math.isqrt(6 * cores)))))
+        crowded = [(0, 0, vectors)] if vectors > limit // 2 else []
     hot = {t: np.array([c for u, c, _ in crowded if u == t]) for t in {t for t, _, _ in crowded}}
     many = min(8, max(1, ROUND // max(1, vectors * width)))
     found, shape = fresh_path(spark, "near-links"), "cid long, links long, root long"
     spark.createDataFrame([], shape).write.parquet(found)
-    for of, units, copies in _rounds(tables, crowded, vectors, limit, many):
-        most = max(of or [t for t, *_ in units])
-        bytes_ = copies * (width + 32 + most * np.dtype(cell).itemsize)
-        parts = len(units) if units else max(1, bytes_ // HELD, min(2 * cores, copies // 4096))
+    for of, units, copies in _rounds(tables, crowded, vectors, limit // 2, many):
+        most = (1 + max(of or [t for t, *_ in units])) * each
+        least = max(1, copies * (width + 32 + most * np.dtype(cell).itemsize) // HELD, min(2 * cores, copies // 4096))
+        wide = len(of) << split(bits)[0]
+        parts = len(units) or -(-wide // max(1, wide // least))  # as many cells in each
         table_of = _table_of(of, units, bits)
         route = _route(of, {t: hot[t] for t in of if t in hot}, units, bits)
         sent = placed.mapInArrow(_send(route, most, parts, kind, cell), "part int, n int, length int, data binary")
-        met = sent.repartitionById(parts, F.col("part")).mapInArrow(_receive(table_of, kind, cell, threshold), shape)
+        met = sent.repartitionById(parts, F.col("part")).mapInArrow(_receive(table_of, bits, kind, cell, threshold), shape)
         met.write.mode("append").parquet(found)
     if own:
         remove(spark, own)
@@ -604,7 +667,7 @@ def near_links(classes: DataFrame, threshold: float = THRESHOLD, kind: str = "<f
 
 
 def _table_of(of: list[int], units: list[tuple], bits: int) -> Callable[[int], int]:
-    return (lambda unit_: units[unit_][0]) if units else (lambda unit_: of[unit_ >> bits])
+    return (lambda unit_: units[unit_][0]) if units else (lambda unit_: of[unit_ >> split(bits)[0]])
 
 
 def embedding_dedup(
