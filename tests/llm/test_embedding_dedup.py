@@ -215,7 +215,7 @@ def test_candidates_lose_no_link():
                     assert true <= {(min(x), max(x)) for x in found}
 
 
-@pytest.mark.parametrize(("vectors", "dim"), [(200_000, 64), (15_000_000, 64), (15_000_000, 8), (15_000_000, 2), (15_000_000, 300)])
+@pytest.mark.parametrize(("vectors", "dim"), [(200_000, 64), (22_000_000, 64), (15_000_000, 64), (15_000_000, 8), (15_000_000, 2), (15_000_000, 300)])
 def test_hardly_a_pair_at_the_threshold_shares_no_cell(vectors, dim):
     assert missed(vectors, 20_000, dim) <= 1
 
@@ -227,3 +227,11 @@ def test_pairs_share_cells_as_often_as_said():
         for bits in (8, 10, 14, 15):
             a, b = (e.bands(e.encode(rows, bits, 12)[0], bits, 12).reshape(len(rows), 3, e.FINE) for rows in (x, y))
             assert (a == b).any(axis=2).mean() > e.agreement(bits, 0.9) - 0.01
+
+
+def test_vectors_cells_and_a_round_take_less_than_four_times_the_input():
+    """Bytes on disk at once for a vector of 64 numbers: its table, a copy sent in the last round, and keys."""
+    for vectors in (140_000, 1_000_000, 15_000_000, 22_000_000, 33_000_000):
+        bits, count = e.layout(vectors)
+        own = count // e.fines(bits) * (1 + e.fines(bits)) * np.dtype(e.cell_kind(bits)).itemsize
+        assert 2 * (256 + 21 + own) + 96 < 4 * 256

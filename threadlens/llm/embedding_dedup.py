@@ -109,11 +109,12 @@ def layout(vectors: int, threshold: float = THRESHOLD, width: int = 256) -> tupl
         tables = math.ceil(math.log(1 - RECALL) / math.log(1 - agreement(bits, threshold)))
         # microseconds a vector: moved, sorted, and compared
         cost = tables * (8 + FINE * (0.4 + vectors / 2**bits / 600))
-        if best and cost > 2 * best[0]:
+        if best and cost > 2 * best[1]:
             break
         if vectors / 2 ** split(bits)[0] * width <= CELL * 2 // 3:
-            best = min(best or (cost, bits, tables), (cost, bits, tables))
-    return best[1], best[2] * FINE
+            found = (np.dtype(cell_kind(bits)).itemsize, cost, bits, tables)  # small cells first, as they lie on disk
+            best = min(best or found, found)
+    return best[2], best[3] * FINE
 
 
 def rotation(dim: int, bits: int = 0, tables: int = 1) -> np.ndarray:
